@@ -61,7 +61,7 @@ def role_terms(role: Column | str, lexicon: Mapping[str, Sequence[str]] = lx.ROL
                default: str = lx.DEFAULT_ROLE) -> Column:
     """The role's term list; the default role's for an unknown role."""
     def listed(terms):
-        return F.array(*[F.lit(t) for t in dict.fromkeys(terms)]).cast("array<string>")
+        return tx.strings(list(dict.fromkeys(terms)))
 
     fallback = listed(lexicon.get(default, []))
     chosen = F
@@ -105,7 +105,7 @@ def answer_points(answer: Column | str, rules=lx.QUALITY_RULES) -> Column:
 
     def bonuses(lowered: Column) -> Column:
         return tx.add_up([
-            F.when(present(regex, lowered), _double(bonus * lx.QUALITY_FACTOR)).otherwise(_double(0))
+            F.when(present(regex, lowered), float(bonus * lx.QUALITY_FACTOR)).otherwise(0.0)
             for regex, bonus in rules
         ])
 
@@ -203,7 +203,7 @@ def tier(total: Column | str, flags: Column | str, ladder=lx.TIER_LADDER) -> Col
     column = F.col(total) if isinstance(total, str) else total
     hard = F.arrays_overlap(
         F.col(flags) if isinstance(flags, str) else flags,
-        F.array(*[F.lit(f) for f in lx.REJECT_FLAGS]),
+        tx.strings(lx.REJECT_FLAGS),
     )
     return F.when(F.coalesce(hard, F.lit(False)), F.lit("Reject")).otherwise(
         tx.ladder_at_least(column, ladder, "Reject")
@@ -241,7 +241,7 @@ def explain_answers(answers: Column | str) -> Column:
                 .when(n > 150, F.concat(head, F.lit("Detailed response ("), count, F.lit(" words)"))),
                 F.when((n > 0) & (share < 0.4), F.concat(
                     head, F.lit("Repetitive vocabulary (ratio: "),
-                    F.format_string("%.2f", share), F.lit(")"))),
+                    tx.fixed(share, 2), F.lit(")"))),
             )
 
         return let(tx.words(F.lower(a["answer_text"])), of_tokens)
@@ -274,11 +274,11 @@ def explain_specificity(text: Column | str, phrases=lx.GENERIC_PHRASES,
             F.lit("Found "), F.size(found).cast("string"), F.lit(" generic phrases: "),
             F.array_join(F.slice(found, 1, 5), ", ")))
 
-    concrete = [
-        let(tx.regex_hits(text, regex, ignore_case=not tx.folds(regex)), lambda n, what=what: F.when(
+    def evidence(regex: str, what: str) -> Column:
+        return let(tx.regex_hits(text, regex, ignore_case=not tx.folds(regex)), lambda n: F.when(
             n > 0, F.concat(F.lit(f"Contains {what} ("), n.cast("string"), F.lit(" instances)"))))
-        for regex, what in patterns
-    ]
+
+    concrete = [evidence(regex, what) for regex, what in patterns]
     return _kept(let(tx.phrases_found(text, phrases), of_found), *concrete)
 
 
@@ -361,7 +361,7 @@ def timing_flag(seconds: Column | str, n_words: Column) -> Column:
     """``STRUCT<flag, severity>``; a null flag and severity 0 when nothing is odd."""
     s = F.col(seconds) if isinstance(seconds, str) else seconds
     pasted = F.concat(F.lit("Response in "), tx.number_text(s), F.lit("s — likely copy-paste"))
-    typed = F.concat(F.lit("Typed "), F.format_string("%.1f", n_words / s),
+    typed = F.concat(F.lit("Typed "), tx.fixed(n_words / s, 1),
                      F.lit(" words/sec — faster than average typing"))
     too_fast = (s > 0) & (s < 10)
     typed_fast = (s >= 10) & (s < 30) & (n_words / s > 5)

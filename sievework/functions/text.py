@@ -30,6 +30,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strings(values: Sequence[str]) -> Column:
+    """A constant string array, parsed from one SQL literal list."""
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr(f"CAST(array({', '.join(quoted)}) AS ARRAY<STRING>)")
+
+
 def pattern(regex: str, ignore_case: bool = False) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + regex
 
@@ -140,16 +146,13 @@ def phrases_found(c: Column | str, phrases: Sequence[str] | Column) -> Column:
     if isinstance(phrases, Column):
         listed = F.array_distinct(phrases)
     else:
-        unique = list(dict.fromkeys(phrases))
-        if not unique:
-            return F.array().cast("array<string>")
-        listed = F.array(*[F.lit(p) for p in unique])
+        listed = strings(list(dict.fromkeys(phrases)))
     return let(_col(c), lambda t: F.filter(listed, lambda p: F.contains(t, p)))
 
 
 def phrase_hits(c: Column | str, phrases: Sequence[str]) -> Column:
     """How many distinct phrases occur as substrings."""
-    return add_up([F.contains(_col(c), F.lit(p)).cast("int") for p in dict.fromkeys(phrases)])
+    return F.size(phrases_found(c, phrases))
 
 
 def patterns_present(c: Column | str, regexes: Sequence[str], ignore_case: bool = False) -> Column:
@@ -169,6 +172,32 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
 
+def round_half_even(c: Column | str, digits: int) -> Column:
+    """Round the exact binary value, ties to even, as Python's ``round`` does.
+
+    ``bround`` looks at the shortest decimal form instead, so that 2.675, which is a
+    little less than it looks, would go up.  Here ``x * 2 * 10**digits`` is compared
+    with the odd number between its two roundings; when the product hides the
+    difference, its rounding error, recovered exactly by splitting ``x``, decides.
+    """
+    x = _col(c).cast("double")
+    scale = float(2 * 10 ** digits)
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * scale - product) + (x - high) * scale
+    below = F.floor(product / 2.0).cast("double")
+    middle = below * 2.0 + 1.0
+    side = F.when(product != middle, product - middle).otherwise(error)
+    up = (side > 0) | ((side == 0) & (below % 2.0 != 0))
+    rounded = F.when(up, below + 1.0).otherwise(below) / float(10 ** digits)
+    return F.when(F.isnan(x) | (F.abs(x) > 1e11), x).otherwise(rounded)
+
+
+def fixed(c: Column | str, digits: int) -> Column:
+    """A number with exactly ``digits`` decimals, correctly rounded."""
+    return F.format_string(f"%.{digits}f", round_half_even(c, digits))
+
+
 def add_up(terms: Sequence[Column]) -> Column:
     out = F.lit(0)
     for term in terms:

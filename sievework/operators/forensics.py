@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework import lexicons as lx
 from sievework.functions import rules
+from sievework.functions import text as tx
 
 
 def detect_ai(df: DataFrame, text: str, transitions=lx.AI_TRANSITIONS,
@@ -18,7 +19,7 @@ def detect_ai(df: DataFrame, text: str, transitions=lx.AI_TRANSITIONS,
     })
     composite = rules.ai_composite("uniformity", "vocab")
     return signals.withColumns({
-        "ai_probability": F.bround(composite, 3),
+        "ai_probability": tx.round_half_even(composite, 3),
         "verdict": rules.ai_verdict(composite),
     })
 
@@ -56,7 +57,7 @@ def _events(df: DataFrame, source: str, reason, severity) -> DataFrame:
 
 def ai_strikes(ai: DataFrame) -> DataFrame:
     reason = F.concat(F.lit("AI-generated text detected (p="),
-                      F.format_string("%.2f", "ai_probability"), F.lit(")"))
+                      tx.fixed("ai_probability", 2), F.lit(")"))
     return _events(ai.filter(F.col("verdict") == "likely_ai"), "ai", reason,
                    F.col("ai_probability"))
 
@@ -82,7 +83,7 @@ def pair_strikes(pairs: DataFrame) -> DataFrame:
     """Every pair strikes both of its sides."""
     reason = F.concat(
         F.lit("Similar answer to "), F.col("other_name"), F.lit(" on Q"), F.col("question_id"),
-        F.lit(" (sim="), F.format_string("%.2f", "similarity"), F.lit(")"))
+        F.lit(" (sim="), tx.fixed("similarity", 2), F.lit(")"))
     return _events(pair_sides(pairs), "similarity", reason, F.col("similarity"))
 
 

@@ -6,7 +6,7 @@ one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,16 @@ HOT_KEYS = 500
 BLOCK_ROWS = 4096
 
 
+def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``withColumns`` for costly expressions that later filters look at.
+
+    Spark pushes a filter below a projection by repeating the projected expressions
+    in it.  Columns that come out of a one-element ``inline`` stay where they are.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", made.alias(*columns))
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
     """The keys holding at least ``1/limit`` of all rows: never more than ``limit``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))

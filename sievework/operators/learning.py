@@ -26,10 +26,10 @@ def score_stats(scored: DataFrame, score: str = "total_score") -> DataFrame:
         upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY total_score DESC)")
     summary = histogram.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("total_candidates"),
-        F.bround(F.sum(F.col("total_score") * F.col("__n")) / F.sum("__n"), 2).alias("mean"),
-        F.bround(F.min("total_score"), 2).alias("min"),
-        F.bround(F.max("total_score"), 2).alias("max"))
-    median = scored.agg(F.bround(upper, 2).alias("median")).scalar()
+        tx.round_half_even(F.sum(F.col("total_score") * F.col("__n")) / F.sum("__n"), 2).alias("mean"),
+        tx.round_half_even(F.min("total_score"), 2).alias("min"),
+        tx.round_half_even(F.max("total_score"), 2).alias("max"))
+    median = scored.agg(tx.round_half_even(upper, 2).alias("median")).scalar()
     return summary.withColumn("median", median)
 
 
@@ -65,13 +65,13 @@ def tier_insights(profile: DataFrame) -> DataFrame:
     who = F.when(F.col("tier") == "Fast-Track", F.lit("Fast-Track")).otherwise(F.lit("Rejected"))
     return profile.filter(F.col("tier").isin("Fast-Track", "Reject")).select(
         "tier", F.concat(
-            who, F.lit(" candidates average "), F.format_string("%.0f", F.bround("avg_words", 0)),
-            F.lit(" words/answer with "), F.format_string("%.1f", "avg_terms"),
+            who, F.lit(" candidates average "), tx.fixed("avg_words", 0),
+            F.lit(" words/answer with "), tx.fixed("avg_terms", 1),
             F.lit(" technical terms")).alias("insight"))
 
 
 def _percent(share: Column) -> Column:
-    return F.concat(F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))
+    return F.concat(tx.round_half_even(share * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
 def recommend_weights(scored: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def apply_weights(weights: DataFrame, adjustments: DataFrame, max_delta: float =
         "dimension", F.when(F.col("__d").isNull(), F.col("weight")).otherwise(
             tx.clamp(F.col("weight") + F.col("__d"), *bounds)).alias("weight"))
     total = moved.agg(F.sum("weight").alias("s")).scalar()
-    return moved.select("dimension", F.bround(F.col("weight") / total, 4).alias("weight"))
+    return moved.select("dimension", tx.round_half_even(F.col("weight") / total, 4).alias("weight"))
 
 
 def snapshot_weights(new: DataFrame, stored: DataFrame, reason: str, at: Column) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sievework import lexicons as lx
 from sievework.functions import rules
-from sievework.operators.keyed import lookup
+from sievework.functions import text as tx
+from sievework.operators.keyed import computed_once, lookup
 
 #: Unique integer ids that agree in all but these low bits share a bucket, so a
 #: bucket never holds more than 2**20 rows.
@@ -35,7 +36,7 @@ def score_dimensions(candidates: DataFrame, lexicon: Mapping[str, Sequence[str]]
                      quality_rules=lx.QUALITY_RULES, phrases=lx.GENERIC_PHRASES,
                      patterns=lx.CONCRETE_PATTERNS, fake_tokens=lx.FAKE_HANDLE_TOKENS,
                      work_references=lx.WORK_REFERENCES) -> DataFrame:
-    """Adds the five dimensions, ``all_text`` and ``found_terms``.
+    """Adds the five dimensions, ``flags``, ``all_text`` and ``found_terms``.
 
     A ``terms`` column, as left by ``with_role_terms``, takes the place of ``lexicon``.
     """
@@ -43,33 +44,33 @@ def score_dimensions(candidates: DataFrame, lexicon: Mapping[str, Sequence[str]]
         "role", lexicon, default_role)
     texts = candidates.withColumn("all_text", rules.joined_answers("answers"))
     found = texts.withColumn("found_terms", rules.terms_in("all_text", terms, word_boundary))
-    return found.withColumns({
+    return computed_once(found, {
         "technical_relevance": rules.technical_relevance("all_text", F.size("found_terms")),
         "answer_quality": rules.answer_quality("answers", quality_rules),
         "profile_credibility": rules.profile_credibility(
             "github_url", "linkedin_url", "all_text", fake_tokens, work_references),
         "specificity": rules.specificity("all_text", phrases, patterns),
         "timing": rules.timing_score("response_time_seconds"),
+        "flags": rules.penalty_flags("email", "answers"),
     })
 
 
 def total_and_tier(dimensions: DataFrame, weights: Mapping[str, float] = lx.WEIGHTS) -> DataFrame:
-    """Adds ``flags``, ``raw_total`` (after penalties), ``tier`` and ``total_score``.
+    """Adds ``raw_total`` (after penalties), ``tier`` and ``total_score``.
 
     The tier looks at the unrounded total; what is reported is rounded half-even.
     """
     return (
-        dimensions.withColumn("flags", rules.penalty_flags("email", "answers"))
-        .withColumn("raw_total", rules.penalised(rules.weighted_total(weights), "flags"))
+        dimensions.withColumn("raw_total", rules.penalised(rules.weighted_total(weights), "flags"))
         .withColumns({
             "tier": rules.tier("raw_total", "flags"),
-            "total_score": F.bround("raw_total", 2),
+            "total_score": tx.round_half_even("raw_total", 2),
         })
     )
 
 
 def round_dimensions(scored: DataFrame) -> DataFrame:
-    return scored.withColumns({d: F.bround(d, 2) for d in lx.DIMENSIONS})
+    return scored.withColumns({d: tx.round_half_even(d, 2) for d in lx.DIMENSIONS})
 
 
 def with_explanations(scored: DataFrame, phrases=lx.GENERIC_PHRASES,

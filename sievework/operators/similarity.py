@@ -302,7 +302,7 @@ def expand_pairs(groups: SimilarGroups, answers: DataFrame, same_candidate: bool
     return named.select(
         "question_id", F.col("a.candidate_id").alias("candidate_a"), "candidate_a_name",
         F.col("b.candidate_id").alias("candidate_b"), "candidate_b_name",
-        F.bround("cosine", 4).alias("similarity"),
+        tx.round_half_even("cosine", 4).alias("similarity"),
         F.when(F.col("cosine") >= lx.SIMILARITY_HIGH, F.lit("high"))
         .otherwise(F.lit("medium")).alias("severity"),
         "text_a_preview", "text_b_preview")
@@ -333,7 +333,7 @@ def pair_totals(groups: SimilarGroups, same_candidate: bool = False) -> DataFram
     reach = sides.unionByName(themselves).join(sizes, ["question_id", "other"], "left")
     per_strike = reach.select(
         "question_id", "rep", "other", F.coalesce("n_other", F.lit(1)).alias("n_other"),
-        strikes_for(F.bround("cosine", 4)).alias("each"))
+        strikes_for(tx.round_half_even("cosine", 4)).alias("each"))
     touched = own.join(per_strike, ["question_id", "rep"])
     if same_candidate:
         itself = F.when(F.col("rep") == F.col("other"), F.lit(1)).otherwise(F.lit(0))

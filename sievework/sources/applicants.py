@@ -73,7 +73,8 @@ def question_parts(header: str) -> tuple[str, str]:
 def na_to_null(c: Column | str, tokens: Sequence[str] = lx.NA_TOKENS) -> Column:
     """Null for missing markers, also for ``nan`` between blanks."""
     column = F.col(c) if isinstance(c, str) else c
-    return F.when(~column.isin(list(tokens)) & (tx.strip(column) != "nan"), column)
+    marked = F.array_contains(tx.strings(tokens), column)
+    return F.when(~marked & (tx.strip(column) != "nan"), column)
 
 
 def resolve_columns(raw: DataFrame, aliases: Mapping[str, Sequence[str]] = lx.COLUMN_ALIASES,
@@ -237,14 +238,18 @@ def normalise(df: DataFrame) -> DataFrame:
     )
 
 
-def read_applicants(spark: SparkSession, path: str, aliases=lx.COLUMN_ALIASES,
-                    na_tokens=lx.NA_TOKENS, missing_email_matches: bool = True,
-                    multi_line: bool = True) -> DataFrame:
-    """File to canonical candidates: resolve, validate, keep first, normalise."""
-    resolved = resolve_columns(scan_csv(spark, path, multi_line), aliases, na_tokens)
+def clean_applicants(raw: DataFrame, aliases=lx.COLUMN_ALIASES, na_tokens=lx.NA_TOKENS,
+                     missing_email_matches: bool = True) -> DataFrame:
+    """Raw strings with a ``row_id`` to candidates: resolve, validate, keep first, normalise."""
+    resolved = resolve_columns(raw, aliases, na_tokens)
     return normalise(dedup_first(valid_rows(resolved), missing_email_matches))
 
 
+def read_applicants(spark: SparkSession, path: str, multi_line: bool = True, **options) -> DataFrame:
+    """File to canonical candidates."""
+    return clean_applicants(scan_csv(spark, path, multi_line), **options)
+
+
 def ingest(spark: SparkSession, path: str, **options) -> DataFrame:
     """``read_applicants`` followed by the second, identity-only pass."""
     return dedup_identity(read_applicants(spark, path, **options))
