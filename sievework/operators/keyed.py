@@ -6,7 +6,7 @@ one task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,42 +98,37 @@ def previous_value(df: DataFrame, key: str, order: Sequence[str], value: str, na
 
 
 def pair_blocks(df: DataFrame, keys: Sequence[str], item: str, rows_in_key: Column,
-                on=None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Self-join of the rows of a key with ``a.item < b.item``, cut into bounded blocks.
+                on: Callable[[str, str], Column] | None = None,
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every two rows of a key once, cut into bounded blocks.
 
     A key with ``n`` rows is cut into ``ceil(n / block_rows)`` hashed blocks and each
     pair of blocks becomes a join key of its own, so that one task pairs about
-    ``block_rows`` rows with as many others however large the key is.  ``on(a, b)``
-    is evaluated inside the join: pairs that fail it are never emitted.  Returns the
-    keys and the structs ``a`` and ``b``.
+    ``block_rows`` rows with as many others however large the key is.  ``on`` gets the
+    suffixes of both sides and is evaluated inside the join: pairs that fail it are
+    never emitted.  Returns the keys and all other columns with suffixes ``_a`` and
+    ``_b``; which row of a pair is ``a`` is not specified.
     """
     keys = list(keys)
-    blocks = F.greatest(F.lit(1), F.ceil(rows_in_key / F.lit(float(block_rows)))).cast("int")
     rest = [c for c in df.columns if c not in keys]
+    blocks = F.greatest(F.lit(1), F.ceil(rows_in_key / F.lit(float(block_rows)))).cast("int")
     cut = df.withColumn("__blocks", blocks).withColumn(
-        "__own", F.pmod(F.xxhash64(item), F.col("__blocks")).cast("int")
-    )
-    row = F.struct(*rest)
+        "__own", F.pmod(F.xxhash64(item), F.col("__blocks")).cast("int"))
+    own = F.col("__own")
     left = cut.select(
-        *keys, F.col("__own").alias("__lo"),
-        F.explode(F.sequence(F.col("__own"), F.col("__blocks") - 1)).alias("__hi"),
-        row.alias("a"),
-    )
+        *keys, own.alias("__lo"), F.explode(F.sequence(own, F.col("__blocks") - 1)).alias("__hi"),
+        *[F.col(c).alias(f"{c}_a") for c in rest])
     right = cut.select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("__lo"),
-        F.col("__own").alias("__hi"), row.alias("b"),
-    )
-    a, b = F.col("l.a"), F.col("r.b")
-    same = (F.col("l.__lo") < F.col("l.__hi")) | (a[item] < b[item])
-    matched = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys + ["__lo", "__hi"]]
-    condition = same
-    for m in matched:
-        condition = condition & m
+        *[F.col(k).alias(f"__{k}") for k in keys],
+        F.explode(F.sequence(F.lit(0), own)).alias("__low"), own.alias("__high"),
+        *[F.col(c).alias(f"{c}_b") for c in rest])
+    condition = (F.col("__lo") == F.col("__low")) & (F.col("__hi") == F.col("__high"))
+    for k in keys:
+        condition = condition & (F.col(k) == F.col(f"__{k}"))
+    # Two blocks meet in one cell only; within a block each pair is taken in order.
+    condition = condition & (
+        (F.col("__lo") < F.col("__hi")) | (F.col(f"{item}_a") < F.col(f"{item}_b")))
     if on is not None:
-        condition = condition & on(a, b)
-    in_order = a[item] < b[item]
-    return left.alias("l").join(right.alias("r"), condition).select(
-        *[F.col(f"l.{k}").alias(k) for k in keys],
-        F.when(in_order, a).otherwise(b).alias("a"),
-        F.when(in_order, b).otherwise(a).alias("b"),
-    )
+        condition = condition & on("_a", "_b")
+    return left.join(right, condition).select(
+        *keys, *[f"{c}_a" for c in rest], *[f"{c}_b" for c in rest])

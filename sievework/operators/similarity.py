@@ -63,11 +63,11 @@ def term_counts(text: Column | str, stop_words: Sequence[str] = ()) -> Column:
 class Vectors:
     """Staged parts of a TF-IDF model.
 
-    ``members``: question_id, rep, row_id, candidate_id - each non-blank answer and the
-    first answer with the same terms.  ``vectors``: question_id, rep, n (answers with
-    these terms), terms ``ARRAY<STRUCT<df, term_id, w, after>>`` from rare to common,
+    ``members``: question_id, gid, row_id, candidate_id - each non-blank answer and the
+    group of answers with the same terms.  ``vectors``: question_id, gid, n (answers in
+    the group), terms ``ARRAY<STRUCT<df, term_id, w, after>>`` from rare to common,
     where ``after`` is the norm of what follows.  ``vocabulary``: question_id, term,
-    df, idf, term_id.
+    df, idf, term_id.  ``gid`` and ``term_id`` are unique over all questions.
     """
 
     members: DataFrame
@@ -84,12 +84,12 @@ def _vocabulary(reps: DataFrame, max_features: int | None) -> DataFrame:
         # The cut is made per hash bucket first: whatever is among the most frequent
         # overall is so in its bucket, and the final window sees a bounded number.
         best = [F.desc("freq"), F.asc("term")]
-        bucketed = counted.withColumn("__b", F.pmod(F.xxhash64("term"), F.lit(VOCAB_BUCKETS)))
+        counted = counted.withColumn("__b", F.pmod(F.xxhash64("term"), F.lit(VOCAB_BUCKETS)))
         for keys in (["question_id", "__b"], ["question_id"]):
-            bucketed = bucketed.withColumn(
+            counted = counted.withColumn(
                 "__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
             ).filter(F.col("__r") <= max_features)
-        counted = bucketed.drop("__b", "__r")
+        counted = counted.drop("__b", "__r")
     sizes = reps.groupBy("question_id").agg(F.sum("n").alias("n_answers"))
     idf = F.log((F.col("n_answers") + 1.0) / (F.col("df") + 1.0)) + 1.0
     return counted.join(sizes, "question_id").select(
@@ -101,7 +101,8 @@ def tfidf_model(answers: DataFrame, stop_words: Sequence[str] = (),
                 max_features: int | None = lx.MAX_FEATURES) -> Vectors:
     """Unit TF-IDF vectors per question from (question_id, row_id, candidate_id, answer_text).
 
-    ``row_id`` is unique within a question.
+    ``row_id`` is unique within a question.  Ids are numbered in tables that are written
+    once, so they stay what they are.
     """
     bags = stage(
         answers.filter(tx.strip("answer_text") != "").select(
@@ -110,31 +111,32 @@ def tfidf_model(answers: DataFrame, stop_words: Sequence[str] = (),
         ).withColumn("bag", F.sha2(F.array_join(F.transform("terms", lambda t: F.concat_ws(
             " ", t["term"], t["tf"])), " "), 256)), "bags")
     groups = stage(bags.groupBy("question_id", "bag").agg(
-        F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("n")), "bag-groups")
+        F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n")).withColumn(
+        "gid", F.monotonically_increasing_id()), "bag-groups")
     members = stage(lookup(
         bags.select("question_id", "bag", "row_id", "candidate_id"),
-        groups.select("question_id", "bag", "rep"), ["question_id", "bag"]).drop("bag"), "members")
-    firsts = groups.select("question_id", F.col("rep").alias("row_id"), "n")
-    reps = bags.join(firsts, ["question_id", "row_id"]).select(
-        "question_id", F.col("row_id").alias("rep"), "n", "terms")
+        groups.select("question_id", "bag", "gid"), ["question_id", "bag"]).drop("bag"), "members")
+    reps = bags.select("question_id", "row_id", "terms").join(
+        groups.select("question_id", "row_id", "n", "gid"), ["question_id", "row_id"])
     vocabulary = stage(_vocabulary(reps, max_features), "vocabulary")
 
-    flat = reps.select("question_id", "rep", "n", F.explode("terms").alias("t")).select(
-        "question_id", "rep", "n", "t.term", "t.tf")
+    flat = reps.select("question_id", "gid", "n", F.explode("terms").alias("t")).select(
+        "question_id", "gid", "n", "t.term", "t.tf")
     weighed = flat.join(vocabulary, ["question_id", "term"]).withColumn(
         "w", F.col("tf") * F.col("idf"))
-    whole = Window.partitionBy("question_id", "rep")
+    whole = Window.partitionBy("gid")
     rest = whole.orderBy(F.desc("df"), F.desc("term_id")).rowsBetween(
         Window.unboundedPreceding, -1)
     square = F.col("w") * F.col("w")
     norm = F.sqrt(F.sum(square).over(whole))
     after = F.sqrt(F.coalesce(F.sum(square).over(rest), F.lit(0.0)))
     unit = weighed.withColumns({"__norm": norm, "__after": after}).select(
-        "question_id", "rep", "n", F.struct(
+        "question_id", "gid", "n", F.struct(
             "df", "term_id", (F.col("w") / F.col("__norm")).alias("w"),
             (F.col("__after") / F.col("__norm")).alias("after")).alias("e"))
-    vectors = stage(unit.groupBy("question_id", "rep").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("terms")), "vectors")
+    vectors = stage(unit.groupBy("gid").agg(
+        F.first("question_id").alias("question_id"), F.first("n").alias("n"),
+        F.sort_array(F.collect_list("e")).alias("terms")), "vectors")
     return Vectors(members, vectors, vocabulary)
 
 
@@ -142,13 +144,11 @@ def tfidf_vectors(answers: DataFrame, stop_words: Sequence[str] = (),
                   max_features: int | None = lx.MAX_FEATURES) -> DataFrame:
     """One row per answer and term: question_id, row_id, term, weight (unit norm)."""
     model = tfidf_model(answers, stop_words, max_features)
-    flat = model.vectors.select("question_id", "rep", F.explode("terms").alias("e")).select(
-        "question_id", "rep", "e.term_id", F.col("e.w").alias("weight"))
-    named = flat.join(model.vocabulary.select("question_id", "term_id", "term"),
-                      ["question_id", "term_id"])
-    members = model.members.select("question_id", "rep", "row_id")
-    return members.join(named, ["question_id", "rep"]).select(
-        "question_id", "row_id", "term", "weight")
+    flat = model.vectors.select("gid", F.explode("terms").alias("e")).select(
+        "gid", "e.term_id", F.col("e.w").alias("weight"))
+    named = flat.join(model.vocabulary.select("term_id", "term"), "term_id")
+    members = model.members.select("question_id", "gid", "row_id")
+    return members.join(named, "gid").select("question_id", "row_id", "term", "weight")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -162,8 +162,8 @@ def dot(a: Column, b: Column) -> Column:
     return let(F.sort_array(F.concat(a, b)), merged)
 
 
-def _similar_reps(vectors: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    """Pairs of distinct vectors with cosine >= threshold: question_id, rep_a, rep_b, cosine.
+def _similar_groups(vectors: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """Pairs of distinct vectors with cosine >= threshold: question_id, gid_a, gid_b, cosine.
 
     Let the head of a vector end where the norm of what follows drops below the
     threshold.  Two vectors that reach the threshold share a term of both heads, since
@@ -177,38 +177,46 @@ def _similar_reps(vectors: DataFrame, threshold: float, block_rows: int) -> Data
     def in_head(e: Column) -> Column:
         return e["w"] * e["w"] + e["after"] * e["after"] >= floor * floor
 
-    headed = vectors.select("question_id", "rep", F.filter("terms", in_head).alias("head"))
+    headed = vectors.select("gid", F.filter("terms", in_head).alias("head"))
     heads = headed.select(
-        "question_id", "rep", F.element_at("head", -1)["after"].alias("tail"),
-        F.explode("head").alias("e")).select(
-        "question_id", "rep", "tail", "e.term_id", "e.w", "e.after")
-    lengths = stage(heads.groupBy("question_id", "term_id").agg(
+        "gid", F.element_at("head", -1)["after"].alias("tail"), F.explode("head").alias("e")
+    ).select("gid", "tail", "e.term_id", "e.w", "e.after")
+    lengths = stage(heads.groupBy("term_id").agg(
         F.count(F.lit(1)).alias("n_heads")).filter(F.col("n_heads") > 1), "posting-lengths")
-    before = F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("w") * F.col("w") - F.col("after") * F.col("after")))
-    postings = heads.join(lengths, ["question_id", "term_id"]).withColumn("before", before)
+    squares = F.col("w") * F.col("w") + F.col("after") * F.col("after")
+    postings = heads.join(lengths, "term_id").withColumn(
+        "before", F.sqrt(F.greatest(F.lit(0.0), 1.0 - squares)))
 
-    def reachable(a: Column, b: Column) -> Column:
+    def reachable(a: str, b: str) -> Column:
         # Around any shared term the parts before and after add at most the products
         # of their norms.
-        return a["before"] * b["before"] + a["w"] * b["w"] + a["after"] * b["after"] >= floor
-
-    matches = pair_blocks(postings, ["question_id", "term_id"], "rep", F.col("n_heads"),
-                          on=reachable, block_rows=block_rows)
-    met = matches.groupBy(
-        "question_id", F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).agg(
-        F.sum(F.col("a.w") * F.col("b.w")).alias("shared"),
-        F.min("a.after").alias("after_a"), F.min("b.after").alias("after_b"),
-        F.min("a.tail").alias("tail_a"), F.min("b.tail").alias("tail_b"))
+        parts = [F.col(c + a) * F.col(c + b) for c in ("before", "w", "after")]
+        return parts[0] + parts[1] + parts[2] >= floor
+
+    matches = pair_blocks(postings, ["term_id"], "gid", F.col("n_heads"), on=reachable,
+                          block_rows=block_rows)
+    in_order = F.col("gid_a") < F.col("gid_b")
+
+    def side(name: str, first: bool) -> Column:
+        mine, other = ("_a", "_b") if first else ("_b", "_a")
+        return F.when(in_order, F.col(name + mine)).otherwise(F.col(name + other))
+
+    met = matches.select(
+        (F.col("w_a") * F.col("w_b")).alias("product"),
+        *[side(c, first).alias(c + s) for c in ("gid", "after", "tail")
+          for first, s in ((True, "_a"), (False, "_b"))]
+    ).groupBy("gid_a", "gid_b").agg(
+        F.sum("product").alias("shared"),
+        *[F.min(c).alias(c) for c in ("after_a", "after_b", "tail_a", "tail_b")])
     rest = F.greatest(F.col("tail_a") * F.col("after_b"), F.col("after_a") * F.col("tail_b"))
-    candidates = met.filter(F.col("shared") + rest >= floor).select("question_id", "rep_a", "rep_b")
+    candidates = met.filter(F.col("shared") + rest >= floor).select("gid_a", "gid_b")
 
-    slim = vectors.select("question_id", "rep", F.transform("terms", lambda e: F.struct(
+    slim = vectors.select("gid", "question_id", F.transform("terms", lambda e: F.struct(
         e["term_id"].alias("term_id"), e["w"].alias("w"))).alias("v"))
-    left = slim.withColumnsRenamed({"rep": "rep_a", "v": "va"})
-    right = slim.withColumnsRenamed({"rep": "rep_b", "v": "vb"})
-    scored = candidates.join(left, ["question_id", "rep_a"]).join(
-        right, ["question_id", "rep_b"]).select(
-        "question_id", "rep_a", "rep_b", dot(F.col("va"), F.col("vb")).alias("cosine"))
+    left = slim.withColumnsRenamed({"gid": "gid_a", "v": "va"})
+    right = slim.select(F.col("gid").alias("gid_b"), F.col("v").alias("vb"))
+    scored = candidates.join(left, "gid_a").join(right, "gid_b").select(
+        "question_id", "gid_a", "gid_b", dot(F.col("va"), F.col("vb")).alias("cosine"))
     return scored.filter(F.col("cosine") >= threshold)
 
 
@@ -216,8 +224,8 @@ def _similar_reps(vectors: DataFrame, threshold: float, block_rows: int) -> Data
 class SimilarGroups:
     """Similar answers without writing out pairs inside groups of copies.
 
-    ``links``: question_id, rep_a, rep_b, cosine between different term vectors.
-    ``copies``: question_id, rep, n for groups of answers with the same vector, whose
+    ``links``: question_id, gid_a, gid_b, cosine between different term vectors.
+    ``copies``: question_id, gid, n for groups of answers with the same vector, whose
     members are all similar to each other with cosine 1.  ``members`` as in ``Vectors``.
     """
 
@@ -230,51 +238,44 @@ def similar_groups(answers: DataFrame, threshold: float = lx.SIMILARITY_WARN,
                    stop_words: Sequence[str] = (), max_features: int | None = lx.MAX_FEATURES,
                    block_rows: int = BLOCK_ROWS) -> SimilarGroups:
     model = tfidf_model(answers, stop_words, max_features)
-    links = stage(_similar_reps(model.vectors, threshold, block_rows), "links")
-    copies = model.vectors.filter(F.col("n") > 1).select("question_id", "rep", "n")
+    links = stage(_similar_groups(model.vectors, threshold, block_rows), "links")
+    copies = model.vectors.filter(F.col("n") > 1).select("question_id", "gid", "n")
     return SimilarGroups(model.members, links, copies)
 
 
 def _expand(groups: SimilarGroups, block_rows: int) -> DataFrame:
     """Links and copies to pairs of answers: question_id, row and applicant of both, cosine."""
-    members = groups.members
-    copied = members.join(groups.copies, ["question_id", "rep"])
-    inside = pair_blocks(copied, ["question_id", "rep"], "row_id", F.col("n"),
-                         block_rows=block_rows).select("question_id", "a", "b",
-                                                       F.lit(1.0).alias("cosine"))
-    row = F.struct("row_id", "candidate_id")
-
-    def side(link_key: str, name: str) -> DataFrame:
-        """Members of one side, a large group cut into hashed parts that join apart."""
-        parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(float(block_rows))).cast("int")
-        sized = members.join(groups.copies, ["question_id", "rep"], "left").withColumn(
-            "__parts", parts)
-        return sized.select(
-            "question_id", F.col("rep").alias(link_key),
-            F.pmod(F.xxhash64("row_id"), F.col("__parts")).cast("int").alias(f"__{name}"),
-            row.alias(name))
-
-    def sizes(link_key: str, name: str) -> DataFrame:
-        return groups.copies.select(
-            "question_id", F.col("rep").alias(link_key),
-            F.ceil(F.col("n") / F.lit(float(block_rows))).cast("int").alias(f"__n_{name}"))
-
-    def spread(links: DataFrame, link_key: str, name: str) -> DataFrame:
-        sized = links.join(sizes(link_key, name), ["question_id", link_key], "left")
-        last = F.coalesce(F.col(f"__n_{name}"), F.lit(1)) - 1
-        cut = sized.withColumn(f"__{name}", F.explode(F.sequence(F.lit(0), last)))
-        return cut.join(side(link_key, name), ["question_id", link_key, f"__{name}"])
-
-    linked = spread(spread(groups.links, "rep_a", "x"), "rep_b", "y")
-    in_order = F.col("x.row_id") < F.col("y.row_id")
-    across = linked.select(
-        "question_id", F.when(in_order, F.col("x")).otherwise(F.col("y")).alias("a"),
-        F.when(in_order, F.col("y")).otherwise(F.col("x")).alias("b"), "cosine")
-    inside = inside.select("question_id", *[
-        F.struct(F.col(s)["row_id"].alias("row_id"),
-                 F.col(s)["candidate_id"].alias("candidate_id")).alias(s) for s in ("a", "b")
-    ], "cosine")
-    return inside.unionByName(across)
+    sized = groups.members.join(groups.copies.select("gid", "n"), "gid", "left")
+    copied = sized.filter("n > 1").select("question_id", "gid", "row_id", "candidate_id", "n")
+    inside = pair_blocks(copied, ["question_id", "gid"], "row_id", F.col("n"),
+                         block_rows=block_rows).select(
+        "question_id", "row_id_a", "candidate_id_a", "row_id_b", "candidate_id_b",
+        F.lit(1.0).alias("cosine"))
+
+    # A large group is cut into hashed parts that meet their links in different tasks.
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(float(block_rows))).cast("int")
+    cut = sized.withColumn("part", F.pmod(F.xxhash64("row_id"), parts).cast("int"))
+    n_parts = groups.copies.select("gid", parts.alias("parts"))
+
+    def spread(links: DataFrame, s: str) -> DataFrame:
+        counted = links.join(n_parts.withColumnsRenamed({"gid": f"gid{s}", "parts": f"parts{s}"}),
+                             f"gid{s}", "left")
+        last = F.coalesce(F.col(f"parts{s}"), F.lit(1)) - 1
+        return counted.withColumn(f"part{s}", F.explode(F.sequence(F.lit(0), last))).join(
+            cut.select(*[F.col(c).alias(c + s) for c in ("gid", "part", "row_id", "candidate_id")]),
+            [f"gid{s}", f"part{s}"])
+
+    across = spread(spread(groups.links, "_a"), "_b").select(*inside.columns)
+    both = inside.unionByName(across)
+    in_order = F.col("row_id_a") < F.col("row_id_b")
+
+    def ordered(c: str, first: bool) -> Column:
+        mine, other = ("_a", "_b") if first else ("_b", "_a")
+        return F.when(in_order, F.col(c + mine)).otherwise(F.col(c + other))
+
+    return both.select("question_id", "cosine", *[
+        ordered(c, first).alias(c + s) for c in ("row_id", "candidate_id")
+        for first, s in ((True, "_a"), (False, "_b"))])
 
 
 def expand_pairs(groups: SimilarGroups, answers: DataFrame, same_candidate: bool = False,
@@ -286,22 +287,17 @@ def expand_pairs(groups: SimilarGroups, answers: DataFrame, same_candidate: bool
     """
     pairs = _expand(groups, block_rows)
     if not same_candidate:
-        pairs = pairs.filter(F.col("a.candidate_id") != F.col("b.candidate_id"))
+        pairs = pairs.filter(F.col("candidate_id_a") != F.col("candidate_id_b"))
     shown = answers.select("question_id", "row_id", "name",
                            tx.preview("answer_text").alias("preview"))
-
-    def describe(df: DataFrame, side: str) -> DataFrame:
+    for s in ("a", "b"):
         info = shown.select(
-            "question_id", F.col("row_id").alias(f"__{side}"),
-            F.col("name").alias(f"candidate_{side}_name"),
-            F.col("preview").alias(f"text_{side}_preview"))
-        return df.withColumn(f"__{side}", F.col(side)["row_id"]).join(
-            info, ["question_id", f"__{side}"])
-
-    named = describe(describe(pairs, "a"), "b")
-    return named.select(
-        "question_id", F.col("a.candidate_id").alias("candidate_a"), "candidate_a_name",
-        F.col("b.candidate_id").alias("candidate_b"), "candidate_b_name",
+            "question_id", F.col("row_id").alias(f"row_id_{s}"),
+            F.col("name").alias(f"candidate_{s}_name"), F.col("preview").alias(f"text_{s}_preview"))
+        pairs = pairs.join(info, ["question_id", f"row_id_{s}"])
+    return pairs.select(
+        "question_id", F.col("candidate_id_a").alias("candidate_a"), "candidate_a_name",
+        F.col("candidate_id_b").alias("candidate_b"), "candidate_b_name",
         tx.round_half_even("cosine", 4).alias("similarity"),
         F.when(F.col("cosine") >= lx.SIMILARITY_HIGH, F.lit("high"))
         .otherwise(F.lit("medium")).alias("severity"),
@@ -321,26 +317,22 @@ def pair_totals(groups: SimilarGroups, same_candidate: bool = False) -> DataFram
 
     Columns candidate_id, n_pairs, n_strikes.
     """
-    own = groups.members.groupBy("question_id", "rep", "candidate_id").agg(
-        F.count(F.lit(1)).alias("m"))
-    sizes = groups.copies.select("question_id", F.col("rep").alias("other"), F.col("n").alias("n_other"))
-    sides = groups.links.select(
-        "question_id", F.col("rep_a").alias("rep"), F.col("rep_b").alias("other"), "cosine"
-    ).unionByName(groups.links.select(
-        "question_id", F.col("rep_b").alias("rep"), F.col("rep_a").alias("other"), "cosine"))
-    themselves = groups.copies.select(
-        "question_id", "rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
-    reach = sides.unionByName(themselves).join(sizes, ["question_id", "other"], "left")
-    per_strike = reach.select(
-        "question_id", "rep", "other", F.coalesce("n_other", F.lit(1)).alias("n_other"),
+    own = groups.members.groupBy("gid", "candidate_id").agg(F.count(F.lit(1)).alias("m"))
+    sizes = groups.copies.select(F.col("gid").alias("other"), F.col("n").alias("n_other"))
+    links = groups.links
+    reach = links.select(F.col("gid_a").alias("gid"), F.col("gid_b").alias("other"), "cosine").unionByName(
+        links.select(F.col("gid_b").alias("gid"), F.col("gid_a").alias("other"), "cosine")).unionByName(
+        groups.copies.select("gid", F.col("gid").alias("other"), F.lit(1.0).alias("cosine")))
+    sized = reach.join(sizes, "other", "left").select(
+        "gid", "other", F.coalesce("n_other", F.lit(1)).alias("n_other"),
         strikes_for(tx.round_half_even("cosine", 4)).alias("each"))
-    touched = own.join(per_strike, ["question_id", "rep"])
+    touched = own.join(sized, "gid")
     if same_candidate:
-        itself = F.when(F.col("rep") == F.col("other"), F.lit(1)).otherwise(F.lit(0))
+        itself = F.when(F.col("gid") == F.col("other"), F.lit(1)).otherwise(F.lit(0))
         partners = F.col("n_other") - itself
     else:
-        theirs = own.withColumnsRenamed({"rep": "other", "m": "m_other"})
-        touched = touched.join(theirs, ["question_id", "other", "candidate_id"], "left")
+        theirs = own.select(F.col("gid").alias("other"), "candidate_id", F.col("m").alias("m_other"))
+        touched = touched.join(theirs, ["other", "candidate_id"], "left")
         partners = F.col("n_other") - F.coalesce("m_other", F.lit(0))
     pairs = F.col("m") * partners
     return touched.groupBy("candidate_id").agg(
