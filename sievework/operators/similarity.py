@@ -195,21 +195,13 @@ def _similar_groups(vectors: DataFrame, threshold: float, block_rows: int) -> Da
 
     matches = pair_blocks(postings, ["term_id"], "gid", F.col("n_heads"), on=reachable,
                           block_rows=block_rows)
-    in_order = F.col("gid_a") < F.col("gid_b")
-
-    def side(name: str, first: bool) -> Column:
-        mine, other = ("_a", "_b") if first else ("_b", "_a")
-        return F.when(in_order, F.col(name + mine)).otherwise(F.col(name + other))
-
+    # Both products shrink along the shared terms, so their minimum is that of the last.
+    behind = F.greatest(F.col("tail_a") * F.col("after_b"), F.col("after_a") * F.col("tail_b"))
     met = matches.select(
-        (F.col("w_a") * F.col("w_b")).alias("product"),
-        *[side(c, first).alias(c + s) for c in ("gid", "after", "tail")
-          for first, s in ((True, "_a"), (False, "_b"))]
-    ).groupBy("gid_a", "gid_b").agg(
-        F.sum("product").alias("shared"),
-        *[F.min(c).alias(c) for c in ("after_a", "after_b", "tail_a", "tail_b")])
-    rest = F.greatest(F.col("tail_a") * F.col("after_b"), F.col("after_a") * F.col("tail_b"))
-    candidates = met.filter(F.col("shared") + rest >= floor).select("gid_a", "gid_b")
+        F.least("gid_a", "gid_b").alias("gid_a"), F.greatest("gid_a", "gid_b").alias("gid_b"),
+        (F.col("w_a") * F.col("w_b")).alias("product"), behind.alias("behind"),
+    ).groupBy("gid_a", "gid_b").agg(F.sum("product").alias("shared"), F.min("behind").alias("rest"))
+    candidates = met.filter(F.col("shared") + F.col("rest") >= floor).select("gid_a", "gid_b")
 
     slim = vectors.select("gid", "question_id", F.transform("terms", lambda e: F.struct(
         e["term_id"].alias("term_id"), e["w"].alias("w"))).alias("v"))
