@@ -139,8 +139,10 @@ def strike_totals(spark, d):
 def report(spark, d):
     """Per-applicant report; the document pairs stand in for the answer pairs."""
     c = fx.candidates(spark, d)
-    ai, timing = signals(spark, d), forensics.timing_flags(c)
-    pairs = similarity.pair_totals(similarity.similar_groups(fx.document_answers(spark, d), stop_words=fx.STOP_WORDS))
+    ai = stage(signals(spark, d), "ai-signals")
+    timing = stage(forensics.timing_flags(c), "timing-flags")
+    groups = similarity.similar_groups(fx.document_answers(spark, d), stop_words=fx.STOP_WORDS)
+    pairs = stage(similarity.pair_totals(groups), "pair-totals")
     parts = [forensics.ai_strikes(ai), forensics.timing_strikes(timing), pairs]
     strikes = parts[0].select("candidate_id", "n_strikes")
     for part in parts[1:]:

@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
 
+#: The same characters one by one: Unicode white space and the four separators.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -41,7 +47,8 @@ def pattern(regex: str, ignore_case: bool = False) -> str:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Without outer white space; looks at the ends of the text only."""
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def words(c: Column | str) -> Column:
@@ -130,7 +137,8 @@ def folds(regex: str) -> bool:
 
 def folded(c: Column) -> Column:
     """Lower case for case-blind matching, with the long s and dotless i as s and i."""
-    return F.translate(F.lower(c), "ſı", "si")
+    rare = F.contains(c, F.lit("ſ")) | F.contains(c, F.lit("ı"))
+    return F.when(rare, F.translate(F.lower(c), "ſı", "si")).otherwise(F.lower(c))
 
 
 def contraction_rate(c: Column | str, regex: str) -> Column:

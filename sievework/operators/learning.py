@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework import lexicons as lx
@@ -17,20 +17,20 @@ def tier_distribution(scored: DataFrame) -> DataFrame:
 def score_stats(scored: DataFrame, score: str = "total_score") -> DataFrame:
     """Count, mean, min, max and upper median, rounded; null statistics without rows.
 
-    The scores are first counted per value, of which rounding leaves at most 10,001.
+    One pass counts the rows per score, of which rounding leaves at most 10,001 values;
+    the rest, the ordered running count included, looks at those values only.
     """
-    histogram = scored.groupBy(score).agg(F.count(F.lit(1)).alias("__n"))
-    upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{score}` DESC)")
-    if score != "total_score":
-        histogram = histogram.withColumnRenamed(score, "total_score")
-        upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY total_score DESC)")
-    summary = histogram.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("total_candidates"),
-        tx.round_half_even(F.sum(F.col("total_score") * F.col("__n")) / F.sum("__n"), 2).alias("mean"),
-        tx.round_half_even(F.min("total_score"), 2).alias("min"),
-        tx.round_half_even(F.max("total_score"), 2).alias("max"))
-    median = scored.agg(tx.round_half_even(upper, 2).alias("median")).scalar()
-    return summary.withColumn("median", median)
+    histogram = scored.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    running = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = histogram.withColumns({
+        "upto": F.sum("n").over(running), "all": F.sum("n").over(Window.partitionBy(F.lit(0)))})
+    upper_median = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("s")))
+    return counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_candidates"),
+        tx.round_half_even(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 2).alias("mean"),
+        tx.round_half_even(F.min("s"), 2).alias("min"),
+        tx.round_half_even(F.max("s"), 2).alias("max"),
+        tx.round_half_even(upper_median, 2).alias("median"))
 
 
 def reject_warning(scored: DataFrame) -> DataFrame:
