@@ -194,30 +194,20 @@ def candidate_detail(spark, d):
 ANSWER_PAIRS = S.tfidf(S.FLAT_ANSWERS, fx.STOP_WORDS) + S.pairs(lx.SIMILARITY_WARN)
 PIPELINE = S.KEPT + [S.DIMENSIONS, S.SCORED, S.signals("c", "raw_text"), S.FLAGGED] + ANSWER_PAIRS + [SIDES, STRIKES, TOTALS]
 RETIERED = "rt AS (SELECT s.*, tot.strikes, tot.eliminated, CASE WHEN tot.eliminated THEN 'Reject' ELSE s.tier END AS new_tier FROM s JOIN tot USING (candidate_id))"
-# The composed plan uses the default machine-text lexicons.
-_TRANSITIONS, _FORMAL = fx.TRANSITIONS, fx.FORMAL
-
-
-def _default_signals() -> str:
-    fx.TRANSITIONS, fx.FORMAL = lx.AI_TRANSITIONS, [p.replace(r"\b", "") for p in lx.FORMAL_PATTERNS]
-    try:
-        return S.signals("c", "raw_text")
-    finally:
-        fx.TRANSITIONS, fx.FORMAL = _TRANSITIONS, _FORMAL
-
 
 def pipeline(spark, d):
     kept = ap.normalise(ap.dedup_first(ap.valid_rows(fx.applicants(spark, d))))
     return run_pipeline(
         kept, default_weights(spark), "run-1", F.lit(NOW).cast("timestamp"), stop_words=fx.STOP_WORDS,
-        score_options=fx.SCORE_RULES, tech_regex=fx.TECH_TERM_PATTERN)
+        score_options=fx.SCORE_RULES, ai_options=fx.AI_RULES, tech_regex=fx.TECH_TERM_PATTERN)
 
 
-@query("full_pipeline", S.with_(
-    [x if not x.startswith("g AS") else _default_signals() for x in PIPELINE] + [RETIERED],
-    """SELECT candidate_id, total_score, new_tier AS tier, strikes, eliminated, CASE new_tier WHEN 'Reject' THEN 'skipped'
+@query("full_pipeline", S.with_(PIPELINE + [RETIERED],
+    """SELECT candidate_id, row_number() OVER (ORDER BY total_score DESC, row_id) AS rank, total_score, new_tier AS tier, strikes, eliminated, CASE new_tier WHEN 'Reject' THEN 'skipped'
   WHEN 'Review' THEN 'held_for_review' ELSE 'email_sent' END AS action FROM rt"""))
 def full_pipeline(spark, d):
     result = pipeline(spark, d)
-    return result.routed.join(result.report.select("candidate_id", "strikes", "eliminated"), "candidate_id").select(
-        "candidate_id", "total_score", "tier", "strikes", "eliminated", "action")
+    report = result.report.select("candidate_id", "strikes", "eliminated")
+    ranks = result.ranks.select("candidate_id", "rank")
+    return result.routed.join(report, "candidate_id").join(ranks, "candidate_id").select(
+        "candidate_id", "rank", "total_score", "tier", "strikes", "eliminated", "action")

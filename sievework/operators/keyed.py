@@ -11,6 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import stage
+
 #: A key is hot when it holds at least this share of the rows, so at most
 #: ``HOT_KEYS`` keys are hot whatever the data.
 HOT_KEYS = 500
@@ -32,7 +34,7 @@ def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
     """The keys holding at least ``1/limit`` of all rows: never more than ``limit``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    rows = df.agg(F.count(F.lit(1)).alias("__rows")).scalar()
+    rows = counts.agg(F.sum("__n").alias("__rows")).scalar()
     return counts.filter(F.col("__n") * F.lit(limit) >= rows).select(*keys)
 
 
@@ -56,11 +58,15 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str = "row_id") -> DataFrame:
     """Keep each key's row with the smallest ``order``, a unique non-null column.
 
-    The minimum is combined before the exchange and the survivors are picked by the
-    unique column, so no exchange is keyed on a skewed value.
+    Only keys and ``order`` are exchanged: the minimum is combined before the exchange,
+    and the rows that are not first are told apart by the unique column, so no exchange
+    is keyed on a skewed value.  Their ids are written out; where those are few, as
+    repeats mostly are, the planner broadcasts them and the wide rows stay in place.
     """
-    firsts = df.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
-    return df.join(firsts, order, "left_semi")
+    narrow = df.select(*keys, order)
+    firsts = narrow.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
+    repeats = stage(narrow.select(order).join(firsts, order, "left_anti"), "repeats")
+    return df.join(repeats, order, "left_anti")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework import lexicons as lx
 from sievework.functions import text as tx
@@ -41,7 +42,8 @@ def scan_csv(spark: SparkSession, path: str, multi_line: bool = True,
             .option("ignoreTrailingWhiteSpace", False).csv(path)
         )
     except AnalysisException:
-        return spark.createDataFrame([], "row_id BIGINT" if with_row_id else "")
+        ids = T.StructType([T.StructField("row_id", T.LongType())] if with_row_id else [])
+        return spark.createDataFrame([], ids)
     return raw.withColumn("row_id", F.monotonically_increasing_id()) if with_row_id else raw
 
 
