@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators are designed around.  ``forceOptimizeSkewedJoin`` lets
@@ -51,8 +54,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return os.path.join(shared_dir(spark), "sievework", f"{label}-{uuid.uuid4().hex}")
+    """A path that nothing has used yet, in this application's own part of the shared folder.
+
+    Whoever owns the shared folder clears ``sievework/<application id>`` after the run.
+    """
+    run = spark.sparkContext.applicationId
+    return os.path.join(shared_dir(spark), "sievework", run, f"{label}-{uuid.uuid4().hex}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Functions that run in workers are pickled by reference, so a worker must be able to
+    import the package whatever folder the driver was started in.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_sievework_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    # The driver serves the archive to executors from here as long as the context lives.
+    folder = os.path.join(SparkFiles.getRootDirectory(), "shipped")
+    os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(folder, "sievework.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._sievework_shipped = True
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
