@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import LOWER, UPPER, crc32, table
 from sievework.llm.exact_dedup import exact_groups
+from sievework.llm.language import held_out, identify, samples
+from sievework.llm.mixing import broadcast_rows, mix, targets, weighted_quotas, words_in
 from sievework.llm.packing import pack
 from sievework.llm.simhash import near_groups
+from sievework.llm.unit_dedup import LINE_WORDS, SENTENCE_WORDS, repeated_units
+from sievework.llm.warc import archive, read_archive
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +31,69 @@ def query(function):
     return function
 
 
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = samples(docs, ~held_out())
+    found = identify(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("size"))
+    known: dict = {}
+
+    def quotas(sizes: dict) -> dict:
+        known.update(sizes)
+        return weighted_quotas()(sizes)
+
+    mixed = mix(docs, F.array("source"), F.col("size"), quotas, F.xxhash64(F.lit(42), "doc_id", "size"))
+    want = targets(known)
+    facts = broadcast_rows(spark, [(s, n, want[s]) for s, n in known.items()],
+                           "of string, source_size long, target double")
+    met = mixed.join(facts, F.col("source").eqNullSafe(F.col("of")))
+    return met.select("doc_id", "size", "source_size", "target",
+                      (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+@query
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_units(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"keep_id": "keep_doc_id"})
+
+
+ORACLES["op6_unit_dedup"] = rf"""
+WITH lines AS (
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS k
+    FROM documents WHERE text IS NOT NULL),
+placed AS (
+    SELECT doc_id, k, part, sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(part) - 1 AS start
+    FROM lines),
+cut AS (
+    SELECT doc_id, k, start, regexp_extract_all(part, '[^.!?]+[.!?]*|[.!?]+') AS parts FROM placed),
+sentences AS (
+    SELECT doc_id, k, start AS base, unnest(parts) AS part, generate_subscripts(parts, 1) AS j
+    FROM cut WHERE len(parts) > 1),
+spans AS (
+    SELECT doc_id, true AS whole_line, start, part, {LINE_WORDS} AS least FROM placed
+    UNION ALL
+    SELECT doc_id, false, base + sum(length(part)) OVER (PARTITION BY doc_id, k ORDER BY j) - length(part), part, {SENTENCE_WORDS}
+    FROM sentences),
+units AS (
+    SELECT doc_id, whole_line, CAST(start AS BIGINT) AS start, CAST(start + length(part) AS BIGINT) AS stop,
+           md5(array_to_string(regexp_extract_all(translate(part, '{UPPER}', '{LOWER}'), '[^ 	-
+]+'), ' ')) AS digest
+    FROM spans WHERE len(regexp_extract_all(part, '[^ 	-
+]+')) >= least),
+ranked AS (
+    SELECT *, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start
+    FROM units WINDOW w AS (PARTITION BY digest ORDER BY doc_id, start))
+SELECT doc_id, start, stop, whole_line, digest, keep_doc_id, keep_start
+FROM ranked WHERE doc_id <> keep_doc_id OR start <> keep_start
+"""
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_groups(table(spark, sf_dir, "documents"), all_digests=True)
@@ -47,6 +114,35 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    back = read_archive(spark, path, "record_type string, record_id string, refers_to string, "
+                                     "payload_digest string, payload_length long", verify=True)
+    number = lambda c: F.nullif(F.regexp_extract(c, r"x-page:(-?[0-9]+)$", 1), F.lit("")).cast("long")
+    return back.select(
+        number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
+        F.substring("payload_digest", 6, 32).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+
+ORACLES["op9_warc"] = """
+WITH hashed AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+quads AS (  -- five hex digits are four base32 digits
+    SELECT page_id, payload_bytes, hex, [CAST('0x' || substr(hex, 5 * k + 1, 5) AS INTEGER) for k in range(8)] AS parts
+    FROM hashed),
+named AS (
+    SELECT page_id, payload_bytes, array_to_string([
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((parts[1 + (k // 4)] >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1)
+               for k in range(32)], '') AS payload_digest
+    FROM quads),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keep FROM named)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM kept
+"""
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), BYTE_BPE, window=1024, end_id=0)
