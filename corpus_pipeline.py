@@ -1,7 +1,62 @@
-"""Placeholder until the stages are in place."""
+"""The corpus pipeline: documents to packed training sequences, in five stages.
 
+Each stage takes what the one before kept and is written as Parquet before the next reads
+it, so a lost executor costs one stage at most.  All but the last return the columns of
+``documents``; rows may have nulls in any column and may repeat.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.llm.common import free_name
+from sievework.llm.exact_dedup import drop_copies
+from sievework.llm.language import held_out, identify, samples
+from sievework.llm.mixing import mix_by_weight
+from sievework.llm.packing import pack
+from sievework.llm.simhash import drop_near_copies
+from sievework.session import ship_package, stage
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language (no text, or no letter in it) go."""
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = identify(docs, samples(docs, ~held_out()), lang_name=lang, score_name=score)
+    return found.filter(F.col(lang) != "und").select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return drop_copies(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one with the smallest doc_id stays."""
+    return drop_near_copies(docs, words=4, radius=4)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their source takes them, up to three times."""
+    return mix_by_weight(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, with their ids, in sequences of at most 1024 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("simhash_near_dedup", simhash_near_dedup),
+          ("mixing", mixing), ("packing", packing)]
+
+#: Language identification and tokens are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

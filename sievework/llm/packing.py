@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import batches
+from sievework.llm.common import batches, crc32
 from sievework.llm.tokens import ids_of
 
 #: Tokens of rests that a task holds before it packs them: 32 MB of ids.
@@ -78,7 +78,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     """Pieces of all documents with their places in sequences of at most ``window`` tokens.
 
     Returns the id column, ``start`` and ``length`` in the document, ``ids`` (little-endian
-    unsigned 32-bit, binary), ``doc_tokens``, ``sequence_id`` (unique, not dense) and
+    unsigned 32-bit, binary) and their unsigned ``ids_crc32``, ``doc_tokens``, ``sequence_id`` (unique, not dense) and
     ``offset``.  A null or empty text is one piece, the end id.  Repeated rows are packed
     once each, rows with equal ids keep them, other columns are ignored, and an empty table
     gives no rows.  ``sequences`` puts the pieces together.
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     end = end_id.to_bytes(4, "little")
     schema = T.StructType([
         T.StructField(id_column, id_type), T.StructField("start", T.LongType()),
-        T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),
+        T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("ids_crc32", T.LongType()),
         T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
         T.StructField("offset", T.LongType())])
 
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
 
         def arrow(out: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*out))
-            kinds = [types[0], pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [types[0], pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
 
@@ -123,7 +123,8 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
                     n = len(data) // 4
                     for start in range(0, n, window):
                         length = min(window, n - start)
-                        piece = (key, start, length, data[4 * start:4 * (start + length)], n)
+                        ids = data[4 * start:4 * (start + length)]
+                        piece = (key, start, length, ids, crc32(ids), n)
                         if length == window:
                             out.append((*piece, sequence, 0))
                             sequence += 1

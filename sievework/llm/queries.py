@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import LOWER, UPPER, crc32, table
+from sievework.llm.common import LOWER, UPPER, table
 from sievework.llm.exact_dedup import exact_groups
 from sievework.llm.language import held_out, identify, samples
 from sievework.llm.mixing import broadcast_rows, mix, targets, weighted_quotas, words_in
@@ -145,14 +142,4 @@ FROM kept
 
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), BYTE_BPE, window=1024, end_id=0)
-
-    def digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            at = part.schema.get_field_index("ids")
-            sums = pa.array([crc32(x) for x in part.column(at).to_pylist()], pa.int64())
-            yield part.set_column(at, "ids_crc32", sums)
-
-    schema = ", ".join("ids_crc32 long" if f.name == "ids" else f"`{f.name}` {f.dataType.simpleString()}"
-                       for f in pieces.schema)
-    return pieces.mapInArrow(digest, schema)
+    return pack(table(spark, sf_dir, "documents"), BYTE_BPE, window=1024, end_id=0).drop("ids")
