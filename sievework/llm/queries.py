@@ -10,6 +10,7 @@ from sievework.llm.common import LOWER, UPPER, table
 from sievework.llm.exact_dedup import exact_groups
 from sievework.llm.language import held_out, identify, samples
 from sievework.llm.mixing import broadcast_rows, mix, targets, weighted_quotas, words_in
+from sievework.llm.neighbours import nearest
 from sievework.llm.packing import pack
 from sievework.llm.simhash import near_groups
 from sievework.llm.unit_dedup import LINE_WORDS, SENTENCE_WORDS, repeated_units
@@ -54,6 +55,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+@query
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_units(table(spark, sf_dir, "documents"))
