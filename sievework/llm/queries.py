@@ -12,7 +12,9 @@ from sievework.llm.language import held_out, identify, samples
 from sievework.llm.mixing import broadcast_rows, mix, targets, weighted_quotas, words_in
 from sievework.llm.neighbours import nearest
 from sievework.llm.packing import pack
+from sievework.llm.pii import find, labelled, train
 from sievework.llm.simhash import near_groups
+from sievework.llm.token_files import read_tokens, write_tokens
 from sievework.llm.unit_dedup import LINE_WORDS, SENTENCE_WORDS, repeated_units
 from sievework.llm.warc import archive, read_archive
 
@@ -55,6 +57,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find(table(spark, sf_dir, "documents"), train(labelled()))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
+    return read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
