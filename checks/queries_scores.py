@@ -113,19 +113,25 @@ def _oracle_explanation() -> str:
     return "list_filter([" + ",\n".join(parts) + "], lambda x: x IS NOT NULL)"
 
 
-EXPLAINED = f"e AS (SELECT *, {_oracle_explanation()} AS explanation FROM s)"
+EXPLAINED = f"""e AS (SELECT * REPLACE (list_concat(['Rank: #' || row_number() OVER (ORDER BY total_score DESC, row_id)
+  || ' of ' || count(*) OVER ()], explanation) AS explanation) FROM (SELECT *, {_oracle_explanation()} AS explanation FROM s))"""
+
+
+def ranked(spark, d):
+    """Scores with their reasons, the rank first."""
+    return scoring.rank_scores(stage(scored(spark, d, explain=True), "explained"), prefix_explanation=True)
 
 
 @query("explanations", S.with_(S.SCORES + [EXPLAINED], "SELECT candidate_id, array_to_string(explanation, ' / ') AS explanation FROM e"))
 def explanations(spark, d):
-    return scored(spark, d, explain=True).select("candidate_id", F.array_join("explanation", " / ").alias("explanation"))
+    return ranked(spark, d).select("candidate_id", F.array_join("explanation", " / ").alias("explanation"))
 
 
 @query("project_results", S.with_(S.SCORES + [EXPLAINED], "SELECT candidate_id, name, email, total_score, tier, "
        + ", ".join(f"round_even({x}, 2) AS {x}" for x in lx.DIMENSIONS)
        + ", flags, array_to_string(explanation[1:5], ' / ') AS top_explanations FROM e"))
 def project_results(spark, d):
-    return scoring.project_results(scored(spark, d, explain=True)).withColumns({
+    return scoring.project_results(ranked(spark, d)).withColumns({
         "flags": F.array_join("flags", ","), "top_explanations": F.array_join("top_explanations", " / ")})
 
 

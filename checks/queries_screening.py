@@ -50,9 +50,11 @@ def ai_verdict(spark, d):
     return signals(spark, d).select("candidate_id", "ai_probability", "verdict")
 
 
-@query("timing_flags", S.with_(S.BASE + [S.FLAGGED], f"""SELECT candidate_id, severity, CASE flag_kind
-  WHEN 'paste' THEN 'Response in ' || {S.number_text('seconds')} || 's — likely copy-paste'
-  WHEN 'typed' THEN 'Typed ' || format('{{:.1f}}', {S.TOTAL_WORDS} / seconds) || ' words/sec — faster than average typing' END AS flag FROM f"""))
+TIMING_TEXT = f"""CASE flag_kind WHEN 'paste' THEN 'Response in ' || {S.number_text('seconds')} || 's — likely copy-paste'
+  WHEN 'typed' THEN 'Typed ' || format('{{:.1f}}', {S.TOTAL_WORDS} / seconds) || ' words/sec — faster than average typing' END"""
+
+
+@query("timing_flags", S.with_(S.BASE + [S.FLAGGED], f"SELECT candidate_id, severity, {TIMING_TEXT} AS flag FROM f"))
 def timing_flags(spark, d):
     return forensics.timing_flags(fx.candidates(spark, d)).select("candidate_id", "severity", "flag")
 
@@ -126,14 +128,15 @@ def strike_events(spark, d):
 
 
 @query("strike_reasons", S.with_(SCREENED, """SELECT candidate_id, 'AI-generated text detected (p=' || format('{:.2f}', ai_probability) || ')' AS reason FROM g WHERE verdict = 'likely_ai'
-  UNION ALL SELECT candidate_id, 'Similar answer to ' || other_name || ' on Q' || question_id || ' (sim=' || format('{:.2f}', similarity) || ')' FROM sd"""))
+  UNION ALL SELECT candidate_id, 'Similar answer to ' || other_name || ' on Q' || question_id || ' (sim=' || format('{:.2f}', similarity) || ')' FROM sd
+  UNION ALL SELECT candidate_id, 'Timing anomaly: ' || """ + TIMING_TEXT + " FROM f WHERE severity > 0.5"))
 def strike_reasons(spark, d):
-    return strike_rows(spark, d).filter(F.col("source") != "timing").select("candidate_id", "reason")
+    return strike_rows(spark, d).select("candidate_id", "reason")
 
 
 @query("strike_totals", S.with_(SCREENED + [TOTALS], "SELECT candidate_id, strikes, eliminated FROM tot"))
 def strike_totals(spark, d):
-    return forensics.strike_totals(fx.candidates(spark, d), strike_rows(spark, d))
+    return report(spark, d).select("candidate_id", "strikes", "eliminated")
 
 
 def report(spark, d):
@@ -142,11 +145,11 @@ def report(spark, d):
     ai = stage(signals(spark, d), "ai-signals")
     timing = stage(forensics.timing_flags(c), "timing-flags")
     groups = similarity.similar_groups(fx.document_answers(spark, d), stop_words=fx.STOP_WORDS)
-    pairs = stage(similarity.pair_totals(groups), "pair-totals")
+    pairs = stage(similarity.pair_totals(groups, key="row_id"), "pair-totals")
     parts = [forensics.ai_strikes(ai), forensics.timing_strikes(timing), pairs]
-    strikes = parts[0].select("candidate_id", "n_strikes")
+    strikes = parts[0].select("row_id", "n_strikes")
     for part in parts[1:]:
-        strikes = strikes.unionByName(part.select("candidate_id", "n_strikes"))
+        strikes = strikes.unionByName(part.select("row_id", "n_strikes"))
     return forensics.cheat_report(c, ai, pairs, timing, forensics.strike_totals(c, strikes))
 
 
@@ -157,7 +160,7 @@ REPORT = """rpt AS (SELECT tot.candidate_id, tot.name, g.ai_probability, g.verdi
 
 @query("cheat_report", S.with_(SCREENED + [TOTALS, REPORT], "SELECT * FROM rpt"))
 def cheat_report(spark, d):
-    return report(spark, d).drop("timing_flag")
+    return report(spark, d).drop("timing_flag", "row_id")
 
 
 @query("cheat_summary", S.with_(SCREENED + [TOTALS], """SELECT count(*) AS total_candidates, count(*) FILTER (WHERE strikes > 0) AS flagged,
@@ -175,7 +178,8 @@ def cheat_join(spark, d):
 @query("anomaly_counts", S.with_(SCREENED, """SELECT (SELECT count(*) FROM p) AS similar_pairs,
   (SELECT count(*) FROM f WHERE flag_kind IS NOT NULL) AS timing_anomalies"""))
 def anomaly_counts(spark, d):
-    return forensics.anomaly_counts(document_pairs(spark, d), forensics.timing_flags(fx.candidates(spark, d)))
+    groups = similarity.similar_groups(fx.document_answers(spark, d), stop_words=fx.STOP_WORDS)
+    return forensics.anomaly_counts(similarity.pair_totals(groups), forensics.timing_flags(fx.candidates(spark, d)))
 
 
 @query("candidate_detail", S.with_(SCREENED + [S.DIMENSIONS, S.SCORED], """SELECT candidate_id, s.name, s.email, s.role, s.total_score, s.tier, s.flags,

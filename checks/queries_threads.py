@@ -206,9 +206,9 @@ def stream_classify(spark, d):
 
 
 @query("stream_strikes", """SELECT 'c' || user_id AS candidate_id, CAST(sum(CASE WHEN value / 100.0::DOUBLE > 0.8 THEN 2 ELSE 1 END) AS BIGINT) AS strikes,
-  sum(CASE WHEN value / 100.0::DOUBLE > 0.8 THEN 2 ELSE 1 END) >= 3 AS eliminated FROM events WHERE event_type = 'error' GROUP BY ALL""")
+  sum(CASE WHEN value / 100.0::DOUBLE > 0.8 THEN 2 ELSE 1 END) >= 3 AS eliminated FROM events GROUP BY ALL""")
 def stream_strikes(spark, d):
-    source = jobs.stream_parquet(spark, d, "events.parquet").filter(F.col("event_type") == "error")
+    source = jobs.stream_parquet(spark, d, "events.parquet")
     flags = source.select(F.concat(F.lit("c"), "user_id").alias("candidate_id"), (F.col("value") / 100.0).alias("severity"))
     return jobs.run_updates(jobs.stream_strikes(flags), "strikes", ["candidate_id"])
 

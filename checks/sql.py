@@ -240,7 +240,7 @@ FLAGGED = f"""f AS (SELECT *, CASE WHEN {_PASTED} THEN 'paste' WHEN {_TYPED} THE
 # --------------------------------------------------------------- similarity
 
 
-def tfidf(source: str, stop=(), features: int = lx.MAX_FEATURES) -> list[str]:
+def tfidf(source: str, stop=(), features: int | None = lx.MAX_FEATURES) -> list[str]:
     """CTEs ending in ``v(question_id, row_id, term, weight)`` for a source of answers."""
     stop_test = f"AND term NOT IN ({items(stop)})" if stop else ""
     return [
@@ -250,7 +250,7 @@ def tfidf(source: str, stop=(), features: int = lx.MAX_FEATURES) -> list[str]:
   unnest(regexp_extract_all(lower(answer_text), {q(TOKENS)})) AS term FROM answered)
   WHERE true {stop_test} GROUP BY ALL)""",
         f"""df AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY freq DESC, term) AS rk
-  FROM (SELECT question_id, term, count(*) AS df, sum(tf) AS freq FROM tf GROUP BY ALL)) WHERE rk <= {features})""",
+  FROM (SELECT question_id, term, count(*) AS df, sum(tf) AS freq FROM tf GROUP BY ALL)) WHERE {'true' if features is None else f'rk <= {features}'})""",
         "sizes AS (SELECT question_id, count(*) AS n FROM answered GROUP BY ALL)",
         """wt AS (SELECT question_id, row_id, term, tf * (ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1) AS w
   FROM tf JOIN df USING (question_id, term) JOIN sizes USING (question_id))""",

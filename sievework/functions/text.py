@@ -198,7 +198,27 @@ def round_half_even(c: Column | str, digits: int) -> Column:
     side = F.when(product != middle, product - middle).otherwise(error)
     up = (side > 0) | ((side == 0) & (below % 2.0 != 0))
     rounded = F.when(up, below + 1.0).otherwise(below) / float(10 ** digits)
-    return F.when(F.isnan(x) | (F.abs(x) > 1e11), x).otherwise(rounded)
+    return F.when(F.isnan(x) | (F.abs(x) >= 2.0 ** 52), x).when(
+        F.abs(x) > 1e11, _round_large(x, digits)).otherwise(rounded)
+
+
+def _round_large(x: Column, digits: int) -> Column:
+    """The same where the scaled value has too many digits: only the fraction, which a
+    double of this size holds exactly, is rounded, and the text of both is read back."""
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole.cast("double")
+    # Exact: part has at most 52 bits behind the point of a number above 2**36.
+    scaled = part.cast("decimal(38,20)") * F.lit(10 ** digits).cast("decimal(5,0)")
+    low = F.floor(scaled).cast("bigint")
+    half = F.lit("0.5").cast("decimal(38,20)")
+    rest = (scaled - low.cast("decimal(18,0)")).cast("decimal(38,20)")
+    odd = (low % 2 != 0) if digits else (whole % 2 != 0)
+    units = low + F.when((rest > half) | ((rest == half) & odd), 1).otherwise(0)
+    one = 10 ** digits
+    shown = F.concat((whole + F.floor(units / one)).cast("string"), F.lit("."),
+                     F.lpad((units % one).cast("string"), max(1, digits), "0"))
+    return F.when(x < 0, -shown.cast("double")).otherwise(shown.cast("double"))
 
 
 def fixed(c: Column | str, digits: int) -> Column:
@@ -238,10 +258,12 @@ def ladder_at_most(value: Column, steps: Sequence[tuple], otherwise) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A double as text with at least one decimal and no exponent for whole numbers."""
+    """A double as text with at least one decimal; plain digits from 1e-4 to below 1e15."""
+    plain = F.regexp_replace(c.cast("decimal(38,21)").cast("string"), "0+$", "")
     whole = F.concat(c.cast("bigint").cast("string"), F.lit(".0"))
     return (
         F.when(F.isnan(c), F.lit("nan"))
         .when((c == F.floor(c)) & (F.abs(c) < 1e15), whole)
+        .when((F.abs(c) >= 1e-4) & (F.abs(c) < 1e15), plain)
         .otherwise(c.cast("string"))
     )

@@ -142,7 +142,7 @@ TOKEN_PATTERN = r"\b\w\w+\b"
 SIMILARITY_HIGH = 0.92
 SIMILARITY_WARN = 0.80
 STRIKE_LIMIT = 3
-MAX_FEATURES = 5000
+MAX_FEATURES = None
 
 # --------------------------------------------------------------- engagement
 

@@ -41,17 +41,28 @@ def timing_flags(candidates: DataFrame) -> DataFrame:
         F.col("__t.flag").alias("flag"), F.col("__t.severity").alias("severity"))
 
 
+def applicant_key(*frames: DataFrame) -> str:
+    """``row_id``, which is unique, where all frames have it; else ``candidate_id``.
+
+    Applicants of a merged file may share a ``candidate_id``; joining on it would multiply
+    their rows and add up their strikes.
+    """
+    return "row_id" if all("row_id" in f.columns for f in frames) else "candidate_id"
+
+
 def with_names(flags: DataFrame, candidates: DataFrame) -> DataFrame:
     """Adds ``shown_name``: the applicant's name, or the id where there is none."""
-    names = candidates.select("candidate_id", F.col("name").alias("__name"))
+    key = applicant_key(flags, candidates)
+    names = candidates.select(key, F.col("name").alias("__name"))
     base = flags.drop("name")
-    return base.join(names, "candidate_id", "left").withColumn(
+    return base.join(names, key, "left").withColumn(
         "shown_name", F.coalesce("__name", "candidate_id")).drop("__name")
 
 
 def _events(df: DataFrame, source: str, reason, severity) -> DataFrame:
     return df.select(
-        "candidate_id", F.lit(source).alias("source"), reason.alias("reason"),
+        "candidate_id", *[c for c in ("row_id",) if c in df.columns],
+        F.lit(source).alias("source"), reason.alias("reason"),
         severity.alias("severity"), rules.strikes_for(severity).alias("n_strikes"))
 
 
@@ -88,16 +99,19 @@ def pair_strikes(pairs: DataFrame) -> DataFrame:
 
 
 def strike_events(ai: DataFrame, pairs: DataFrame, timing: DataFrame) -> DataFrame:
-    return ai_strikes(ai).unionByName(pair_strikes(pairs)).unionByName(timing_strikes(timing))
+    return ai_strikes(ai).drop("row_id").unionByName(pair_strikes(pairs)).unionByName(
+        timing_strikes(timing).drop("row_id"))
 
 
 def strike_totals(candidates: DataFrame, strikes: DataFrame,
                   limit: int = lx.STRIKE_LIMIT) -> DataFrame:
-    """Strikes and elimination of every applicant; ``strikes`` needs only
-    ``candidate_id`` and ``n_strikes`` and is summed before it is exchanged."""
-    sums = strikes.groupBy("candidate_id").agg(F.sum("n_strikes").alias("strikes"))
-    return candidates.select("candidate_id").join(sums, "candidate_id", "left").select(
-        "candidate_id", F.coalesce("strikes", F.lit(0)).alias("strikes"),
+    """Strikes and elimination of every applicant; ``strikes`` needs only the key
+    (``row_id``, or else ``candidate_id``) and ``n_strikes`` and is summed before it is
+    exchanged."""
+    key = applicant_key(candidates, strikes)
+    sums = strikes.groupBy(key).agg(F.sum("n_strikes").alias("strikes"))
+    return candidates.select(*dict.fromkeys(["candidate_id", key])).join(sums, key, "left").select(
+        *dict.fromkeys(["candidate_id", key]), F.coalesce("strikes", F.lit(0)).alias("strikes"),
         (F.coalesce("strikes", F.lit(0)) >= limit).alias("eliminated"))
 
 
@@ -105,17 +119,26 @@ def cheat_report(candidates: DataFrame, ai: DataFrame, pair_counts: DataFrame, t
                  totals: DataFrame) -> DataFrame:
     """One row per applicant: verdict, pairs, timing, strikes, elimination.
 
-    ``pair_counts`` is (candidate_id, n_pairs).  All inputs have one row per applicant.
+    ``pair_counts`` is (key, n_pairs).  All inputs have one row per applicant, who is told
+    apart by ``row_id`` where every input has it.  Narrow inputs are stacked and added up
+    by the key in one exchange.
     """
-    return (
-        candidates.select("candidate_id", "name")
-        .join(ai.select("candidate_id", "ai_probability", "verdict"), "candidate_id", "left")
-        .join(pair_counts.select("candidate_id", "n_pairs"), "candidate_id", "left")
-        .join(timing.select("candidate_id", F.col("flag").alias("timing_flag"),
-                            F.col("severity").alias("timing_severity")), "candidate_id", "left")
-        .join(totals, "candidate_id", "left")
-        .withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
-    )
+    key = applicant_key(candidates, ai, pair_counts, timing, totals)
+    facts = {"candidate_id": (candidates, "candidate_id"), "name": (candidates, "name"),
+             "ai_probability": (ai, "ai_probability"), "verdict": (ai, "verdict"),
+             "n_pairs": (pair_counts, "n_pairs"), "timing_flag": (timing, "flag"),
+             "timing_severity": (timing, "severity"), "strikes": (totals, "strikes"),
+             "eliminated": (totals, "eliminated")}
+    kinds = {n: df.schema[c].dataType for n, (df, c) in facts.items()}
+    stacked = None
+    for source in (candidates, ai, pair_counts, timing, totals):
+        part = source.select(F.col(key).alias("__key"), F.lit(source is candidates).alias("__is"), *[
+            (F.col(c) if df is source else F.lit(None).cast(kinds[n])).alias(n) for n, (df, c) in facts.items()])
+        stacked = part if stacked is None else stacked.unionByName(part)
+    report = stacked.groupBy("__key").agg(F.max("__is").alias("__is"), *[F.max(n).alias(n) for n in facts]).filter("__is")
+    shown = [F.col("__key").alias("row_id")] if key == "row_id" else []
+    return report.select("candidate_id", *shown, *list(facts)[1:]).withColumn(
+        "n_pairs", F.coalesce("n_pairs", F.lit(0)))
 
 
 def cheat_summary(report: DataFrame) -> DataFrame:
@@ -126,9 +149,13 @@ def cheat_summary(report: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) - flagged).alias("clean"))
 
 
-def anomaly_counts(pairs: DataFrame, timing: DataFrame) -> DataFrame:
-    """Number of similar pairs and of applicants with a timing flag."""
-    n_pairs = pairs.agg(F.count(F.lit(1)).alias("n")).scalar()
+def anomaly_counts(pair_counts: DataFrame, timing: DataFrame) -> DataFrame:
+    """Number of similar pairs and of applicants with a timing flag.
+
+    ``pair_counts`` is that of ``pair_totals``: every pair is in the counts of both its
+    sides, so no pair needs to be written out.
+    """
+    n_pairs = pair_counts.agg(F.coalesce(F.sum("n_pairs") / 2, F.lit(0)).cast("bigint").alias("n")).scalar()
     return timing.agg(
         n_pairs.alias("similar_pairs"),
         F.count_if(F.col("flag").isNotNull()).alias("timing_anomalies"))
@@ -138,7 +165,8 @@ def candidate_detail(candidate_id: str, candidates: DataFrame, scores: DataFrame
                      timing: DataFrame, sides: DataFrame) -> DataFrame:
     """Everything known about one applicant, one row per similar answer.
 
-    The id is filtered in every input before the joins, so it reaches the scans.
+    The id is filtered in every input before the joins.  Give a stored table of ``sides``;
+    otherwise all pairs are computed for one id.
     """
     def only(df: DataFrame) -> DataFrame:
         return df.filter(F.col("candidate_id") == candidate_id)

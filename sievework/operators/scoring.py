@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework import lexicons as lx
 from sievework.functions import rules
 from sievework.functions import text as tx
+from sievework.operators.forensics import applicant_key
 from sievework.operators.keyed import computed_once, lookup
 
 #: Unique integer ids that agree in all but these low bits share a bucket, so a
@@ -94,7 +95,7 @@ def score_candidates(candidates: DataFrame, weights: Mapping[str, float] = lx.WE
         scored = with_explanations(
             scored, options.get("phrases", lx.GENERIC_PHRASES),
             options.get("patterns", lx.CONCRETE_PATTERNS))
-    return round_dimensions(scored).drop("all_text", "found_terms", "terms", "role_key").withColumn(
+    return round_dimensions(scored).drop("all_text", "terms", "role_key").withColumn(
         "cheat_probability", F.lit(0.0))
 
 
@@ -137,10 +138,13 @@ def top_k(scored: DataFrame, k: int = 5, score: str = "total_score") -> DataFram
     return scored.orderBy(F.desc(score), "row_id").limit(k)
 
 
-def project_results(scored: DataFrame) -> DataFrame:
+def project_results(scored: DataFrame, reasons: int | None = 5) -> DataFrame:
+    """Result columns with the first ``reasons`` explanations (``None``: all), after
+    ``rank_scores(..., prefix_explanation=True)`` the rank first."""
+    shown = F.col("explanation") if reasons is None else F.slice("explanation", 1, reasons)
     return scored.select(
         "candidate_id", "name", "email", "total_score", "tier", *lx.DIMENSIONS, "flags",
-        F.slice("explanation", 1, 5).alias("top_explanations"))
+        shown.alias("top_explanations"))
 
 
 def tier_filter(scored: DataFrame, tier: str = "all") -> DataFrame:
@@ -149,14 +153,15 @@ def tier_filter(scored: DataFrame, tier: str = "all") -> DataFrame:
 
 def retier(scored: DataFrame, cheat: DataFrame) -> DataFrame:
     """Cheat results onto scores: flags, tier and probability; total and rank stay."""
+    key = applicant_key(scored, cheat)
     findings = cheat.select(
-        "candidate_id", F.col("strikes").alias("__strikes"),
+        key, F.col("strikes").alias("__strikes"),
         F.col("eliminated").alias("__out"), F.col("ai_probability").alias("__p"))
     struck = F.coalesce(F.col("__strikes"), F.lit(0)) > 0
     out = F.coalesce(F.col("__out"), F.lit(False))
     flag = F.when(out, F.lit("CHEAT_DETECTED")).otherwise(
         F.concat(F.lit("STRIKES_"), F.col("__strikes").cast("string")))
-    return scored.join(findings, "candidate_id", "left").select(
+    return scored.join(findings, key, "left").select(
         *[c for c in scored.columns if c not in ("flags", "tier", "cheat_probability")],
         F.when(struck | out, F.array_append("flags", flag)).otherwise(F.col("flags")).alias("flags"),
         F.when(out, F.lit("Reject")).otherwise(F.col("tier")).alias("tier"),

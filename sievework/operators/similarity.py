@@ -67,12 +67,15 @@ class Vectors:
     group of answers with the same terms.  ``vectors``: question_id, gid, n (answers in
     the group), terms ``ARRAY<STRUCT<df, term_id, w, after>>`` from rare to common,
     where ``after`` is the norm of what follows.  ``vocabulary``: question_id, term,
-    df, idf, term_id.  ``gid`` and ``term_id`` are unique over all questions.
+    df, idf, term_id.  ``groups``: question_id, gid, n of all groups that have terms, also
+    of those that a cut of the vocabulary leaves without a vector.  ``gid`` and
+    ``term_id`` are unique over all questions.
     """
 
     members: DataFrame
     vectors: DataFrame
     vocabulary: DataFrame
+    groups: DataFrame
 
 
 def _vocabulary(reps: DataFrame, max_features: int | None) -> DataFrame:
@@ -111,7 +114,8 @@ def tfidf_model(answers: DataFrame, stop_words: Sequence[str] = (),
         ).withColumn("bag", F.sha2(F.array_join(F.transform("terms", lambda t: F.concat_ws(
             " ", t["term"], t["tf"])), " "), 256)), "bags")
     groups = stage(bags.groupBy("question_id", "bag").agg(
-        F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n")).withColumn(
+        F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n"),
+        F.max(F.size("terms") > 0).alias("worded")).withColumn(
         "gid", F.monotonically_increasing_id()), "bag-groups")
     members = stage(lookup(
         bags.select("question_id", "bag", "row_id", "candidate_id"),
@@ -137,7 +141,7 @@ def tfidf_model(answers: DataFrame, stop_words: Sequence[str] = (),
     vectors = stage(unit.groupBy("gid").agg(
         F.first("question_id").alias("question_id"), F.first("n").alias("n"),
         F.sort_array(F.collect_list("e")).alias("terms")), "vectors")
-    return Vectors(members, vectors, vocabulary)
+    return Vectors(members, vectors, vocabulary, groups.filter("worded").select("question_id", "gid", "n"))
 
 
 def tfidf_vectors(answers: DataFrame, stop_words: Sequence[str] = (),
@@ -172,6 +176,8 @@ def _similar_groups(vectors: DataFrame, threshold: float, block_rows: int) -> Da
     of the two head ends, so one of them contributes no more than its tail and the
     other no more than what follows their last shared head term.
     """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0: pairs that share no term never meet")
     floor = float(threshold) - SLACK
 
     def in_head(e: Column) -> Column:
@@ -231,7 +237,7 @@ def similar_groups(answers: DataFrame, threshold: float = lx.SIMILARITY_WARN,
                    block_rows: int = BLOCK_ROWS) -> SimilarGroups:
     model = tfidf_model(answers, stop_words, max_features)
     links = stage(_similar_groups(model.vectors, threshold, block_rows), "links")
-    copies = model.vectors.filter(F.col("n") > 1).select("question_id", "gid", "n")
+    copies = model.groups.filter(F.col("n") > 1)
     return SimilarGroups(model.members, links, copies)
 
 
@@ -304,20 +310,23 @@ def similar_pairs(answers: DataFrame, threshold: float = lx.SIMILARITY_WARN,
     return expand_pairs(groups, answers, same_candidate, block_rows)
 
 
-def pair_totals(groups: SimilarGroups, same_candidate: bool = False) -> DataFrame:
+def pair_totals(groups: SimilarGroups, same_candidate: bool = False,
+                key: str = "candidate_id") -> DataFrame:
     """Pairs and strikes per applicant, computed from group sizes: no pair is written out.
 
-    Columns candidate_id, n_pairs, n_strikes.
+    Columns ``key``, n_pairs, n_strikes.  With ``key="row_id"`` applicants who share an id
+    are counted apart; their common pairs still count only with ``same_candidate``.
     """
+    names = groups.members.groupBy("gid", *dict.fromkeys(["candidate_id", key])).agg(F.count(F.lit(1)).alias("m"))
+    return names.join(_per_answer(groups, same_candidate), ["gid", "candidate_id"]).groupBy(key).agg(
+        F.sum(F.col("m") * F.col("partners")).alias("n_pairs"),
+        F.sum(F.col("m") * F.col("strikes")).alias("n_strikes")).filter(F.col("n_pairs") > 0)
+
+
+def _per_answer(groups: SimilarGroups, same_candidate: bool) -> DataFrame:
+    """For one answer of an applicant in a group: how many partners, and their strikes."""
     own = groups.members.groupBy("gid", "candidate_id").agg(F.count(F.lit(1)).alias("m"))
-    sizes = groups.copies.select(F.col("gid").alias("other"), F.col("n").alias("n_other"))
-    links = groups.links
-    reach = links.select(F.col("gid_a").alias("gid"), F.col("gid_b").alias("other"), "cosine").unionByName(
-        links.select(F.col("gid_b").alias("gid"), F.col("gid_a").alias("other"), "cosine")).unionByName(
-        groups.copies.select("gid", F.col("gid").alias("other"), F.lit(1.0).alias("cosine")))
-    sized = reach.join(sizes, "other", "left").select(
-        "gid", "other", F.coalesce("n_other", F.lit(1)).alias("n_other"),
-        strikes_for(tx.round_half_even("cosine", 4)).alias("each"))
+    sized = _reach(groups)
     touched = own.join(sized, "gid")
     if same_candidate:
         itself = F.when(F.col("gid") == F.col("other"), F.lit(1)).otherwise(F.lit(0))
@@ -326,10 +335,20 @@ def pair_totals(groups: SimilarGroups, same_candidate: bool = False) -> DataFram
         theirs = own.select(F.col("gid").alias("other"), "candidate_id", F.col("m").alias("m_other"))
         touched = touched.join(theirs, ["other", "candidate_id"], "left")
         partners = F.col("n_other") - F.coalesce("m_other", F.lit(0))
-    pairs = F.col("m") * partners
-    return touched.groupBy("candidate_id").agg(
-        F.sum(pairs).alias("n_pairs"), F.sum(pairs * F.col("each")).alias("n_strikes")
-    ).filter(F.col("n_pairs") > 0)
+    return touched.groupBy("gid", "candidate_id").agg(
+        F.sum(partners).alias("partners"), F.sum(partners * F.col("each")).alias("strikes"))
+
+
+def _reach(groups: SimilarGroups) -> DataFrame:
+    """Each group with the groups its answers are similar to: gid, other, n_other, each (strikes)."""
+    sizes = groups.copies.select(F.col("gid").alias("other"), F.col("n").alias("n_other"))
+    links = groups.links
+    reach = links.select(F.col("gid_a").alias("gid"), F.col("gid_b").alias("other"), "cosine").unionByName(
+        links.select(F.col("gid_b").alias("gid"), F.col("gid_a").alias("other"), "cosine")).unionByName(
+        groups.copies.select("gid", F.col("gid").alias("other"), F.lit(1.0).alias("cosine")))
+    return reach.join(sizes, "other", "left").select(
+        "gid", "other", F.coalesce("n_other", F.lit(1)).alias("n_other"),
+        strikes_for(tx.round_half_even("cosine", 4)).alias("each"))
 
 
 # --------------------------------------------------------------- embeddings

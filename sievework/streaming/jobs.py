@@ -13,7 +13,7 @@ from sievework import lexicons as lx
 from sievework.functions import rules
 from sievework.operators.engagement import classify_replies
 from sievework.operators.keyed import latest_per_key
-from sievework.session import new_path
+from sievework.session import new_path, ship_package
 
 
 def stream_parquet(spark: SparkSession, folder: str, glob: str, files_per_batch: int = 1) -> DataFrame:
@@ -71,46 +71,21 @@ def stream_strikes(events: DataFrame, limit: int = lx.STRIKE_LIMIT) -> DataFrame
 
 def stream_dedup(applications: DataFrame, at: str = "at", keys: tuple[str, ...] = ("email", "role"),
                  horizon: str = "1 hour") -> DataFrame:
-    """One application per key within the horizon: the first to arrive.
+    """One application per key within the horizon: the first on time to arrive.
 
-    Copies inside one Arrow batch are dropped before the exchange, so a hot key
-    sends a row per batch rather than all of its rows to its state.
+    Rows that come after the watermark are left out before copies are looked for, so a
+    late copy never stands in the way of one that is on time.
     """
-    names = list(keys)
-
-    def once_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop_duplicates(names)
-
-    thinned = applications.mapInPandas(once_per_batch, applications.schema)
-    return thinned.withWatermark(at, horizon).dropDuplicatesWithinWatermark(names)
+    return applications.withWatermark(at, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
 STALL_SCHEMA = "thread_id STRING, last_activity TIMESTAMP, state STRING"
 _STATE_SCHEMA = "last_us BIGINT, last_seq BIGINT, last_state STRING"
-_HOUR_SCHEMA = ("thread_id STRING, at TIMESTAMP, first_us BIGINT, last_us BIGINT, "
+_SPAN_SCHEMA = ("thread_id STRING, at TIMESTAMP, first_us BIGINT, last_us BIGINT, "
                 "last_seq BIGINT, last_state STRING")
 _HOUR_US = 3_600_000_000
 
 
-def _hourly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First and last event of each thread and hour in a batch.
-
-    Gaps of more than an hour lie between hours, so nothing else matters to a
-    timeout, and a busy thread shrinks before it is exchanged.
-    """
-    for batch in batches:
-        if batch.empty:
-            continue
-        rows = batch.sort_values(["us", "seq"], kind="stable")
-        rows["hour"] = rows["us"] // _HOUR_US
-        groups = rows.groupby(["thread_id", "hour"], sort=False)
-        out = groups.agg(first_us=("us", "first"), last_us=("us", "last"),
-                         last_seq=("seq", "last"), last_state=("to_state", "last")).reset_index()
-        out["at"] = pd.to_datetime(out["last_us"], unit="us")
-        yield out[["thread_id", "at", "first_us", "last_us", "last_seq", "last_state"]]
-
-
 def stream_threads(events: DataFrame, timeout_hours: float = lx.TIMEOUT_HOURS,
                    lateness: str = "1 hour", waiting: tuple[str, ...] = tuple(lx.WAITING_STATES),
                    ) -> DataFrame:
@@ -119,8 +94,26 @@ def stream_threads(events: DataFrame, timeout_hours: float = lx.TIMEOUT_HOURS,
     From thread events (thread_id, at, seq, to_state).  A silence that ends is seen
     between a thread's consecutive events; one that does not is found when the
     watermark passes its deadline, after which the thread's state is dropped.
+
+    A busy thread shrinks before it is exchanged: only its first and last event in each
+    span of time are kept.  A span is no longer than the timeout, so a silence that is too
+    long never lies inside one.
     """
-    timeout_us = int(timeout_hours * 3_600_000_000)
+    ship_package(events.sparkSession)
+    timeout_us = int(timeout_hours * _HOUR_US)
+    width = max(1, min(_HOUR_US, timeout_us))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            rows = batch.sort_values(["us", "seq"], kind="stable")
+            rows["span"] = rows["us"] // width
+            groups = rows.groupby(["thread_id", "span"], sort=False)
+            out = groups.agg(first_us=("us", "first"), last_us=("us", "last"),
+                             last_seq=("seq", "last"), last_state=("to_state", "last")).reset_index()
+            out["at"] = pd.to_datetime(out["last_us"], unit="us")
+            yield out[["thread_id", "at", "first_us", "last_us", "last_seq", "last_state"]]
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
                ) -> Iterator[pd.DataFrame]:
@@ -131,15 +124,15 @@ def stream_threads(events: DataFrame, timeout_hours: float = lx.TIMEOUT_HOURS,
                 stalls.append((last_us, last_state))
             state.remove()
         else:
-            hours: dict[int, list] = {}
+            met: dict[int, list] = {}
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    slot = hours.setdefault(
-                        row.last_us // _HOUR_US, [row.first_us, row.last_us, row.last_seq, row.last_state])
+                    slot = met.setdefault(
+                        row.last_us // width, [row.first_us, row.last_us, row.last_seq, row.last_state])
                     slot[0] = min(slot[0], row.first_us)
                     if (row.last_us, row.last_seq) > (slot[1], slot[2]):
                         slot[1:] = [row.last_us, row.last_seq, row.last_state]
-            spans = sorted(hours.values())
+            spans = sorted(met.values())
             if state.exists:
                 last_us, last_seq, last_state = state.get
                 spans = sorted([*spans, [last_us, last_us, last_seq, last_state]])
@@ -160,6 +153,6 @@ def stream_threads(events: DataFrame, timeout_hours: float = lx.TIMEOUT_HOURS,
         F.col("thread_id").cast("string").alias("thread_id"),
         F.unix_micros(F.col("at").cast("timestamp")).alias("us"),
         F.col("seq").cast("bigint").alias("seq"), "to_state")
-    hourly = slim.mapInPandas(_hourly, _HOUR_SCHEMA).withWatermark("at", lateness)
-    return hourly.groupBy("thread_id").applyInPandasWithState(
+    spans_of = slim.mapInPandas(ends, _SPAN_SCHEMA).withWatermark("at", lateness)
+    return spans_of.groupBy("thread_id").applyInPandasWithState(
         follow, STALL_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

@@ -191,3 +191,34 @@ def test_full_pipeline_on_an_acceptance_batch(spark, people):
     ai, timing, groups, again = screen(people_df)
     assert {r.candidate_id: r.strikes for r in again.collect()} == {k: v.strikes for k, v in report.items()}
     assert flatten_answers(people_df).count() == 8
+
+
+def test_rare_word_copies_survive_a_term_cut(spark):
+    from sievework.operators import similarity
+    common = ["alpha beta alpha", "beta alpha beta", "alpha alpha beta", "beta beta alpha"]
+    rows = [("q", k, f"c{k}", f"n{k}", t) for k, t in enumerate([*common, "zebra quagga", "quagga zebra"])]
+    answers = spark.createDataFrame(rows, "question_id string, row_id long, candidate_id string, name string, answer_text string")
+    for cut in (2, None):
+        pairs = similarity.similar_pairs(answers, 0.99, max_features=cut).collect()
+        assert ("c4", "c5") in {(p.candidate_a, p.candidate_b) for p in pairs}
+    with pytest.raises(ValueError):
+        similarity.similar_pairs(answers, 0.0)
+
+
+def test_a_repeated_id_keeps_its_rows_apart(spark, people):
+    from pyspark.sql import functions as F
+    from sievework.operators import forensics, scoring
+    from sievework.plans import pipeline
+    text = "I built a docker setup with kafka and measured 300 requests for every region"
+    c = people({"id": "same", "answers": [text], "seconds": 5.0}, {"id": "same", "answers": ["quite another answer here"], "seconds": 200.0},
+               {"id": "other", "answers": [text], "seconds": 200.0})
+    ai, timing, groups, report = pipeline.screen(c)
+    rows = {r.row_id: r for r in report.collect()}
+    assert len(rows) == 3
+    assert [rows[k].n_pairs for k in range(3)] == [1, 0, 1]
+    assert rows[0].timing_severity == 0.9 and rows[1].timing_severity == 0.0 and rows[1].strikes == 0
+    scored = scoring.score_candidates(c)
+    again = scoring.retier(scored, report).collect()
+    assert len(again) == 3 and [r.flags for r in again if r.row_id == 1] == [r.flags for r in scored.collect() if r.row_id == 1]
+    flags = timing.filter(F.col("flag").isNotNull())
+    assert forensics.with_names(flags, c).count() == flags.count()

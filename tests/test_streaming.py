@@ -71,3 +71,29 @@ def test_late_rows_are_dropped(spark, tmp_path):
     got = jobs.run_available(jobs.stream_threads(stream), "stalls")
     # t1 timed out at hour 100; its row from hour 10 came long after the watermark.
     assert [(r.thread_id, (r.last_activity - START).total_seconds() / 3600) for r in got.collect()] == [("t1", 100.0)]
+
+
+def test_late_copy_does_not_displace_the_one_on_time(spark, tmp_path):
+    schema = "email STRING, role STRING, at TIMESTAMP, mark STRING"
+    at = lambda h: START + timedelta(hours=h)
+    rows = [("a", "dev", at(100), "first"), ("b", "dev", at(101), "b"), ("c", "dev", at(102), "c")]
+    stream = files(spark, tmp_path / "in", rows, schema, 3)
+    import os
+    last = spark.createDataFrame([("x", "dev", at(1), "late"), ("x", "dev", at(103), "on time")], schema).coalesce(1)
+    last.write.mode("append").parquet(str(tmp_path / "in"))
+    for name in (tmp_path / "in").glob("*.parquet"):
+        if name not in files.seen:
+            os.utime(name, (1_700_001_000,) * 2)
+    got = {(r.email, r.mark) for r in jobs.run_available(jobs.stream_dedup(stream, horizon="1 hour"), "dedup").collect()}
+    assert got == {("a", "first"), ("b", "b"), ("c", "c"), ("x", "on time")}
+
+
+@pytest.mark.parametrize("timeout,parts", [(0.5, 1), (0.5, 3), (0.1, 2), (1.5, 2)])
+def test_stalls_below_one_hour(spark, tmp_path, timeout, parts):
+    minutes = [0, 5, 50, 52, 54, 59, 61, 140, 141]
+    rows = [("t", START + timedelta(minutes=m), i, "awaiting_reply") for i, m in enumerate(minutes)]
+    rows.append(("end", START + timedelta(hours=400), 99, "completed"))
+    stream = files(spark, tmp_path / "in", rows, "thread_id STRING, at TIMESTAMP, seq BIGINT, to_state STRING", parts)
+    got = jobs.run_available(jobs.stream_threads(stream, timeout_hours=timeout), "stalls")
+    found = sorted((r.last_activity - START).total_seconds() / 60 for r in got.collect())
+    assert found == [a for a, b in zip(minutes, minutes[1:]) if b - a > 60 * timeout] + [minutes[-1]]

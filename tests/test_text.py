@@ -79,3 +79,19 @@ def test_round_half_even_is_python_round(spark):
 def test_number_text(spark):
     df = spark.createDataFrame([(3.0,), (2.5,), (2e7,), (float("nan"),)], "x DOUBLE")
     assert [r[0] for r in df.select(tx.number_text(F.col("x"))).collect()] == ["3.0", "2.5", "20000000.0", "nan"]
+
+
+def test_rounding_of_large_numbers(spark):
+    import random
+    rng = random.Random(1)
+    values = [1e11 + 0.005, 123456789012.125, 123456789012.375, 2.0 ** 51 + 0.5, 2.0 ** 51 + 1.5, 1e12 + 0.9999, -123456789012.625, 1e18]
+    values += [rng.uniform(1e11, 4e15) for _ in range(500)] + [-rng.uniform(1e11, 1e13) for _ in range(100)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2, 4):
+        got = [r[0] for r in df.select(tx.round_half_even("x", digits)).collect()]
+        assert got == [float(round(v, digits)) for v in values]
+
+
+def test_number_text_has_no_exponent(spark):
+    df = spark.createDataFrame([(v,) for v in (12345678.5, 0.0005, 123456789012.25, -98765432.125)], "x double")
+    assert [r[0] for r in df.select(tx.number_text(F.col("x"))).collect()] == ["12345678.5", "0.0005", "123456789012.25", "-98765432.125"]
