@@ -29,7 +29,7 @@ NEIGHBOURS, REVERSE, ROUNDS, CHANGED = 24, 16, 5, 0.002
 #: Nodes of a part, and pivots (a bounded sample of the vectors; 1 MB at 64 components).
 PART_NODES, PIVOTS = 1536, 4096
 #: Width of the beam of a search.
-BEAM = 120
+BEAM = 240
 
 
 def usable(vector: Column) -> Column:
@@ -213,13 +213,16 @@ def shards(graph: DataFrame, parted: DataFrame, reverse: int) -> DataFrame:
                  "shards")
 
 
-def walk(query: np.ndarray, entries: list[int], done: set[int], vec: np.ndarray, near: list, beam: int) -> dict[int, tuple[float, bool]]:
+def walk(query: np.ndarray, entries: list[int], done: set[int], vec: np.ndarray, near: list, beam: int,
+         held: list[float] = ()) -> dict[int, tuple[float, bool]]:
     """Greedy search in one shard: position to (score, whether its neighbours were looked at).
 
-    ``done`` are positions whose neighbours other rounds have looked at.
+    ``entries`` are the positions of the beam that lie in this shard, ``held`` the scores of
+    those that do not, and ``done`` positions whose neighbours other rounds have looked at.
+    Positions that do not reach the beam are left out.
     """
     seen: dict[int, tuple[float, bool]] = {}
-    best: list[float] = []  # the beam's scores, least first
+    best = heapq.nlargest(beam, held)[::-1]  # the beam's scores, least first
     todo: list[tuple[float, int]] = []
 
     def meet(positions: list[int]) -> None:
@@ -240,7 +243,8 @@ def walk(query: np.ndarray, entries: list[int], done: set[int], vec: np.ndarray,
             break
         seen[p] = (-s, True)
         meet(near[p])
-    return seen
+    least = best[0] if len(best) >= beam else -np.inf
+    return {p: found for p, found in seen.items() if found[0] >= least}
 
 
 def search(queries: DataFrame, shard: DataFrame, beam: int = BEAM) -> DataFrame:
@@ -262,12 +266,14 @@ def search(queries: DataFrame, shard: DataFrame, beam: int = BEAM) -> DataFrame:
         near = [None if lists[k] is None else np.searchsorted(ids, lists[k]).tolist() for k in order]
         at = {n: k for k, n in enumerate(ids.tolist())}
         out = []
-        for query, qvec, nodes, seen in zip(*[asked.column(c).to_pylist() for c in ("query", "qvec", "nodes", "seen")]):
-            entries = [at[n] for n in nodes if n in at]
-            done = {at[n] for n, s in zip(nodes, seen) if s and n in at}
-            got = walk(np.array(qvec, float), entries, done, vec, near, beam)
-            top = sorted(got.items(), key=lambda x: (-x[1][0], x[0]))[:beam]
-            out += [(query, int(ids[p]), s, looked, int(homes[p])) for p, (s, looked) in top]
+        for query, qvec, held in zip(*[asked.column(c).to_pylist() for c in ("query", "qvec", "held")]):
+            here = {at[h["node"]]: h for h in held if h["node"] in at}
+            done = {p for p, h in here.items() if h["seen"]}
+            got = walk(np.array(qvec, float), list(here), done, vec, near, beam,
+                       [h["score"] for h in held if h["node"] not in at])
+            # Only what is new: nodes that reach the beam, and nodes looked at just now.
+            out += [(query, int(ids[p]), s, looked, int(homes[p])) for p, (s, looked) in got.items()
+                    if p not in here or here[p]["score"] is None or looked and p not in done]
         columns = list(zip(*out)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["query", "node", "score", "seen", "home"])
@@ -278,7 +284,7 @@ def search(queries: DataFrame, shard: DataFrame, beam: int = BEAM) -> DataFrame:
         if pending.isEmpty():
             return found.select("query", "node", "score")
         # Each part that is asked gets the query's whole beam, so that it stops where the beam ends.
-        beams = found.groupBy("query").agg(F.collect_list("node").alias("nodes"), F.collect_list("seen").alias("seen"))
+        beams = found.groupBy("query").agg(F.collect_list(F.struct("node", "score", "seen")).alias("held"))
         asked = pending.join(beams, "query").join(queries, "query")
         news = asked.groupBy("part").cogroup(shard.groupBy("part")).applyInArrow(task, state)
         merged = found.filter("score is not null").unionByName(news).groupBy("query", "node").agg(
