@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
         for part in parts:
             types[:] = [part.schema.field(0).type]
             pairs = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-            for batch in batches(pairs, 1):
+            for batch in batches(pairs, 1, 1_500_000):
                 out = []
                 for (key, _), data in zip(batch, encoder.encode([t for _, t in batch])):
                     data += end

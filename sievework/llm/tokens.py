@@ -24,8 +24,10 @@ MARKED = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.S)
 #: Stands between pieces that are encoded in one go.  The code point is not assigned, so it
 #: is a word of its own for both files, and no other text has its bytes.
 BETWEEN = "\u0378"
-#: Pieces encoded in one go, and characters of the pieces a worker remembers (about 100 MB).
-TOGETHER, MEMO_CHARS = 2000, 1_500_000
+#: Pieces encoded in one go.
+TOGETHER = 2000
+#: A worker remembers twice so many pieces at most (about 150 MB), or so many characters.
+MEMO_PIECES, MEMO_CHARS = 300_000, 16_000_000
 SPACE = " \n\t\r\x0b\x0c"
 
 _LOADED: dict[str, "Ids"] = {}
@@ -77,11 +79,11 @@ class Ids:
             memo.update(zip(part, self.together(part)))
         memo.update(zip(odd, self.whole(odd)))
         memo.update((p, memo[word] + memo[end]) for p, (word, end) in cut.items())
-        self.chars += sum(map(len, pieces)) + sum(map(len, plain))
+        self.chars += sum(map(len, pieces))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null counts as empty."""
-        if self.chars > MEMO_CHARS:  # words still in use come back from the older half
+        if len(self.memo) > MEMO_PIECES or self.chars > MEMO_CHARS:  # words still in use come back from the older half
             self.older, self.memo, self.chars = self.memo, {}, 0
         cut = [None if t and ODD_SPACE.search(t) else PIECE.findall(t or "") for t in texts]
         missing = set().union(*[c for c in cut if c]).difference(self.memo)
