@@ -42,6 +42,34 @@ def scan_csv(spark, d):
         F.md5(_text("q3")).alias("q3"), "time_taken")
 
 
+def _mixed_files(spark, folder: str) -> str:
+    """The same in files with two column orders, and files with a broken line each."""
+    path = new_path(spark, "applicants-mixed")
+    wide = fx.applicants_wide(spark, folder).withColumnRenamed("row_id", "row_no")
+    for rest, names in ((0, wide.columns), (1, wide.columns[::-1])):
+        wide.filter(F.col("row_no") % 2 == rest).select(*[F.col(f"`{n}`") for n in names]).write.mode("append").option(
+            "header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(path)
+    broken = F.concat(F.lit("Applicant_ID,email\nb"), "doc_id", F.lit(",x,too,many"))
+    fx.table(spark, folder, "documents").filter(F.col("doc_id") % 50 == 0).select(broken.alias("value")).write.mode(
+        "append").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("scan_csv_mixed", S.with_([S.WIDE], """SELECT coalesce(cid, '') AS applicant_id, coalesce(email, '') AS email,
+  coalesce(github, '') AS github, md5(coalesce(parts[1], '')) AS q1, md5(array_to_string(parts[3:], chr(10))) AS q3 FROM w"""))
+def scan_csv_mixed(spark, d):
+    raw = ap.scan_csv(spark, _mixed_files(spark, d))
+    return raw.filter(F.col(ap.CORRUPT).isNull()).select(
+        _text("Applicant_ID").alias("applicant_id"), _text("email").alias("email"), _text("github").alias("github"),
+        F.md5(_text("q1_first_line")).alias("q1"), F.md5(_text("q3")).alias("q3"))
+
+
+@query("parse_errors", "SELECT 'b' || doc_id || ',x,too,many' AS line, 'parse_error' AS reject_reason FROM documents WHERE doc_id % 50 = 0")
+def parse_errors(spark, d):
+    return ap.parse_errors(ap.scan_csv(spark, _mixed_files(spark, d))).drop("row_id")
+
+
 @query("read_applicants", S.with_(S.KEPT, """SELECT candidate_id, name, email, role, github_url, linkedin_url,
   CASE WHEN isnan(seconds) THEN -1.0 ELSE seconds END AS seconds, md5(a1) AS a1, md5(a2) AS a2, md5(a3) AS a3 FROM c"""))
 def read_applicants(spark, d):

@@ -34,8 +34,29 @@ def test_scan_keeps_strings_quotes_and_lines(raw):
     assert sorted(r["row_id"] for r in rows.values()) == list(range(8))
 
 
-def test_scan_of_nothing_is_empty(spark, tmp_path):
-    assert ap.scan_csv(spark, str(tmp_path / "missing.csv")).count() == 0
+def test_a_missing_path_is_an_error_unless_allowed(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        ap.scan_csv(spark, str(tmp_path / "missing.csv"))
+    assert ap.scan_csv(spark, str(tmp_path / "missing.csv"), missing_ok=True).count() == 0
+
+
+@pytest.mark.parametrize("multi_line,split", [(True, "128m"), (False, "128m"), (False, "200b")])
+def test_files_with_other_column_order_and_broken_lines(spark, tmp_path, multi_line, split):
+    (tmp_path / "b one.csv").write_text("email,name,id\n" + "".join(f"b{k}@x.test,Bob {k},b{k}\n" for k in range(40)))
+    (tmp_path / "a.csv").write_text("id,name,email,q1_x\na1,Ann,a@x.test,yes\na2,Al,al@x.test,no,too,many\na3,Ada\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        raw = ap.scan_csv(spark, str(tmp_path), multi_line=multi_line)
+        rows = {r.row_id: r for r in raw.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(rows) == list(range(43))
+    assert (rows[0].id, rows[0].name, rows[0].email, rows[0].q1_x) == ("a1", "Ann", "a@x.test", "yes")
+    assert [(rows[3 + k].id, rows[3 + k].email, rows[3 + k].q1_x) for k in range(40)] == [(f"b{k}", f"b{k}@x.test", None) for k in range(40)]
+    assert [(r.row_id, r.line, r.reject_reason) for r in ap.parse_errors(raw).orderBy("row_id").collect()] == [
+        (1, "a2,Al,al@x.test,no,too,many", "parse_error"), (2, "a3,Ada", "parse_error")]
+    assert ap.clean_applicants(raw).count() == 41
 
 
 def test_columns_and_questions(raw):
