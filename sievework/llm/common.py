@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,27 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def batches(rows: Iterable[tuple], size_at: int, limit: int = 4_000_000) -> Iterator[list[tuple]]:
+#: What worker processes keep between tasks, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """This worker's store for one operator; those of other operators are given up.
+
+    Workers are reused by later stages, and a store that nobody asks for would stay.
+    """
+    for other in [k for k in KEPT if k != operator]:
+        del KEPT[other]
+    return KEPT.setdefault(operator, {})
+
+
+def rows_of(part: pa.RecordBatch, *columns: int) -> Iterator[tuple]:
+    """Rows of some columns as Python values, a few hundred at a time."""
+    for at in range(0, part.num_rows, 256):
+        yield from zip(*[part.column(c).slice(at, 256).to_pylist() for c in columns])
+
+
+def batches(rows: Iterable[tuple], size_at: int, limit: int = 1_000_000) -> Iterator[list[tuple]]:
     """Cut rows into lists whose texts (element ``size_at``) add up to about ``limit`` characters."""
     held: list[tuple] = []
     chars = 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import batches
+from sievework.llm.common import batches, kept, rows_of
 
 #: The bounded sample: documents drawn per language, characters of a piece, characters kept
 #: per language, and languages (the most frequent ones, ties to the smaller name).
@@ -27,8 +27,6 @@ LETTERS, SHARED = 90, 30
 #: Characters that one walk covers; longer texts are several walks, and their phrases add up.
 SEGMENT = 1024
 
-_MODELS: dict[int, "Model"] = {}
-
 
 def samples(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text",
             lang_column: str = "lang") -> dict[str, list[str]]:
@@ -197,10 +195,11 @@ class Model:
 
 def _model(key: int, texts: Mapping[str, list[str]]) -> Model:
     """The fitted model of this worker process."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model.fit(texts)
-    return _MODELS[key]
+    fitted = kept("language")
+    if key not in fitted:
+        fitted.clear()
+        fitted[key] = Model.fit(texts)
+    return fitted[key]
 
 
 def identify(docs: DataFrame, texts: Mapping[str, list[str]], text_column: str = "text",
@@ -223,7 +222,7 @@ def identify(docs: DataFrame, texts: Mapping[str, list[str]], text_column: str =
         for part in parts:
             names: list[str] = []
             scores: list[float] = []
-            for batch in batches(((t,) for t in part.column(at).to_pylist()), 0):
+            for batch in batches(rows_of(part, at), 0):
                 n, s = model.predict([t for t, in batch])
                 names += n
                 scores += s

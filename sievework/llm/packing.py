@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import batches, crc32
+from sievework.llm.common import batches, crc32, rows_of
 from sievework.llm.tokens import ids_of
 
 #: Tokens of rests that a task holds before it packs them: 32 MB of ids.
@@ -115,8 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
         held = 0
         for part in parts:
             types[:] = [part.schema.field(0).type]
-            pairs = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-            for batch in batches(pairs, 1, 1_500_000):
+            for batch in batches(rows_of(part, 0, 1), 1):
                 out = []
                 for (key, _), data in zip(batch, encoder.encode([t for _, t in batch])):
                     data += end

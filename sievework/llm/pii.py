@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import batches
+from sievework.llm.common import batches, kept, rows_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -354,9 +354,6 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-_FIELDS: dict[str, Field] = {}
-
-
 def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_column: str = "doc_id",
          text_column: str = "text") -> DataFrame:
     """Per row: the id; ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` and ``base``, the base
@@ -373,12 +370,13 @@ def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_column: str =
     key = hashlib.sha256(model[0].tobytes() + model[1].tobytes()).hexdigest()
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _FIELDS:
-            _FIELDS[key] = Field(*model)
-        field = _FIELDS[key]
+        fields = kept("pii")
+        if key not in fields:
+            fields[key] = Field(*model)
+        field = fields[key]
         for part in parts:
             out = []
-            for batch in batches(((t,) for t in part.column(1).to_pylist()), 0, 1_500_000):
+            for batch in batches(rows_of(part, 1), 0):
                 texts = [t or "" for t, in batch]
                 for text, added in zip(texts, field.spans(texts)):
                     base = base_spans(text)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bitmap import bitmap_of
-from sievework.llm.common import batches, free_name
+from sievework.llm.common import batches, free_name, rows_of
 from sievework.llm.components import components
 from sievework.session import stage
 
@@ -67,8 +67,7 @@ def with_fingerprints(docs: DataFrame, id_column: str, text_column: str, words:
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = ((t,) for t in part.column(1).to_pylist())
-            found = [f for b in batches(texts, 0) for f in fingerprints([t for t, in b], words)]
+            found = [f for b in batches(rows_of(part, 1), 0) for f in fingerprints([t for t, in b], words)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, fp long"

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import batches, crc32
+from sievework.llm.common import batches, crc32, rows_of
 from sievework.llm.tokens import ids_of
 from sievework.session import new_path
 
@@ -310,7 +310,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | N
         kind = pa.null()
         for part in parts:
             kind = part.column(0).type
-            for batch in batches(zip(part.column(0).to_pylist(), part.column(1).to_pylist()), 1):
+            for batch in batches(rows_of(part, 0, 1), 1):
                 for (key, _), ids in zip(batch, encoder.encode([t for _, t in batch])):
                     keys.append(key)
                     data.append(ids + end)

@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from sievework.llm.common import kept
+
 #: A white-space run with the word after it, or the run that ends the text.
 PIECE = re.compile(r"\s*\S+|\s+")
 #: White space beyond the ASCII characters that every definition has.
@@ -26,13 +28,10 @@ MARKED = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.S)
 BETWEEN = "\u0378"
 #: Pieces encoded in one go.
 TOGETHER = 2000
-#: A worker remembers twice so many pieces at most (about 150 MB), or so many characters.
-MEMO_PIECES, MEMO_CHARS = 300_000, 16_000_000
+#: A worker remembers twice so many pieces at most (about 100 MB), or so many characters.
+MEMO_PIECES, MEMO_CHARS = 200_000, 16_000_000
 SPACE = " \n\t\r\x0b\x0c"
 
-_LOADED: dict[str, "Ids"] = {}
-
-
 class Ids:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -95,6 +94,7 @@ class Ids:
 
 def ids_of(path: str) -> Ids:
     """The encoder of this worker process for a tokenizer file."""
-    if path not in _LOADED:
-        _LOADED[path] = Ids(path)
-    return _LOADED[path]
+    loaded = kept("tokens")
+    if path not in loaded:
+        loaded[path] = Ids(path)
+    return loaded[path]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bitmap import bitmap_of
-from sievework.llm.common import batches, free_name
+from sievework.llm.common import batches, free_name, rows_of
 from sievework.session import stage
 
 LINE = re.compile(r"[^\n]+")
@@ -54,7 +54,7 @@ def located(rows: DataFrame, line_words: int, sentence_words: int) -> DataFrame:
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for batch in batches(zip(*[part.column(k).to_pylist() for k in range(3)]), 2):
+            for batch in batches(rows_of(part, 0, 1, 2), 2):
                 out = [(row, key, start, stop, whole, int.from_bytes(d[:8], "big", signed=True),
                         int.from_bytes(d[8:], "big", signed=True))
                        for row, key, text in batch if text
