@@ -47,79 +47,92 @@ SLOTS = 4096
 _U = np.uint64
 
 
+#: Next confidence (1 to 3) by 2 * confidence + hit: it rises while a prediction holds.
+_NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int32)
+#: Stride of lanes in the sorted order-0 starts that the decoder searches.
+_STRIDE = (1 << LINE) + 1
+
+
 class Mixer:
-    """The models of ``lanes`` blocks, all at the same token."""
+    """The models of ``lanes`` blocks, all at the same token.  Tables are flat; each lane has
+    its own stretch of them."""
 
     def __init__(self, lanes: int, prior: np.ndarray):
         self.lanes, self.size = lanes, len(prior)
         self.prior = prior.astype(np.int64)
-        self.seen = np.zeros((lanes, self.size), np.int32)
-        self.cum = np.zeros((lanes, self.size + 1), np.int32)
+        lane = np.arange(lanes)
+        self.base, self.base_cum, self.base2, self.base16 = (lane * n for n in (self.size, self.size + 1, SLOTS, 16))
+        self.row_start = lane * _STRIDE
+        self.seen = np.zeros(lanes * self.size, np.int32)
+        self.starts = np.zeros(lanes * (self.size + 1), np.int64)  # order-0 starts, one stride per lane apart
         # Contexts hold 4 * (id + 1) + confidence; 0 means not seen yet.
         self.one = np.zeros(lanes * self.size, np.int32)
         self.two = np.zeros(lanes * SLOTS, np.int32)
-        self.base1 = np.arange(lanes) * self.size
-        self.base2 = np.arange(lanes) * SLOTS
-        self.row = np.arange(lanes)
-        # Right and all predictions per pair of confidences (order 2, order 1).
-        self.right = np.tile(np.array([1, 1], np.int64), (lanes, 16, 1))
-        self.asked = np.full((lanes, 16), 6, np.int64)
+        # Per pair of confidences: right of order 2, right of order 1 alone, all; 20 bits each.
+        self.stats = np.full(lanes * 16, (1 << 40) + (1 << 20) + 6, np.int64)
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
+        self.at1 = self.base.copy()
         self.steps = 0
 
     def renew(self) -> None:
         """Order-0 intervals from the counts so far, and the shares of orders 2 and 1."""
-        total = self.prior.sum() + COUNT * self.seen.sum(1, dtype=np.int64)
+        seen, starts = self.seen.reshape(self.lanes, -1), self.starts.reshape(self.lanes, -1)
         free = (1 << LINE) - self.size
         cut = max(1, (4 << 20) // max(1, self.size))
         for at in range(0, self.lanes, cut):
-            weight = np.cumsum(self.prior[None, :] + COUNT * self.seen[at:at + cut].astype(np.int64), axis=1)
-            self.cum[at:at + cut, 1:] = np.arange(1, self.size + 1) + free * weight // total[at:at + cut, None]
-        share = (SHARES - 2) * self.right // (self.asked[:, :, None] + 1)
-        self.share2, self.share1 = share[:, :, 0].ravel(), share[:, :, 1].ravel()
+            weight = np.cumsum(self.prior[None, :] + COUNT * seen[at:at + cut], axis=1)
+            starts[at:at + cut, 0] = self.row_start[at:at + cut]
+            starts[at:at + cut, 1:] = (np.arange(1, self.size + 1) + free * weight // weight[:, -1:]
+                                       + self.row_start[at:at + cut, None])
+        mask = (1 << 20) - 1
+        asked = (self.stats & mask) + 1
+        sure = np.arange(16)
+        share2 = (SHARES - 2) * (self.stats >> 40) // asked * np.tile(sure >> 2 > 0, self.lanes)
+        share1 = (SHARES - 2) * (self.stats >> 20 & mask) // asked * np.tile(sure & 3 > 0, self.lanes)
+        self.shares = share2 << 8 | share1
 
     def predict(self) -> None:
         if self.steps % EPOCH == 0:
             self.renew()
         self.steps += 1
-        self.at2 = self.base2 + ((self.before * 40503 + self.last * 2654435) >> 5) % SLOTS
-        self.at1 = self.base1 + self.last
-        got2, got1 = self.two[self.at2], self.one[self.at1]
-        self.id2, self.id1 = (got2 >> 2) - 1, (got1 >> 2) - 1
-        self.sure = (got2 & 3) * 4 + (got1 & 3)
-        slot = self.row * 16 + self.sure
-        none2, none1 = got2 == 0, (got1 == 0) | (self.id1 == self.id2)
-        self.k2 = np.where(none2, 0, self.share2[slot])
-        self.k1 = np.where(none1, 0, self.share1[slot])
+        self.at2 = self.base2 + ((self.before * 40503 + self.last * 2654435 >> 5) & (SLOTS - 1))
+        self.got2, self.got1 = self.two[self.at2], self.one[self.at1]
+        self.id2, self.id1 = self.got2 >> 2, self.got1 >> 2  # one more than the id
+        self.slot = self.base16 + ((self.got2 & 3) << 2 | self.got1 & 3)
+        both = self.shares[self.slot]
+        self.k2, self.k1 = both >> 8, both & 255
         self.k0 = SHARES - self.k2 - self.k1
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of ids on a line of SHARES << LINE places."""
-        low, high = self.cum[self.row, x], self.cum[self.row, x + 1]
-        start = self.k0 * low + ((self.k2 * (self.id2 < x) + self.k1 * (self.id1 < x)) << LINE)
-        width = self.k0 * (high - low) + ((self.k2 * (self.id2 == x) + self.k1 * (self.id1 == x)) << LINE)
+        at, y = self.base_cum + x, x + 1
+        low = self.starts[at]
+        width = self.k0 * (self.starts[at + 1] - low) + (self.k2 * (self.id2 == y) + self.k1 * (self.id1 == y) << LINE)
+        start = self.k0 * (low - self.row_start) + (self.k2 * (self.id2 < y) + self.k1 * (self.id1 < y) << LINE)
         return start, width
 
     def find(self, place: np.ndarray) -> np.ndarray:
-        """The id whose interval holds ``place``: a binary search on the starts."""
-        low, high = np.zeros(self.lanes, np.int64), np.full(self.lanes, self.size - 1)
-        for _ in range(max(1, self.size - 1).bit_length()):
-            mid = (low + high + 1) >> 1
-            start = self.k0 * self.cum[self.row, mid] + ((self.k2 * (self.id2 < mid) + self.k1 * (self.id1 < mid)) << LINE)
-            up = start <= place
-            low, high = np.where(up, mid, low), np.where(up, high, mid - 1)
-        return low
+        """The id whose interval holds ``place``: a predicted id, or what order 0 has there
+        once the predicted ids before it are taken off."""
+        guess2, guess1 = np.maximum(self.id2 - 1, 0).astype(np.int64), np.maximum(self.id1 - 1, 0).astype(np.int64)
+        start2, width2 = self.interval(guess2)
+        start1, width1 = self.interval(guess1)
+        past2, past1 = place >= start2 + width2, place >= start1 + width1
+        plain = (place - (self.k2 * past2 + self.k1 * past1 << LINE)) // self.k0
+        x = np.searchsorted(self.starts, self.row_start + np.clip(plain, 0, (1 << LINE) - 1), "right") - 1 - self.base_cum
+        x = np.where((place >= start1) & ~past1, guess1, x)
+        return np.where((place >= start2) & ~past2, guess2, x)
 
     def learn(self, x: np.ndarray) -> None:
-        hit2, hit1 = self.id2 == x, self.id1 == x
-        self.right[self.row, self.sure, 0] += hit2
-        self.right[self.row, self.sure, 1] += hit1 & ~hit2
-        self.asked[self.row, self.sure] += 1
-        # Confidence 1 to 3 rises while the prediction holds and falls back to 1.
-        for table, at, sure, hit in ((self.two, self.at2, self.sure >> 2, hit2), (self.one, self.at1, self.sure & 3, hit1)):
-            table[at] = 4 * (x + 1) + np.where(hit, np.minimum(sure + 1, 3), 1)
-        self.seen[self.row, x] += 1
+        y = (x + 1).astype(np.int32)
+        hit2, hit1 = self.id2 == y, self.id1 == y
+        self.stats[self.slot] += 1 + (hit2.astype(np.int64) << 40) + ((hit1 & ~hit2).astype(np.int64) << 20)
+        y <<= 2
+        self.two[self.at2] = y | _NEXT[(self.got2 & 3) << 1 | hit2]
+        self.one[self.at1] = y | _NEXT[(self.got1 & 3) << 1 | hit1]
+        self.at1 = self.base + x
+        self.seen[self.at1] += 1
         self.before, self.last = self.last, x
 
 
@@ -133,7 +146,7 @@ def encode_blocks(ids: np.ndarray, prior: np.ndarray) -> list[bytes]:
     lanes, length = ids.shape
     mixer = Mixer(lanes, prior)
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 60, _U)
-    words = np.zeros((lanes, length + 4), _U)
+    words = np.zeros((lanes, length * (_BITS + 4) // _WORD + 4), _U)
     count = np.zeros(lanes, np.int64)
 
     def emit(which: np.ndarray) -> None:
@@ -196,7 +209,7 @@ def decode_blocks(data: list[bytes], length: int, prior: np.ndarray) -> np.ndarr
 
 def _sides(lengths: list[int], size: int) -> Iterator[list[int]]:
     """Groups of blocks of one length that fit in memory side by side."""
-    lanes = max(16, MODEL_BYTES // (12 * size + 4 * SLOTS + 4 * BLOCK * 3))
+    lanes = max(16, MODEL_BYTES // (16 * size + 4 * SLOTS + 8 * BLOCK))
     by: dict[int, list[int]] = {}
     for k, n in enumerate(lengths):
         by.setdefault(n, []).append(k)
