@@ -168,7 +168,7 @@ VAGUE_PHRASES = [
 TECH_PATTERNS = [
     r"\b(api|sdk|runtime|compile|debug|deploy|test|benchmark)\b",
     r"\b(algorithm|data structure|complexity|o\(n\)|o\(log|hash|tree|graph)\b",
-    r"\b(docker|kubernetes|aws|gcp|azure|terraform|ci/cd)\b",
+    r"\b(docker|kubernetes|aws|gcp|azure|terraform|ci\/cd)\b",
     r"\b(database|sql|nosql|index|query|cache|redis)\b",
     r"\b(neural|model|training|inference|embedding|vector)\b",
     r"\d+%|\d+ms|\d+\.\d+",

@@ -83,7 +83,7 @@ def previous_value(df: DataFrame, key: str, order: Sequence[str], value: str, na
 
     ``bucket`` must not decrease along ``order``.  Inside a bucket a window finds the
     previous row; a bucket's first row takes the last value of the key's previous
-    bucket, found among one row per bucket.
+    bucket, found among one row per bucket.  Rows with a null key are one key.
     """
     ordered = F.struct(*order)
     tagged = df.withColumn("__bucket", bucket)
@@ -96,7 +96,9 @@ def previous_value(df: DataFrame, key: str, order: Sequence[str], value: str, na
     )
     within = Window.partitionBy(key, "__bucket").orderBy(*order)
     lagged = tagged.withColumn("__prev", F.lag(F.struct(F.col(value).alias("v"))).over(within))
-    joined = lagged.join(before, [key, "__bucket"], "left")
+    before = before.withColumnsRenamed({key: "__key", "__bucket": "__at"})
+    same = F.col(key).eqNullSafe(F.col("__key")) & F.col("__bucket").eqNullSafe(F.col("__at"))
+    joined = lagged.join(before, same, "left").drop("__key", "__at")
     return joined.withColumn(
         name, F.when(F.col("__prev").isNotNull(), F.col("__prev")["v"])
         .otherwise(F.col("__before")["v"])

@@ -100,7 +100,7 @@ def apply_weights(weights: DataFrame, adjustments: DataFrame, max_delta: float =
     """(dimension, weight) moved by bounded deltas, scaled to sum 1, rounded to 4.
 
     Both inputs have one row per dimension; adjustments of unknown dimensions are
-    ignored, and scaling may carry a weight past its bounds.
+    ignored, scaling may carry a weight past its bounds, and weights that are all 0 stay.
     """
     deltas = adjustments.select("dimension", tx.clamp(
         F.col("delta"), -max_delta, max_delta).alias("__d"))
@@ -108,7 +108,8 @@ def apply_weights(weights: DataFrame, adjustments: DataFrame, max_delta: float =
         "dimension", F.when(F.col("__d").isNull(), F.col("weight")).otherwise(
             tx.clamp(F.col("weight") + F.col("__d"), *bounds)).alias("weight"))
     total = moved.agg(F.sum("weight").alias("s")).scalar()
-    return moved.select("dimension", tx.round_half_even(F.col("weight") / total, 4).alias("weight"))
+    share = F.when(total == 0, F.col("weight")).otherwise(F.col("weight") / total)
+    return moved.select("dimension", tx.round_half_even(share, 4).alias("weight"))
 
 
 def snapshot_weights(new: DataFrame, stored: DataFrame, reason: str, at: Column) -> DataFrame:

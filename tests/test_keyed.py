@@ -81,3 +81,16 @@ def test_filter_stays_above_costly_columns(spark):
     plan = made.filter("x = 1")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
     assert [(r.id, r.x, r.y) for r in made.filter("y > 4").collect()] == [(4, 1, 5)]
+
+
+def test_previous_value_of_a_null_key_crosses_buckets(spark):
+    df = spark.createDataFrame([(None, 1), (None, 15), ("a", 2), (None, 27)], "k string, t int")
+    got = keyed.previous_value(df, "k", ["t"], "t", "before", F.floor(F.col("t") / 10)).collect()
+    assert {(r.k, r.t): r.before for r in got} == {(None, 1): None, (None, 15): 1, (None, 27): 15, ("a", 2): None}
+
+
+def test_weights_that_are_all_zero_stay(spark):
+    from sievework.operators import learning
+    weights = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "dimension string, weight double")
+    none = spark.createDataFrame([], "dimension string, delta double")
+    assert sorted(tuple(r) for r in learning.apply_weights(weights, none).collect()) == [("a", 0.0), ("b", 0.0)]
