@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -42,8 +44,14 @@ def kept(operator: str) -> dict:
 
     Workers are reused by later stages, and a store that nobody asks for would stay.
     """
-    for other in [k for k in KEPT if k != operator]:
+    others = [k for k in KEPT if k != operator]
+    for other in others:
         del KEPT[other]
+    if others:  # give the freed memory back, not only to this process
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
     return KEPT.setdefault(operator, {})
 
 

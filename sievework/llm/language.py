@@ -21,7 +21,7 @@ from sievework.llm.common import batches, kept, rows_of
 
 #: The bounded sample: documents drawn per language, characters of a piece, characters kept
 #: per language, and languages (the most frequent ones, ties to the smaller name).
-SAMPLE_DOCS, PIECE_CHARS, TRAIN_CHARS, LANGUAGES = 400, 512, 32_768, 64
+SAMPLE_DOCS, PIECE_CHARS, TRAIN_CHARS, LANGUAGES = 400, 512, 20_480, 64
 #: Letters with a code of their own, and codes that other letters share.
 LETTERS, SHARED = 90, 30
 #: Characters that one walk covers; longer texts are several walks, and their phrases add up.
@@ -111,23 +111,22 @@ class Model:
         own = {c: k + 1 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
         model = cls(languages, np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0),
                     np.full(0x110000, 255, np.uint8), own)
-        width, parts, roots, sizes, offset = 1 + LETTERS + SHARED, [], [], [], 0
+        width, parts, roots, sizes, offset = 1 + len(own) + SHARED, [], [], [], 0
         for language in languages:
             coded, _, _ = model.codes(texts[language])
             cut = [np.append(c, width) for c in coded]
-            moves = automaton(np.concatenate(cut), width).astype(np.int64)
+            moves = automaton(np.concatenate(cut), width)
             # A missing move starts a phrase: go where the root goes, and count one.
-            moves = np.where(moves >= 0, moves * width + offset, -1)
-            root = np.where(moves[0] >= 0, moves[0], offset)
-            table = np.where(moves >= 0, moves, root | int(cls.MISS))
-            table[0] = root | int(cls.MISS)  # so does every move from the root
-            table = table.astype(np.uint32)
+            root = np.where(moves[0] >= 0, moves[0].astype(np.int64) * width + offset, offset) | int(cls.MISS)
+            if offset + moves.size >= 1 << 31:
+                raise ValueError("the sample is too large for one transition table")
+            table = np.where(moves >= 0, moves * np.int32(width) + np.int32(offset), 0).astype(np.uint32)
+            table = np.where(moves >= 0, table, root.astype(np.uint32))
+            table[0] = root  # so does every move from the root
             parts.append(table.ravel())
             roots.append(offset)
             sizes.append(sum(map(len, cut)))
             offset += table.size
-        if offset >= 1 << 31:
-            raise ValueError("the sample is too large for one transition table")
         if parts:
             model.table = np.concatenate(parts)
         model.roots = np.array(roots, np.uint32)
@@ -142,7 +141,7 @@ class Model:
         if (new := coded == 255).any():
             for point in np.unique(points[new]).tolist():
                 c = chr(point)
-                self.lut[point] = self.own.get(c, 1 + LETTERS + point % SHARED) if c.isalpha() else 0
+                self.lut[point] = self.own.get(c, 1 + len(self.own) + point % SHARED) if c.isalpha() else 0
             coded = self.lut[points]
         ends = np.cumsum([len(t) for t in lowered])
         keep = coded != 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm.common import batches, crc32, rows_of
-from sievework.llm.tokens import ids_of
+from sievework.llm.tokens import MEMO_PIECES, ids_of
 
 #: Tokens of rests that a task holds before it packs them: 32 MB of ids.
 HELD_TOKENS = 8_000_000
@@ -74,14 +74,16 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[tuple[int
 
 
 def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text",
-         window: int = 1024, end_id: int = 0, held_tokens: int = HELD_TOKENS) -> DataFrame:
+         window: int = 1024, end_id: int = 0, held_tokens: int = HELD_TOKENS,
+         memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most ``window`` tokens.
 
     Returns the id column, ``start`` and ``length`` in the document, ``ids`` (little-endian
     unsigned 32-bit, binary) and their unsigned ``ids_crc32``, ``doc_tokens``, ``sequence_id`` (unique, not dense) and
     ``offset``.  A null or empty text is one piece, the end id.  Repeated rows are packed
     once each, rows with equal ids keep them, other columns are ignored, and an empty table
-    gives no rows.  ``sequences`` puts the pieces together.
+    gives no rows.  ``sequences`` puts the pieces together.  ``memo_pieces`` bounds the memory
+    a worker spends on words it has encoded; it does not change the result.
     """
     id_type = docs.schema[id_column].dataType
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -93,7 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
         T.StructField("offset", T.LongType())])
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ids_of(tokenizer)
+        encoder = ids_of(tokenizer, memo_pieces)
         types: list[pa.DataType] = []
         sequence = TaskContext.get().partitionId() * TASK_SEQUENCES
 

@@ -162,4 +162,4 @@ FROM kept
 
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), BYTE_BPE, window=1024, end_id=0).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), BYTE_BPE, window=1024, end_id=0, memo_pieces=300_000).drop("ids")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bitmap import bitmap_of
-from sievework.llm.common import batches, free_name, rows_of
+from sievework.llm.common import batches, free_name, kept, rows_of
 from sievework.llm.components import components
 from sievework.session import stage
 
@@ -66,6 +66,7 @@ def with_fingerprints(docs: DataFrame, id_column: str, text_column: str, words:
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for part in parts:
             found = [f for b in batches(rows_of(part, 1), 0) for f in fingerprints([t for t, in b], words)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
@@ -245,6 +246,7 @@ def links(distinct: DataFrame, count: int, radius: int, cell: int = CELL) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         final = False
+        kept("simhash")
         for part in parts:
             held.append([part.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
             rows += part.num_rows
@@ -302,6 +304,7 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
+        kept("simhash")
         return pd.Series(fingerprints([t if isinstance(t, str) else None for t in texts], words), dtype="int64")
 
     again = marked.filter(hit).withColumn(own, fingerprint(F.col(text_column).cast("string"))).join(

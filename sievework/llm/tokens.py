@@ -28,20 +28,21 @@ MARKED = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.S)
 BETWEEN = "\u0378"
 #: Pieces encoded in one go.
 TOGETHER = 2000
-#: A worker remembers twice so many pieces at most (about 100 MB), or so many characters.
-MEMO_PIECES, MEMO_CHARS = 200_000, 16_000_000
+#: A worker remembers twice so many pieces at most (250 bytes each), or so many characters.
+MEMO_PIECES, MEMO_CHARS = 100_000, 16_000_000
 SPACE = " \n\t\r\x0b\x0c"
 
 class Ids:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.between = np.frombuffer(self.whole([f"a {BETWEEN}"])[0], "<u4")[len(self.whole(["a"])[0]) // 4:]
+        self.memo_pieces = memo_pieces
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
@@ -82,7 +83,7 @@ class Ids:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null counts as empty."""
-        if len(self.memo) > MEMO_PIECES or self.chars > MEMO_CHARS:  # words still in use come back from the older half
+        if len(self.memo) > self.memo_pieces or self.chars > MEMO_CHARS:  # words still in use come back from the older half
             self.older, self.memo, self.chars = self.memo, {}, 0
         cut = [None if t and ODD_SPACE.search(t) else PIECE.findall(t or "") for t in texts]
         missing = set().union(*[c for c in cut if c]).difference(self.memo)
@@ -92,9 +93,10 @@ class Ids:
         return [self.whole([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut)]
 
 
-def ids_of(path: str) -> Ids:
+def ids_of(path: str, memo_pieces: int = MEMO_PIECES) -> Ids:
     """The encoder of this worker process for a tokenizer file."""
     loaded = kept("tokens")
     if path not in loaded:
-        loaded[path] = Ids(path)
+        loaded[path] = Ids(path, memo_pieces)
+    loaded[path].memo_pieces = memo_pieces
     return loaded[path]

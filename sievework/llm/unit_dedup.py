@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bitmap import bitmap_of
-from sievework.llm.common import batches, free_name, rows_of
+from sievework.llm.common import batches, free_name, kept, rows_of
 from sievework.session import stage
 
 LINE = re.compile(r"[^\n]+")
@@ -53,6 +53,7 @@ def located(rows: DataFrame, line_words: int, sentence_words: int) -> DataFrame:
     schema = f"row long, id {rows.schema['id'].dataType.simpleString()}, start int, stop int, whole boolean, high long, low long"
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("units")
         for part in parts:
             for batch in batches(rows_of(part, 0, 1, 2), 2):
                 out = [(row, key, start, stop, whole, int.from_bytes(d[:8], "big", signed=True),
