@@ -309,5 +309,5 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     again = marked.filter(hit).withColumn(own, fingerprint(F.col(text_column).cast("string"))).join(
         named.toDF(known, component), F.col(own) == F.col(known))
-    kept = again.filter(F.col(id_column).eqNullSafe(F.col(component))).dropDuplicates([component])
-    return marked.filter(~F.col(hit)).select(*docs.columns).unionByName(kept.select(*docs.columns))
+    staying = again.filter(F.col(id_column).eqNullSafe(F.col(component))).dropDuplicates([component])
+    return marked.filter(~F.col(hit)).select(*docs.columns).unionByName(staying.select(*docs.columns))
