@@ -33,10 +33,13 @@ from sievework.session import new_path, stage
 SCHEMA = ("file string, record_type string, record_id string, refers_to string, date string, target_uri string, "
           "content_type string, content_length long, payload_digest string, payload_length long, "
           "headers map<string,string>, payload binary")
-#: Header behind each column that a predicate can be pushed to.
+#: Header behind each column.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to",
            "date": "warc-date", "target_uri": "warc-target-uri", "content_type": "content-type",
            "content_length": "content-length", "payload_digest": "warc-payload-digest"}
+#: Columns that a predicate can be pushed to: all but ``content_type``, which rows take from the
+#: HTTP header inside the record, so only Spark can test it.
+PUSHED = HEADERS.keys() - {"content_type"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A file is closed at this size; files of about this size are read by one task.
 FILE_BYTES = 64 << 20
@@ -239,7 +242,7 @@ class WarcReader(ds.DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             name = getattr(f, "attribute", ("",))
-            if type(f) in TESTS and len(name) == 1 and name[0] in HEADERS:
+            if type(f) in TESTS and len(name) == 1 and name[0] in PUSHED:
                 self.filters.append(f)
             else:
                 yield f

@@ -55,6 +55,14 @@ def test_predicates_reach_the_reader(spark, pages):
     assert "Filter (" not in plan and not re.search(r"\bFilter\b", plan)
 
 
+def test_content_type_is_that_of_the_http_header(spark, pages):
+    df = warc.read_archive(spark, warc.archive(pages))
+    assert df.filter("content_type = 'text/html; charset=utf-8'").count() == len(PAGES)
+    assert df.filter("content_type = 'text/html; charset=utf-8' and record_type = 'revisit'").count() == 3
+    assert df.filter("content_type like 'application/http%' or content_type is null").count() == 0
+    assert df.filter(F.col("content_type").startswith("application/http")).count() == 0
+
+
 def test_unwanted_payloads_are_not_inflated(pages, monkeypatch):
     path = warc.archive(pages)
     inflated = []
