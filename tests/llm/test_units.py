@@ -64,3 +64,13 @@ def test_hot_line_and_empty(documents):
     got = unit_dedup.repeated_units(docs).collect()
     assert sorted(r.doc_id for r in got) == list(range(1, 2000)) and {r.keep_id for r in got} == {0}
     assert unit_dedup.repeated_units(docs.limit(0)).collect() == [] and unit_dedup.cut_repeats(docs.limit(0)).collect() == []
+
+
+def test_short_sentences_inside_a_line_with_the_floor_of_lines(documents):
+    passage = "He came at noon. She left at ten. They met again later."
+    rows = [(1, f"One start here {passage} and one end"), (2, f"Another start there {passage} with other ends")]
+    docs = documents(*rows)
+    assert unit_dedup.repeated_units(docs).count() == 0
+    got = unit_dedup.repeated_units(docs, sentence_words=unit_dedup.LINE_WORDS).collect()
+    assert sorted((str(r.doc_id), r.start, r.stop, r.whole_line, r.digest, str(r.keep_id), r.keep_start) for r in got) == brute(rows, 3, 3)
+    assert {rows[1][1][r.start:r.stop].strip() for r in got} == {"She left at ten.", "They met again later."}
