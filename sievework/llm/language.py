@@ -3,7 +3,7 @@
 A bounded sample of labelled text per language becomes a suffix automaton.  A document is
 parsed greedily into the longest phrases that occur in the sample; the language that needs
 the fewest phrases, each weighed with the bits that point into its sample, wins.  Automata
-are transition tables, and thousands of text segments walk all of them at once in numpy.
+lie packed in one sparse table, and thousands of text segments walk all of them at once in numpy.
 """
 
 from __future__ import annotations
@@ -19,18 +19,17 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import batches, kept, rows_of
 
-#: The bounded sample: documents drawn per language, characters of a piece, characters kept
-#: per language, and languages (the most frequent ones, ties to the smaller name).
-SAMPLE_DOCS, PIECE_CHARS, TRAIN_CHARS, LANGUAGES = 400, 512, 20_480, 64
-#: Letters with a code of their own, and codes that other letters share.
-LETTERS, SHARED = 90, 30
+#: The bounded sample of each label: documents drawn, characters of a piece, characters kept.
+SAMPLE_DOCS, PIECE_CHARS, TRAIN_CHARS = 400, 512, 20_480
 #: Characters that one walk covers; longer texts are several walks, and their phrases add up.
 SEGMENT = 1024
+#: Walkers (segments times languages) that go side by side.
+WALKERS = 1 << 20
 
 
 def samples(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text",
             lang_column: str = "lang") -> dict[str, list[str]]:
-    """Pieces of labelled texts per language: at most ``TRAIN_CHARS`` characters each.
+    """Pieces of labelled texts of every label: at most ``TRAIN_CHARS`` characters each.
 
     ``learn`` picks the rows to learn from.  Documents and pieces are drawn by hash, so every
     run draws the same, and only the pieces reach the driver.
@@ -38,7 +37,7 @@ def samples(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_colu
     rows = docs.filter(learn & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"),
         F.col(lang_column).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("id", F.lit("documents")), F.lit(1 << 31)) * F.col("n") < F.lit(SAMPLE_DOCS << 31)
     drawn = rows.join(F.broadcast(counts), "lang").filter(draw)
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(PIECE_CHARS))
@@ -53,11 +52,8 @@ def samples(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_colu
     return out
 
 
-def automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a coded text: (states, width), -1 for none.
-
-    Code ``width`` ends a piece: no phrase crosses it.
-    """
+def edges(codes: np.ndarray) -> list[dict[int, int]]:
+    """Moves of each state of the suffix automaton of a coded text."""
     following: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -83,52 +79,115 @@ def automaton(codes: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
+    return following
+
+
+def automaton(codes: np.ndarray, width: int) -> np.ndarray:
+    """Transitions of the suffix automaton of a coded text: (states, width), -1 for none.
+
+    Code ``width`` ends a piece: no phrase crosses it.
+    """
+    following = edges(codes)
     table = np.full((len(following), width), -1, np.int32)
-    for state, edges in enumerate(following):
-        for c, to in edges.items():
+    for state, moves in enumerate(following):
+        for c, to in moves.items():
             if c < width:
                 table[state, c] = to
     return table
 
 
+def packed(following: list[dict[int, int]], width: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Row displacement of all states but the root: the base of each state, and per slot the
+    base of the state that owns it (-1 for none) and the base it moves to.
+
+    The move of a state with code c is in slot base + c; no two states have the same base.
+    Moves with code ``width`` are left out.
+    """
+    moves = [sorted(c for c in m if c < width) for m in following]
+    order = sorted(range(1, len(moves)), key=lambda k: -len(moves[k]))
+    room = sum(map(len, moves)) + len(moves) + 2 * width + 2
+    used, taken, base = bytearray(room), bytearray(room), [0] * len(moves)
+    used[:width] = b"\1" * width  # so that no base is negative
+    taken[0] = 1  # the root's
+    low, many = width, 0
+    for state in order:
+        codes = moves[state]
+        if len(codes) != many:
+            many, low, tries = len(codes), width, 0
+        while True:
+            if not codes:
+                low = taken.find(0, low)
+                spot = low if low >= 0 else len(taken)
+            else:
+                low = used.find(0, low)
+                spot = (low if low >= 0 else len(used)) - codes[0]
+            if spot + width >= len(used):
+                used.extend(bytes(len(used)))
+                taken.extend(bytes(len(taken)))
+                low = max(low, width)
+                continue
+            if not taken[spot] and not any(used[spot + c] for c in codes):
+                break
+            tries += 1
+            low += 1 + (tries >> 8)  # a crowded stretch is left to states with fewer moves
+        base[state], taken[spot] = spot, 1
+        for c in codes:
+            used[spot + c] = 1
+    size = max(base) + width + 1
+    owner, target = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    for state in order:
+        for c in moves[state]:
+            owner[base[state] + c], target[base[state] + c] = base[state], base[following[state][c]]
+    return base, owner, target
+
+
 @dataclass
 class Model:
-    """All languages in one table; a walker's state is the offset of its row."""
+    """All languages in one sparse table; a walker's state is the base of its row.
+
+    A slot holds the state that owns it in its high half and the state it moves to in its low
+    half.  ``starts`` has where each language goes when a phrase starts with a code.
+    """
 
     languages: list[str]
     table: np.ndarray
     roots: np.ndarray
+    starts: np.ndarray
     bits: np.ndarray
     lut: np.ndarray
     own: dict[str, int]
 
-    MISS = np.uint32(1 << 31)
-
     @classmethod
     def fit(cls, texts: Mapping[str, list[str]]) -> "Model":
         languages = sorted(texts)
-        seen = Counter(c for pieces in texts.values() for p in pieces for c in p.lower() if c.isalpha())
-        own = {c: k + 1 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-        model = cls(languages, np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0),
-                    np.full(0x110000, 255, np.uint8), own)
-        width, parts, roots, sizes, offset = 1 + len(own) + SHARED, [], [], [], 0
+        letters = sorted({c for pieces in texts.values() for p in pieces for c in p.lower() if c.isalpha()})
+        # 0 is for what is no letter, then every letter learned, then one code for all others.
+        own = {c: k + 1 for k, c in enumerate(letters)}
+        width = len(own) + 2
+        kind = np.min_scalar_type(width + 1)
+        none = np.zeros(0, np.uint32)
+        model = cls(languages, np.zeros(0, np.uint64), none, none.reshape(0, width), np.zeros(0),
+                    np.full(0x110000, np.iinfo(kind).max, kind), own)
+        parts, roots, starts, sizes, offset = [], [], [], [], 0
         for language in languages:
             coded, _, _ = model.codes(texts[language])
-            cut = [np.append(c, width) for c in coded]
-            moves = automaton(np.concatenate(cut), width)
-            # A missing move starts a phrase: go where the root goes, and count one.
-            root = np.where(moves[0] >= 0, moves[0].astype(np.int64) * width + offset, offset) | int(cls.MISS)
-            if offset + moves.size >= 1 << 31:
+            cut = [np.append(c.astype(np.int64), width) for c in coded]
+            following = edges(np.concatenate(cut))
+            base, owner, target = packed(following, width)
+            if offset + len(owner) >= 1 << 32:
                 raise ValueError("the sample is too large for one transition table")
-            table = np.where(moves >= 0, moves * np.int32(width) + np.int32(offset), 0).astype(np.uint32)
-            table = np.where(moves >= 0, table, root.astype(np.uint32))
-            table[0] = root  # so does every move from the root
-            parts.append(table.ravel())
-            roots.append(offset)
+            # The root's base owns no slot: a move from the root, like a missing one, starts a phrase.
+            start = np.full(width, base[0] + offset, np.uint32)
+            for c, to in following[0].items():
+                if c < width:
+                    start[c] = base[to] + offset
+            parts.append(np.where(owner >= 0, (owner + offset) << 32 | (target + offset), -1).astype(np.uint64))
+            roots.append(base[0] + offset)
+            starts.append(start)
             sizes.append(sum(map(len, cut)))
-            offset += table.size
+            offset += len(owner)
         if parts:
-            model.table = np.concatenate(parts)
+            model.table, model.starts = np.concatenate(parts), np.stack(starts)
         model.roots = np.array(roots, np.uint32)
         model.bits = np.log2(np.array(sizes, float) + 1)
         return model
@@ -138,10 +197,10 @@ class Model:
         lowered = [t.lower() for t in texts]
         points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
         coded = self.lut[points]
-        if (new := coded == 255).any():
+        if (new := coded == np.iinfo(coded.dtype).max).any():
             for point in np.unique(points[new]).tolist():
                 c = chr(point)
-                self.lut[point] = self.own.get(c, 1 + len(self.own) + point % SHARED) if c.isalpha() else 0
+                self.lut[point] = self.own.get(c, 1 + len(self.own)) if c.isalpha() else 0
             coded = self.lut[points]
         ends = np.cumsum([len(t) for t in lowered])
         keep = coded != 0
@@ -164,17 +223,22 @@ class Model:
         length = np.minimum(ends[owner], start + SEGMENT) - start
         order = np.argsort(-length, kind="stable")
         start, length, owner = start[order], length[order], owner[order]
-        state = np.repeat(self.roots[:, None], len(start), axis=1)
-        count = np.zeros((len(self.roots), len(start)), np.uint32)
-        shift, low = np.uint32(31), np.uint32((1 << 31) - 1)
-        for step in range(int(length[0]) if len(length) else 0):
-            live = int(np.searchsorted(-length, -step, "left"))
-            move = self.table[state[:, :live] + coded[start[:live] + step]]
-            count[:, :live] += move >> shift
-            state[:, :live] = move & low
         total = np.zeros((len(self.roots), len(texts)))
-        for row, c in zip(total, count):
-            row += np.bincount(owner, c, len(texts))
+        high, low = np.uint64(32), np.uint64((1 << 32) - 1)
+        few = max(1, WALKERS // max(1, len(start)))
+        for first in range(0, len(self.roots), few):
+            begin = self.starts[first:first + few]
+            state = np.repeat(self.roots[first:first + few, None], len(start), axis=1)
+            count = np.zeros(state.shape, np.uint32)
+            for step in range(int(length[0]) if len(length) else 0):
+                live = int(np.searchsorted(-length, -step, "left"))
+                code = coded[start[:live] + step]
+                slot = self.table[state[:, :live] + code]
+                miss = slot >> high != state[:, :live]
+                count[:, :live] += miss
+                state[:, :live] = np.where(miss, begin[:, code], slot & low)
+            for row, c in zip(total[first:first + few], count):
+                row += np.bincount(owner, c, len(texts))
         return total, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -93,3 +93,38 @@ def test_held_out_accuracy(spark, sf):
     found = op1_language(spark, folder).filter("held_out").join(
         spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert len(found) > 20 and np.mean([r.lang == r.lang_pred for r in found]) >= 0.95
+
+
+def test_no_label_is_left_out(documents):
+    rng = random.Random(5)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(6)] for k in range(90)}
+    rows = [(n, " ".join(rng.choices(words[lang], k=20)), lang, "s") for n, lang in enumerate([*words, *list(words)[:70]] * 2)]
+    learned = language.samples(documents(*rows), language.F.lit(True))
+    assert set(learned) == set(words)
+    found, _ = language.Model.fit(learned).predict([" ".join(rng.choices(v, k=20)) for v in words.values()])
+    assert found == list(words)
+
+
+def test_letters_of_a_large_script_stay_apart():
+    rng = random.Random(6)
+    script = [chr(0x4E00 + k) for k in range(900)]
+    a, b = ["".join(rng.choices(script, k=400)) for _ in range(20)], ["".join(rng.choices(script, k=400)) for _ in range(20)]
+    model = language.Model.fit({"a": a, "b": b})
+    assert len(set(np.concatenate(model.codes(["".join(script)])[0]).tolist())) == len(set("".join(a + b)) & set(script))
+    total, _ = model.phrases([a[3][50:90], b[4][7:60]])
+    assert total[0, 0] == 1 and total[1, 1] == 1 and total[1, 0] > 10 and total[0, 1] > 10
+    probe = ["".join(x) for x in (a[0][k:k + 2] + b[0][k:k + 2] for k in range(0, 100, 5))]
+    for text, row in zip(probe, model.phrases(probe)[0].T):
+        for got, pieces in zip(row, (a, b)):
+            count = 0
+            while text[count_at(text, pieces, count):]:
+                count += 1
+            assert got == count
+
+
+def count_at(text, pieces, phrases):
+    """Where the phrase after so many phrases starts."""
+    at = 0
+    for _ in range(phrases):
+        at += max(1, longest(text[at:], pieces))
+    return at
