@@ -107,7 +107,8 @@ LABELS = 1 + 2 * len(KINDS)  # other, then first and further tokens of each kind
 _LETTERS, _DIGITS, _MARKS = 4 * 5, 8, 33
 SHAPES = 2 * (_LETTERS + _DIGITS + _MARKS + len(LEXICON)) + 1
 PAIRS = 2048
-WINDOW, HALO = 128, 16
+#: Tokens of a window and around it, and tokens that are decoded side by side.
+WINDOW, HALO, CELLS = 128, 16, 1 << 19
 _B = np.uint64(1099511628211)
 
 
@@ -277,7 +278,10 @@ class Field:
         self.weights, self.moves, self.shapes = weights, moves, Shapes()
 
     def labels(self, text: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        """Best labels: texts are cut into windows, which see ``HALO`` tokens around them."""
+        """Best labels of whole texts.  Texts are cut into windows, which see ``HALO`` tokens
+        around them; windows are joined wherever that is not enough to decide as the whole
+        text would: where the scores at their edge still depend on what came before, or the
+        label there on what comes after."""
         n = len(shape)
         out = np.zeros(n, np.int8)
         if not n:
@@ -291,35 +295,61 @@ class Field:
         cores = -(-size // WINDOW)
         of = np.repeat(np.arange(len(first)), cores)
         core = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(cores) - cores, cores)) * WINDOW
-        stop = np.minimum(core + WINDOW, (first + size)[of])
-        lo, hi = np.maximum(core - HALO, first[of]), np.minimum(stop + HALO, (first + size)[of])
-        order = np.argsort(-(hi - lo), kind="stable")
-        for at in range(0, len(order), 2048):
-            pick = order[at:at + 2048]
-            self._decode(score, lo[pick], hi[pick], core[pick], stop[pick], out)
+        begin, end = first[of], (first + size)[of]
+        new = np.ones(len(core), bool)
+        enter, leave, sure = np.zeros((len(core), LABELS)), np.zeros((len(core), LABELS)), np.ones(len(core), bool)
+        while new.any():
+            stop = np.r_[core[1:], n]
+            lo, hi = np.maximum(core - HALO, begin), np.minimum(stop + HALO, end)
+            order = np.flatnonzero(new)
+            order = order[np.argsort((lo - hi)[order], kind="stable")]
+            at = 0
+            while at < len(order):
+                width = int((hi - lo)[order[at]])
+                pick = order[at:at + max(1, min(2048, CELLS // width))]
+                at += len(pick)
+                enter[pick], leave[pick], sure[pick] = self._decode(score, lo[pick], hi[pick], core[pick], stop[pick], out)
+            apart = core[1:] == begin[1:]
+            joint = ~apart & ~(sure[:-1] & (np.abs(leave[:-1] - enter[1:]).max(1) < 1e-2))
+            stay = np.r_[True, ~joint]
+            new = np.add.reduceat(np.r_[False, joint], np.flatnonzero(stay)) > 0
+            core, begin, end, enter, leave, sure = (x[stay] for x in (core, begin, end, enter, leave, sure))
         return out
 
-    def _decode(self, score, lo, hi, core, stop, out) -> None:
+    def _decode(self, score, lo, hi, core, stop, out) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Labels of the cores, longest lane first; scores at ``core`` and at ``stop`` relative
+        to the best, and whether every label at the end leads to one label before ``stop``."""
         length = hi - lo
         width, lanes = int(length[0]), len(lo)
         trail = np.zeros((width, lanes, LABELS), np.int8)
         begin = np.where((np.arange(LABELS) % 2 == 0) & (np.arange(LABELS) > 0), np.float32(-1e4), np.float32(0))
         best = score[lo] + begin
         final = best.copy()
+        enter, leave = best.copy(), np.zeros_like(best)
         for t in range(1, width):
             live = int(np.searchsorted(-length, -t, "left"))
             options = best[:live, :, None] + self.moves
             trail[t, :live] = options.argmax(1)
             best = options.max(1) + score[lo[:live] + t]
+            if t % 64 == 0:  # sums stay small, so long lanes are as exact as short ones
+                best -= best.max(1, keepdims=True)
             final[:live] = best
+            for kept_at, place in ((enter, core), (leave, stop)):
+                here = np.flatnonzero(place[:live] - lo[:live] == t)
+                kept_at[here] = best[here]
         label = final.argmax(1)
+        every = np.repeat(np.arange(LABELS)[None, :], lanes, axis=0)
         for t in range(width - 1, -1, -1):
             live = int(np.searchsorted(-length, -t, "left"))
             spot = lo[:live] + t
             own = (spot >= core[:live]) & (spot < stop[:live])
             out[spot[own]] = label[:live][own]
             if t:
+                past = np.flatnonzero(spot >= stop[:live])
+                every[past] = np.take_along_axis(trail[t, past], every[past], axis=1)
                 label[:live] = trail[t, np.arange(live), label[:live]]
+        sure = (hi == stop) | (every == every[:, :1]).all(1)
+        return enter - enter.max(1, keepdims=True), leave - leave.max(1, keepdims=True), sure
 
     def spans(self, texts: Sequence[str]) -> list[list[Span]]:
         """Spans of each text that the field finds and that hold as many digits, parts or

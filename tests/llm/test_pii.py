@@ -101,3 +101,33 @@ def test_find(spark, documents, model):
     assert by[4].base == "" and by[4].spans == "phone:11:23" and by[None].spans == ""
     assert pii.masked(rows[3][1], by[4].spans) == "Call me at <phone> after six."
     assert pii.find(documents((1, "a")).limit(0), model).collect() == []
+
+
+@pytest.mark.parametrize("trained", [True, False])
+def test_long_spans_at_every_offset_of_a_window_edge(trained):
+    tagger = pii.Field(*pii.train(pii.labelled()))
+    if not trained:  # a field whose labels hold on for long
+        noise = np.random.default_rng(4).normal(0, 0.05, tagger.weights.shape)
+        tagger = pii.Field(noise.astype(np.float32), (pii._allowed() + 3 * np.eye(pii.LABELS)).astype(np.float32))
+    address = "email anna.maria.de.la.cruz [at] mail [dot] lab [dot] north [dot] example [dot] net"
+    lines = ["word " * k + address + " and more words" * 70 for k in range(80, 135)]
+    lines.append(" ".join(["1 2 , 3 . 4 - 5"] * 200))
+
+    def whole(text):  # one pass over the whole text
+        _, _, _, shape = tagger.shapes.tokens([text])
+        score = tagger.weights[pii.features(shape, np.zeros(len(shape), int))].sum(1, dtype=float)
+        best = score[0] - 1e4 * ((np.arange(pii.LABELS) % 2 == 0) & (np.arange(pii.LABELS) > 0))
+        trail = []
+        for s in score[1:]:
+            options = best[:, None] + tagger.moves
+            trail.append(options.argmax(0))
+            best = options.max(0) + s
+        label = [int(best.argmax())]
+        for step in reversed(trail):
+            label.append(int(step[label[-1]]))
+        return label[::-1]
+
+    text, _, _, shape = tagger.shapes.tokens(lines)
+    got = tagger.labels(text, shape)
+    for k, line in enumerate(lines):
+        assert got[text == k].tolist() == whole(line), k
