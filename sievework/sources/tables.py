@@ -124,9 +124,15 @@ def current_weights(weights: DataFrame) -> DataFrame:
 
 
 def weights_as_map(weights: DataFrame) -> dict[str, float]:
-    """The current weights as a dictionary: one row per scoring dimension reaches the driver."""
+    """The current weights as a dictionary: one row per scoring dimension reaches the driver.
+
+    A dimension that occurs more than once in the newest version is an error.
+    """
     kept = current_weights(weights).filter(F.col("dimension").isin(lx.DIMENSIONS))
-    return {r["dimension"]: r["weight"] for r in kept.limit(len(lx.DIMENSIONS)).collect()}
+    rows = kept.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight")).collect()
+    if repeated := sorted(r["dimension"] for r in rows if r["n"] > 1):
+        raise ValueError(f"the newest version has several weights of {', '.join(repeated)}")
+    return {r["dimension"]: r["weight"] for r in rows}
 
 
 def json_sink(df: DataFrame, path: str) -> None:

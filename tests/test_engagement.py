@@ -158,6 +158,13 @@ def test_bounded_deltas_and_snapshots(spark):
     assert tb.weights_as_map(both) == got and tb.current_weights(both).first().version == 2
 
 
+def test_repeated_weights_are_an_error(spark):
+    stored = tb.weight_rows(spark, lx.WEIGHTS, 1, "initial", F.lit("2024-01-01").cast("timestamp"))
+    assert tb.weights_as_map(stored) == lx.WEIGHTS
+    with pytest.raises(ValueError, match="several weights of .*timing"):
+        tb.weights_as_map(stored.unionByName(stored))
+
+
 def test_tier_profile(people):
     df = people({"answers": ["the api and a database", ""]}, {"answers": ["no", "docker docker"]}, {"answers": ["x y z"]})
     df = df.withColumn("tier", F.when(F.col("row_id") < 2, "Reject").otherwise("Fast-Track"))
