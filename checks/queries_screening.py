@@ -29,8 +29,8 @@ def document_pairs(spark, d, threshold=lx.SIMILARITY_WARN):
 
 GAP_SEVERITY = "CASE WHEN isnan(seconds) OR seconds <= 0 THEN 0.0 WHEN seconds < 10 THEN 0.9 WHEN seconds < 30 AND 200 / seconds > 5 THEN 0.6 ELSE 0.0 END"
 DOC_PAIRS = S.tfidf(S.DOCUMENT_ANSWERS, fx.STOP_WORDS) + S.pairs(lx.SIMILARITY_WARN)
-SIDES = """sd AS (SELECT candidate_a AS candidate_id, candidate_b AS other_id, candidate_b_name AS other_name, question_id, similarity FROM p
-  UNION ALL SELECT candidate_b, candidate_a, candidate_a_name, question_id, similarity FROM p)"""
+SIDES = """sd AS (SELECT row_a AS row_id, candidate_a AS candidate_id, candidate_b AS other_id, candidate_b_name AS other_name, question_id, similarity FROM p
+  UNION ALL SELECT row_b, candidate_b, candidate_a, candidate_a_name, question_id, similarity FROM p)"""
 DOCS = "doc AS (SELECT 'c' || doc_id AS candidate_id, doc_id, text FROM documents)"
 
 
@@ -82,7 +82,7 @@ def tfidf_vectors(spark, d):
 @query("similar_pairs", S.with_(DOC_PAIRS, """SELECT question_id, candidate_a, candidate_a_name, candidate_b, candidate_b_name,
   similarity, severity, substring(text_a, 1, 100) AS text_a_preview, substring(text_b, 1, 100) AS text_b_preview FROM p"""))
 def similar_pairs(spark, d):
-    return document_pairs(spark, d)
+    return document_pairs(spark, d).drop("row_a", "row_b")
 
 
 @query("pair_join", S.with_(S.tfidf(S.DOCUMENT_ANSWERS, fx.STOP_WORDS) + S.pairs(0.5), "SELECT question_id, candidate_a, candidate_b, similarity FROM p"))
@@ -98,7 +98,7 @@ def pair_totals(spark, d):
 
 @query("pairs_by_candidate", S.with_(DOC_PAIRS + [SIDES], "SELECT candidate_id, other_id, other_name, question_id, similarity FROM sd"))
 def pairs_by_candidate(spark, d):
-    return forensics.pair_sides(document_pairs(spark, d)).drop("severity")
+    return forensics.pair_sides(document_pairs(spark, d)).drop("severity", "row_id")
 
 
 @query("embedding_cosine", """SELECT label, id_a, id_b, round_even(cosine, 5) AS cosine FROM (
@@ -109,12 +109,12 @@ def embedding_cosine(spark, d):
     return pairs.withColumn("cosine", tx.round_half_even("cosine", 5))
 
 
-STRIKES = """st AS (SELECT candidate_id, 'ai' AS source, ai_probability AS severity, CASE WHEN ai_probability > 0.8 THEN 2 ELSE 1 END AS n_strikes FROM g WHERE verdict = 'likely_ai'
-  UNION ALL SELECT candidate_id, 'similarity', similarity, CASE WHEN similarity > 0.8 THEN 2 ELSE 1 END FROM sd
-  UNION ALL SELECT candidate_id, 'timing', severity, CASE WHEN severity > 0.8 THEN 2 ELSE 1 END FROM f WHERE severity > 0.5)"""
+STRIKES = """st AS (SELECT row_id, candidate_id, 'ai' AS source, ai_probability AS severity, CASE WHEN ai_probability > 0.8 THEN 2 ELSE 1 END AS n_strikes FROM g WHERE verdict = 'likely_ai'
+  UNION ALL SELECT row_id, candidate_id, 'similarity', similarity, CASE WHEN similarity > 0.8 THEN 2 ELSE 1 END FROM sd
+  UNION ALL SELECT row_id, candidate_id, 'timing', severity, CASE WHEN severity > 0.8 THEN 2 ELSE 1 END FROM f WHERE severity > 0.5)"""
 SCREENED = S.BASE + [S.signals("c", "raw_text"), S.FLAGGED] + DOC_PAIRS + [SIDES, STRIKES]
-TOTALS = """tot AS (SELECT c.candidate_id, c.name, CAST(coalesce(sum(n_strikes), 0) AS BIGINT) AS strikes, coalesce(sum(n_strikes), 0) >= 3 AS eliminated
-  FROM c LEFT JOIN st USING (candidate_id) GROUP BY ALL)"""
+TOTALS = """tot AS (SELECT c.row_id, c.candidate_id, c.name, CAST(coalesce(sum(n_strikes), 0) AS BIGINT) AS strikes, coalesce(sum(n_strikes), 0) >= 3 AS eliminated
+  FROM c LEFT JOIN st USING (row_id) GROUP BY ALL)"""
 
 
 def strike_rows(spark, d):
@@ -124,7 +124,7 @@ def strike_rows(spark, d):
 
 @query("strike_events", S.with_(SCREENED, "SELECT candidate_id, source, severity, n_strikes FROM st"))
 def strike_events(spark, d):
-    return strike_rows(spark, d).drop("reason")
+    return strike_rows(spark, d).drop("reason", "row_id")
 
 
 @query("strike_reasons", S.with_(SCREENED, """SELECT candidate_id, 'AI-generated text detected (p=' || format('{:.2f}', ai_probability) || ')' AS reason FROM g WHERE verdict = 'likely_ai'
@@ -154,8 +154,8 @@ def report(spark, d):
 
 
 REPORT = """rpt AS (SELECT tot.candidate_id, tot.name, g.ai_probability, g.verdict, coalesce(np.n_pairs, 0) AS n_pairs,
-  f.severity AS timing_severity, strikes, eliminated FROM tot JOIN g USING (candidate_id) JOIN f USING (candidate_id)
-  LEFT JOIN (SELECT candidate_id, count(*) AS n_pairs FROM sd GROUP BY ALL) np USING (candidate_id))"""
+  f.severity AS timing_severity, strikes, eliminated FROM tot JOIN g USING (row_id) JOIN f USING (row_id)
+  LEFT JOIN (SELECT row_id, count(*) AS n_pairs FROM sd GROUP BY ALL) np USING (row_id))"""
 
 
 @query("cheat_report", S.with_(SCREENED + [TOTALS, REPORT], "SELECT * FROM rpt"))
@@ -169,10 +169,10 @@ def cheat_summary(spark, d):
     return forensics.cheat_summary(report(spark, d))
 
 
-@query("cheat_join", S.with_(SCREENED + [S.DIMENSIONS, S.SCORED, TOTALS], "SELECT candidate_id, total_score, strikes, eliminated FROM s JOIN tot USING (candidate_id)"))
+@query("cheat_join", S.with_(SCREENED + [S.DIMENSIONS, S.SCORED, TOTALS], "SELECT s.candidate_id, total_score, strikes, eliminated FROM s JOIN tot USING (row_id)"))
 def cheat_join(spark, d):
-    totals = report(spark, d).select("candidate_id", "strikes", "eliminated")
-    return scored(spark, d).select("candidate_id", "total_score").join(totals, "candidate_id", "left")
+    totals = report(spark, d).select("row_id", "strikes", "eliminated")
+    return scored(spark, d).select("row_id", "candidate_id", "total_score").join(totals, "row_id", "left").drop("row_id")
 
 
 @query("anomaly_counts", S.with_(SCREENED, """SELECT (SELECT count(*) FROM p) AS similar_pairs,
@@ -197,7 +197,7 @@ def candidate_detail(spark, d):
 
 ANSWER_PAIRS = S.tfidf(S.FLAT_ANSWERS, fx.STOP_WORDS) + S.pairs(lx.SIMILARITY_WARN)
 PIPELINE = S.KEPT + [S.DIMENSIONS, S.SCORED, S.signals("c", "raw_text"), S.FLAGGED] + ANSWER_PAIRS + [SIDES, STRIKES, TOTALS]
-RETIERED = "rt AS (SELECT s.*, tot.strikes, tot.eliminated, CASE WHEN tot.eliminated THEN 'Reject' ELSE s.tier END AS new_tier FROM s JOIN tot USING (candidate_id))"
+RETIERED = "rt AS (SELECT s.*, tot.strikes, tot.eliminated, CASE WHEN tot.eliminated THEN 'Reject' ELSE s.tier END AS new_tier FROM s JOIN tot USING (row_id))"
 
 def pipeline(spark, d):
     kept = ap.normalise(ap.dedup_first(ap.valid_rows(fx.applicants(spark, d))))

@@ -265,7 +265,7 @@ def pairs(threshold: float) -> list[str]:
         f"""sim AS (SELECT a.question_id, a.row_id AS ra, b.row_id AS rb, sum(a.weight * b.weight) AS cosine
   FROM v a JOIN v b ON a.question_id = b.question_id AND a.term = b.term AND a.row_id < b.row_id
   GROUP BY ALL HAVING sum(a.weight * b.weight) >= {threshold - 1e-9!r}::DOUBLE)""",
-        f"""p AS (SELECT sim.question_id, x.candidate_id AS candidate_a, x.name AS candidate_a_name,
+        f"""p AS (SELECT sim.question_id, ra AS row_a, rb AS row_b, x.candidate_id AS candidate_a, x.name AS candidate_a_name,
   y.candidate_id AS candidate_b, y.name AS candidate_b_name, {rnd('cosine', 4)} AS similarity,
   CASE WHEN cosine >= 0.92 THEN 'high' ELSE 'medium' END AS severity,
   x.answer_text AS text_a, y.answer_text AS text_b
@@ -275,7 +275,7 @@ def pairs(threshold: float) -> list[str]:
     ]
 
 
-DOCUMENT_ANSWERS = ("SELECT lang AS question_id, doc_id AS row_id, 'c' || doc_id AS candidate_id, "
+DOCUMENT_ANSWERS = ("SELECT lang AS question_id, doc_id AS row_id, CASE WHEN doc_id % 50 <> 49 THEN 'c' ELSE 'auto_' END || doc_id AS candidate_id, "
                     "'Doc ' || doc_id AS name, text AS answer_text FROM documents")
 FLAT_ANSWERS = " UNION ALL ".join(
     f"SELECT 'q{i}' AS question_id, row_id, candidate_id, name, a{i} AS answer_text FROM c" for i in (1, 2, 3))

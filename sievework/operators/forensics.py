@@ -79,9 +79,10 @@ def timing_strikes(timing: DataFrame) -> DataFrame:
 
 
 def pair_sides(pairs: DataFrame) -> DataFrame:
-    """One row per side of each pair, naming the other side."""
+    """One row per side of each pair, naming the other side; ``row_id`` where the pairs have it."""
     def side(me: str, other: str) -> DataFrame:
         return pairs.select(
+            *[F.col(c).alias("row_id") for c in (f"row_{me}",) if c in pairs.columns],
             F.col(f"candidate_{me}").alias("candidate_id"),
             F.col(f"candidate_{other}").alias("other_id"),
             F.col(f"candidate_{other}_name").alias("other_name"),
@@ -99,8 +100,11 @@ def pair_strikes(pairs: DataFrame) -> DataFrame:
 
 
 def strike_events(ai: DataFrame, pairs: DataFrame, timing: DataFrame) -> DataFrame:
-    return ai_strikes(ai).drop("row_id").unionByName(pair_strikes(pairs)).unionByName(
-        timing_strikes(timing).drop("row_id"))
+    """All strikes in one table; ``row_id`` is kept where every source has it."""
+    parts = [ai_strikes(ai), pair_strikes(pairs), timing_strikes(timing)]
+    if not all("row_id" in p.columns for p in parts):
+        parts = [p.drop("row_id") for p in parts]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def strike_totals(candidates: DataFrame, strikes: DataFrame,

@@ -294,7 +294,7 @@ def expand_pairs(groups: SimilarGroups, answers: DataFrame, same_candidate: bool
             F.col("name").alias(f"candidate_{s}_name"), F.col("preview").alias(f"text_{s}_preview"))
         pairs = pairs.join(info, ["question_id", f"row_id_{s}"])
     return pairs.select(
-        "question_id", F.col("candidate_id_a").alias("candidate_a"), "candidate_a_name",
+        "question_id", F.col("row_id_a").alias("row_a"), F.col("row_id_b").alias("row_b"), F.col("candidate_id_a").alias("candidate_a"), "candidate_a_name",
         F.col("candidate_id_b").alias("candidate_b"), "candidate_b_name",
         tx.round_half_even("cosine", 4).alias("similarity"),
         F.when(F.col("cosine") >= lx.SIMILARITY_HIGH, F.lit("high"))
