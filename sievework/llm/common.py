@@ -47,14 +47,19 @@ def kept(operator: str) -> dict:
     others = [k for k in KEPT if k != operator]
     for other in others:
         del KEPT[other]
-    if others:  # give the freed memory back, not only to this process
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+    if others:
+        give_back()
     return KEPT.setdefault(operator, {})
 
 
+def give_back() -> None:
+    """Give freed memory back to the machine, not only to this process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def rows_of(part: pa.RecordBatch, *columns: int) -> Iterator[tuple]:
     """Rows of some columns as Python values, a few hundred at a time."""
     for at in range(0, part.num_rows, 256):

@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import batches, crc32, rows_of
+from sievework.llm.common import batches, crc32, give_back, rows_of
 from sievework.llm.tokens import MEMO_PIECES, ids_of
 
-#: Tokens of rests that a task holds before it packs them: 32 MB of ids.
-HELD_TOKENS = 8_000_000
+#: Tokens of rests that a task holds before it packs them (8 MB of ids), and pieces of one
+#: batch that it gives to Spark (at most 4 MB of ids each 1,000).
+HELD_TOKENS, BATCH_PIECES = 2_000_000, 2_000
 #: Sequence numbers of one task; task p uses p * TASK_SEQUENCES and above.
 TASK_SEQUENCES = 1 << 36
 
@@ -75,7 +76,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[tuple[int
 
 def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text",
          window: int = 1024, end_id: int = 0, held_tokens: int = HELD_TOKENS,
-         memo_pieces: int = MEMO_PIECES) -> DataFrame:
+         memo_pieces: int = MEMO_PIECES, special_as_text: bool = False) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most ``window`` tokens.
 
     Returns the id column, ``start`` and ``length`` in the document, ``ids`` (little-endian
@@ -83,7 +84,8 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     ``offset``.  A null or empty text is one piece, the end id.  Repeated rows are packed
     once each, rows with equal ids keep them, other columns are ignored, and an empty table
     gives no rows.  ``sequences`` puts the pieces together.  ``memo_pieces`` bounds the memory
-    a worker spends on words it has encoded; it does not change the result.
+    a worker spends on words it has encoded; it does not change the result.  The string of
+    a special token in a text is that token's id unless ``special_as_text`` is set.
     """
     id_type = docs.schema[id_column].dataType
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -95,7 +97,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
         T.StructField("offset", T.LongType())])
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ids_of(tokenizer, memo_pieces)
+        encoder = ids_of(tokenizer, memo_pieces, special_as_text)
         types: list[pa.DataType] = []
         sequence = TaskContext.get().partitionId() * TASK_SEQUENCES
 
@@ -108,9 +110,9 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
         def placed(rests: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             places, used = best_fit_decreasing([r[2] for r in rests], window)
-            for at in range(0, len(rests), 20_000):
+            for at in range(0, len(rests), BATCH_PIECES):
                 yield arrow([(*r, sequence + n, o) for r, (n, o) in
-                             zip(rests[at:at + 20_000], places[at:at + 20_000])])
+                             zip(rests[at:at + BATCH_PIECES], places[at:at + BATCH_PIECES])])
             sequence += used
 
         rests: list[tuple] = []
@@ -139,6 +141,8 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
                     rests, held = [], 0
         if rests:
             yield from placed(rests)
+        rests.clear()
+        give_back()
 
     return rows.mapInArrow(task, schema)
 

@@ -300,7 +300,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | N
     end = end_id.to_bytes(4, "little")
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = ids_of(tokenizer), TaskContext.get().partitionId()
+        encoder, number = ids_of(tokenizer, 200_000), TaskContext.get().partitionId()
         store, folder = _store(path)
         store.create_dir(folder, recursive=True)
         keys: list = []
@@ -354,7 +354,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     with store.open_input_stream(f"{folder}/files.json") as file:
         listed = json.loads(file.read())
     rows = [(f["name"], f["start"], k) for k, f in enumerate(listed["files"])]
-    files = spark.createDataFrame(rows, "name string, start long, k int").repartition(max(1, len(rows)), "k")
+    files = spark.createDataFrame(rows, "name string, start long, k int").repartitionByRange(max(1, len(rows)), "k")
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local, base = _store(path)

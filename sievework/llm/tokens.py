@@ -4,7 +4,7 @@ Both tokenizer files cut a text into words before they merge anything, and every
 cut falls where a white-space run follows another character.  A text is therefore the
 concatenation of its pieces ``white space + word``, and the library needs to see each
 distinct piece once per worker only.  Texts with white space on which Python and the
-library could disagree go to the library whole.
+library could disagree, or with the string of a special token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -35,12 +35,14 @@ SPACE = " \n\t\r\x0b\x0c"
 class Ids:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(names) or r"(?!)", re.IGNORECASE)
         self.between = np.frombuffer(self.whole([f"a {BETWEEN}"])[0], "<u4")[len(self.whole(["a"])[0]) // 4:]
         self.memo_pieces = memo_pieces
         self.memo: dict[str, bytes] = {}
@@ -85,7 +87,8 @@ class Ids:
         """Ids of each text; a null counts as empty."""
         if len(self.memo) > self.memo_pieces or self.chars > MEMO_CHARS:  # words still in use come back from the older half
             self.older, self.memo, self.chars = self.memo, {}, 0
-        cut = [None if t and ODD_SPACE.search(t) else PIECE.findall(t or "") for t in texts]
+        odd, special = ODD_SPACE.search, self.special.search
+        cut = [None if t and (odd(t) or special(t)) else PIECE.findall(t or "") for t in texts]
         missing = set().union(*[c for c in cut if c]).difference(self.memo)
         if missing:
             self.learn(missing)
@@ -93,10 +96,15 @@ class Ids:
         return [self.whole([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut)]
 
 
-def ids_of(path: str, memo_pieces: int = MEMO_PIECES) -> Ids:
-    """The encoder of this worker process for a tokenizer file."""
+def ids_of(path: str, memo_pieces: int = MEMO_PIECES, special_as_text: bool = False) -> Ids:
+    """The encoder of this worker process for a tokenizer file.
+
+    The string of a special token in a text is that token, as the library has it; with
+    ``special_as_text`` it is ordinary text.
+    """
     loaded = kept("tokens")
-    if path not in loaded:
-        loaded[path] = Ids(path, memo_pieces)
-    loaded[path].memo_pieces = memo_pieces
-    return loaded[path]
+    key = (path, special_as_text)
+    if key not in loaded:
+        loaded[key] = Ids(path, memo_pieces, special_as_text)
+    loaded[key].memo_pieces = memo_pieces
+    return loaded[key]

@@ -16,7 +16,6 @@ TEXTS = [None, "", " ", "\n\n", "Hello, world", "  two  spaces ", "a\n b\n\n c
 @pytest.mark.parametrize("name", PATHS)
 def test_memo_gives_the_library_ids(name):
     plain = Tokenizer.from_file(PATHS[name])
-    plain.encode_special_tokens = True
     rng = random.Random(7)
     alphabet = list("abcDEF é ñ..,,  \n\n''ts12-_!\t") + ["́", " the", "n't", "\x85", " "]
     texts = TEXTS + ["".join(rng.choices(alphabet, k=rng.randint(1, 80))) for _ in range(3000)]
@@ -28,6 +27,16 @@ def test_memo_gives_the_library_ids(name):
     assert [len(x) for x in encoder.encode(texts[:50])] == [4 * len(w) for w in want[:50]]
 
 
+@pytest.mark.parametrize("name", PATHS)
+def test_special_strings(name):
+    plain = Tokenizer.from_file(PATHS[name])
+    texts = ["one <|endoftext|> two", "one <|startoftext|> two", "a<|ENDOFTEXT|>b <|endoftext|>", "<|endoftext|>"]
+    for as_text in (False, True):
+        plain.encode_special_tokens = as_text
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Ids(PATHS[name], special_as_text=as_text).encode(texts)] == want
+
+
 def test_tree_takes_the_tightest_window():
     rng = random.Random(3)
     for window in (1, 7, 64, 100):
@@ -66,7 +75,6 @@ def test_pieces_cover_every_document(documents, held):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(5, "again"), (None, "no id"), (50, "long words " * 4000)]
     rows += [(100 + k, " ".join(rng.choices(["alpha", "Beta.", "gamma"], k=rng.randint(0, 300)))) for k in range(200)]
     plain = Tokenizer.from_file(PATHS["byte_bpe_50k.json"])
-    plain.encode_special_tokens = True
     got = packing.pack(documents(*rows).repartition(3), PATHS["byte_bpe_50k.json"], window=128, held_tokens=held).collect()
     found = {}
     for r in got:
