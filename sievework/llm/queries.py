@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import LOWER, UPPER, table
 from sievework.llm.exact_dedup import exact_groups
 from sievework.llm.language import held_out, identify, samples
+from sievework.llm.licenses import scan_licenses
 from sievework.llm.mixing import broadcast_rows, mix, targets, weighted_quotas, words_in
 from sievework.llm.neighbours import nearest
 from sievework.llm.packing import pack
@@ -163,3 +164,8 @@ FROM kept
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, window=1024, end_id=0, memo_pieces=300_000).drop("ids")
+
+
+@query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
