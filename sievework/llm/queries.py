@@ -15,6 +15,7 @@ from sievework.llm.neighbours import nearest
 from sievework.llm.packing import pack
 from sievework.llm.pii import find, labelled, train
 from sievework.llm.simhash import near_groups
+from sievework.llm.spelling import spelling_variants
 from sievework.llm.token_files import read_tokens, write_tokens
 from sievework.llm.unit_dedup import LINE_WORDS, SENTENCE_WORDS, repeated_units
 from sievework.llm.warc import archive, read_archive
@@ -166,6 +167,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, window=1024, end_id=0, memo_pieces=300_000).drop("ids")
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
