@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import LOWER, UPPER, table
 from sievework.llm.exact_dedup import exact_groups
+from sievework.llm.hard_negatives import mine
 from sievework.llm.language import held_out, identify, samples
 from sievework.llm.licenses import scan_licenses
 from sievework.llm.mixing import broadcast_rows, mix, targets, weighted_quotas, words_in
@@ -172,6 +173,36 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved))
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH whole AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.r AS a_r, a.vec_id AS anchor_id, b.r AS b_r, b.vec_id, a.label = b.label AS same,
+           CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM whole a JOIN whole b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT a_r, b_r, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY a_r ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+       positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.a_r = p.a_r AND NOT s.same
+     AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY p.a_r, p.b_r ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
 @query
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
