@@ -43,16 +43,17 @@ def scan_csv(spark, d):
 
 
 def _mixed_files(spark, folder: str) -> str:
-    """The same in files with two column orders, and files with a broken line each."""
+    """The same in files with two column orders, and files with a broken line for every document."""
     path = new_path(spark, "applicants-mixed")
     wide = fx.applicants_wide(spark, folder).withColumnRenamed("row_id", "row_no")
     for rest, names in ((0, wide.columns), (1, wide.columns[::-1])):
         wide.filter(F.col("row_no") % 2 == rest).select(*[F.col(f"`{n}`") for n in names]).write.mode("append").option(
             "header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
             "ignoreTrailingWhiteSpace", False).csv(path)
-    broken = F.concat(F.lit("Applicant_ID,email\nb"), "doc_id", F.lit(",x,too,many"))
-    fx.table(spark, folder, "documents").filter(F.col("doc_id") % 50 == 0).select(broken.alias("value")).write.mode(
-        "append").option("maxRecordsPerFile", 1).text(path)
+    # Lines with more values than their header: the one column holds them whole, commas included.
+    broken = F.concat(F.lit("b"), "doc_id", F.lit(",x,too,many"))
+    fx.table(spark, folder, "documents").select(broken.alias("Applicant_ID,email")).write.mode("append").option(
+        "header", True).option("sep", "\t").csv(path)
     return path
 
 
@@ -65,7 +66,7 @@ def scan_csv_mixed(spark, d):
         F.md5(_text("q1_first_line")).alias("q1"), F.md5(_text("q3")).alias("q3"))
 
 
-@query("parse_errors", "SELECT 'b' || doc_id || ',x,too,many' AS line, 'parse_error' AS reject_reason FROM documents WHERE doc_id % 50 = 0")
+@query("parse_errors", "SELECT 'b' || doc_id || ',x,too,many' AS line, 'parse_error' AS reject_reason FROM documents")
 def parse_errors(spark, d):
     return ap.parse_errors(ap.scan_csv(spark, _mixed_files(spark, d))).drop("row_id")
 

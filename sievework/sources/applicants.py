@@ -9,17 +9,16 @@ applicant's answers in one record, so nothing needs to be grouped back together.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework import lexicons as lx
 from sievework.functions import text as tx
-from sievework.operators.keyed import first_per_key, lookup
-from sievework.session import stage
+from sievework.operators.keyed import computed_once, first_per_key, lookup
+from sievework.sources.csv_records import read_records
 
 FIELDS = list(lx.COLUMN_ALIASES)
 
@@ -32,63 +31,48 @@ def _named(header: str) -> Column:
 CORRUPT = "_corrupt_record"
 
 
-def _csv(spark: SparkSession, multi_line: bool):
-    return (
-        spark.read.option("header", True).option("multiLine", multi_line)
-        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    )
-
-
-def _header_groups(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
-    """The files of ``path`` in lists that share their first line; one narrow pass over the text."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("n"), "value").filter("block = 0")
-    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("header"))
-    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return sorted([unquote(f) for f in r["files"]] for r in grouped.collect())  # a name per file
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True,
              with_row_id: bool = True, missing_ok: bool = False) -> DataFrame:
     """Header CSV, every column a string.
 
-    Files may order their columns differently or lack some: files with one header are read
-    together, and all are put together by column name.  A line that does not fit its header
-    is kept whole in ``_corrupt_record``.  ``row_id`` counts the rows in order of file name
-    and line, whatever the number of cores and the size of the splits.  A path that cannot
-    be read is an error, or an empty frame if ``missing_ok``.
-
-    A ``multi_line`` file is one task, so ship large inputs as many files; switch it off for
-    files without line breaks inside quotes and they are split as well.
+    Files may order their columns differently or lack some and are put together by column
+    name.  A line that does not fit its header is kept whole in ``_corrupt_record``.
+    ``row_id`` counts the rows in order of file name and line, whatever the number of cores
+    and the size of the splits.  Records end with a line feed, or as the header ends, with
+    a carriage return before it; blank lines are no records.  A path that cannot be read is an
+    error, or an empty frame if ``missing_ok``.
+
+    Files are split wherever they are long, also those with line breaks inside quotes
+    (``csv_records``).  They are scanned once now, for states and row numbers, and once when
+    the rows are used; nothing is written.  Without such line breaks ``multi_line=False``
+    saves looking at the quotes.
     """
     try:
-        groups = _header_groups(spark, path)
+        records, headers = read_records(spark, path, multi_line)
     except AnalysisException:
         if not missing_ok:
             raise
-        groups = []
-    if not groups:
+        records, headers = None, []
+    if records is None:
         ids = T.StructType([T.StructField("row_id", T.LongType())] if with_row_id else [])
         return spark.createDataFrame([], ids)
-    raw = None
-    for files in groups:
-        names = _csv(spark, multi_line).csv(files[0]).columns
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
-        part = _csv(spark, multi_line).schema(schema).csv(files).select(
-            "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
-        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
-    placed = stage(raw.withColumn("__n", F.monotonically_increasing_id()), "csv")
-    if not with_row_id:
-        return placed.drop("__file", "__block", "__n")
-    # Rows of a block are consecutive in their task; blocks are numbered in order of file.
-    blocks = placed.groupBy("__file", "__block").agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__rows"))
-    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("__file", "__block", (F.coalesce(F.sum("__rows").over(before), F.lit(0))
-                                                 - F.col("__first")).alias("__shift"))
-    return placed.join(starts, ["__file", "__block"]).withColumn(
-        "row_id", F.col("__n") + F.col("__shift")).drop("__file", "__block", "__n", "__shift")
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "columnNameOfCorruptRecord": CORRUPT,
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    names = list(dict.fromkeys([*headers[0], CORRUPT, *(n for header in headers for n in header)]))
+    parsed = {}
+    for k, header in enumerate(headers):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*header, CORRUPT)])
+        parsed[f"__{k}"] = F.when(F.col("header") == k, F.from_csv(F.col("record").cast("string"), _ddl(schema), options))
+    once = computed_once(records, parsed)
+    columns = []
+    for name in names:
+        having = [F.col(f"__{k}")[name] for k, header in enumerate(headers) if name == CORRUPT or name in header]
+        columns.append(F.coalesce(*having).alias(name))
+    return once.select(*columns, *(["row_id"] if with_row_id else []))
 
 
 def parse_errors(raw: DataFrame) -> DataFrame:
