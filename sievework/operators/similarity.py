@@ -21,6 +21,7 @@ from sievework import lexicons as lx
 from sievework.functions import text as tx
 from sievework.functions.rules import strikes_for
 from sievework.functions.text import let
+from sievework.operators import pivots
 from sievework.operators.keyed import BLOCK_ROWS, lookup, pair_blocks
 from sievework.session import stage
 
@@ -355,62 +356,32 @@ def _reach(groups: SimilarGroups) -> DataFrame:
 
 #: Rows of one block in the embedding join: two blocks are multiplied at a time.
 VECTOR_BLOCK = 2048
-#: Landmarks per question, used to skip pairs of blocks that lie too far apart.
-LANDMARKS = 4
 
 
-def embedding_cosine(df: DataFrame, question: str, item: str, vector: str,
-                     threshold: float = lx.SIMILARITY_WARN, block_rows: int = VECTOR_BLOCK,
-                     landmarks: int = LANDMARKS) -> DataFrame:
-    """Pairs within a question with embedding cosine >= threshold: exact.
-
-    Vectors are grouped by their nearest landmark and cut into bounded blocks.  The
-    angle between unit vectors is a metric, so two blocks whose ranges of angles to
-    any landmark lie further apart than the threshold's angle hold no pair and are
-    skipped.  Each remaining pair of blocks is one group of at most about
-    ``2 * block_rows`` rows, multiplied as matrices; only hits are emitted.
-    """
+def unit_vectors(df: DataFrame, question: str, item: str, vector: str) -> DataFrame:
+    """``q``, ``id`` and the vector ``v`` of norm 1 (a zero vector stays zero)."""
     norm = F.greatest(F.sqrt(F.aggregate(
         F.transform(vector, lambda x: x.cast("double") * x.cast("double")),
         F.lit(0.0), lambda acc, x: acc + x)), F.lit(1e-8))
-    unit = df.select(
+    return df.select(
         F.col(question).alias("q"), F.col(item).cast("bigint").alias("id"),
         let(norm, lambda n: F.transform(vector, lambda x: x.cast("double") / n)).alias("v"))
-    unit = stage(unit, "unit-vectors")
-    marks = unit.groupBy("q").agg(F.array(*[
-        F.min_by("v", F.xxhash64("id", F.lit(j))) for j in range(landmarks)]).alias("marks"))
-
-    def inner(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0),
-                           lambda acc, x: acc + x)
-
-    def angle(a: Column, b: Column) -> Column:
-        return F.acos(tx.clamp(inner(a, b), -1.0, 1.0))
-
-    placed = lookup(unit, marks, ["q"]).select(
-        "q", "id", "v", let(F.col("v"), lambda v: F.transform("marks", lambda m: angle(m, v)))
-        .alias("angles")).withColumn(
-        "cell", F.array_position("angles", F.array_min("angles")).cast("int"))
-    placed = stage(placed, "placed-vectors")
-    sizes = placed.groupBy("q", "cell").agg(F.ceil(
-        F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("parts"))
-    cut = stage(lookup(placed, sizes, ["q", "cell"]).select(
-        "q", "id", "v", "angles",
-        F.concat_ws("-", "cell", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")),
-        "vector-blocks")
-    zones = stage(cut.groupBy("q", "block").agg(*[
-        f(F.col("angles")[j]).alias(f"{n}{j}") for j in range(landmarks)
-        for n, f in (("lo", F.min), ("hi", F.max))]), "zones")
-
-    limit = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
-    l, r = zones.alias("l"), zones.alias("r")
-    near = (F.col("l.q") == F.col("r.q")) & (F.col("l.block") <= F.col("r.block"))
-    for j in range(landmarks):
-        near = near & (F.col(f"l.lo{j}") - F.col(f"r.hi{j}") <= limit) & (
-            F.col(f"r.lo{j}") - F.col(f"l.hi{j}") <= limit)
-    meetings = stage(l.join(r, near).select(
-        F.col("l.q").alias("q"), F.col("l.block").alias("lo"), F.col("r.block").alias("hi")),
-        "block-pairs")
+
+
+def embedding_cosine(df: DataFrame, question: str, item: str, vector: str,
+                     threshold: float = lx.SIMILARITY_WARN, block_rows: int = VECTOR_BLOCK) -> DataFrame:
+    """Pairs within a question with embedding cosine >= threshold: exact.
+
+    Vectors lie in the bounded blocks of a pivot tree; pairs of blocks, and whole pairs of
+    nodes above them, that the triangle inequality rules out are skipped.  Each remaining pair
+    of blocks is one group of at most about ``2 * block_rows`` rows, multiplied as matrices;
+    only hits are emitted.  A zero vector has cosine 0 with all; it has no angle, so from a
+    threshold of 0 down all pairs of blocks are multiplied.
+    """
+    tree = pivots.grow(unit_vectors(df, question, item, vector), block_rows)
+    limit = float(np.arccos(np.clip(threshold, -1.0, 1.0))) if threshold > 0 else 4.0
+    meetings = pivots.block_pairs(tree, limit)
+    cut = tree.rows
 
     def rows_of(side: str) -> DataFrame:
         block = cut.select("q", F.col("block").alias(side), "id", "v")
