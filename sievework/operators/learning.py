@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework import lexicons as lx
 from sievework.functions import rules
 from sievework.functions import text as tx
+from sievework.operators import selection
+from sievework.session import stage
 
 
 def tier_distribution(scored: DataFrame) -> DataFrame:
@@ -17,20 +19,17 @@ def tier_distribution(scored: DataFrame) -> DataFrame:
 def score_stats(scored: DataFrame, score: str = "total_score") -> DataFrame:
     """Count, mean, min, max and upper median, rounded; null statistics without rows.
 
-    One pass counts the rows per score, of which rounding leaves at most 10,001 values;
-    the rest, the ordered running count included, looks at those values only.
+    Scores may be any doubles: the median is selected exactly, by a few bounded histograms of
+    the written scores.  Null and NaN scores count as candidates only.
     """
-    histogram = scored.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    running = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = histogram.withColumns({
-        "upto": F.sum("n").over(running), "all": F.sum("n").over(Window.partitionBy(F.lit(0)))})
-    upper_median = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("s")))
-    return counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_candidates"),
-        tx.round_half_even(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 2).alias("mean"),
-        tx.round_half_even(F.min("s"), 2).alias("min"),
-        tx.round_half_even(F.max("s"), 2).alias("max"),
-        tx.round_half_even(upper_median, 2).alias("median"))
+    values = stage(scored.select(F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")).alias("s")), "scores")
+    seen = values.agg(F.count(F.lit(1)).alias("rows"), F.count("s").alias("n"), F.sum("s").alias("sum"),
+                      F.min("s").alias("low"), F.max("s").alias("high")).first()
+    median = selection.kth_smallest(values, "s", seen["n"] // 2, seen["low"], seen["high"]) if seen["n"] else None
+    row = scored.sparkSession.createDataFrame(
+        [(seen["rows"], seen["sum"] / seen["n"] if seen["n"] else None, seen["low"], seen["high"], median)],
+        "total_candidates long, mean double, min double, max double, median double")
+    return row.select("total_candidates", *[tx.round_half_even(c, 2).alias(c) for c in ("mean", "min", "max", "median")])
 
 
 def reject_warning(scored: DataFrame) -> DataFrame:

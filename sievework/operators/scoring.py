@@ -4,29 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework import lexicons as lx
 from sievework.functions import rules
 from sievework.functions import text as tx
+from sievework.operators import selection
 from sievework.operators.forensics import applicant_key
 from sievework.operators.keyed import computed_once, lookup
 
-#: Unique integer ids that agree in all but these low bits share a bucket, so a
-#: bucket never holds more than 2**20 rows.
-RANK_BITS = 20
-
 
 def with_role_terms(candidates: DataFrame, lexicon: DataFrame, default: str = lx.DEFAULT_ROLE,
                     ) -> DataFrame:
     """Attach ``terms`` from a (role_key, terms) table; unknown roles get the default's.
 
     The lexicon is shuffled or, when its files are small, broadcast by the planner;
-    hot roles are answered from a bounded broadcast.
+    hot roles are answered from a bounded broadcast.  A repeated default role is an error.
     """
     keyed = candidates.withColumn("role_key", rules.role_key("role"))
-    fallback = lexicon.filter(F.col("role_key") == default).select("terms").limit(1).scalar()
+    fallback = lexicon.filter(F.col("role_key") == default).select("terms").scalar()
     joined = lookup(keyed, lexicon, ["role_key"], how="left")
     return joined.withColumn("terms", F.coalesce(
         "terms", fallback, F.array().cast("array<string>")))
@@ -100,37 +97,28 @@ def score_candidates(candidates: DataFrame, weights: Mapping[str, float] = lx.WE
 
 
 def rank_scores(scored: DataFrame, score: str = "total_score", row_id: str = "row_id",
-                bits: int = RANK_BITS, prefix_explanation: bool = False) -> DataFrame:
+                bits: int | None = None, prefix_explanation: bool = False) -> DataFrame:
     """Adds ``rank`` and ``n_ranked``: descending score, ties in ``row_id`` order.
 
-    No task sees all rows.  Rows are numbered within (score, id bucket), which the
-    bucket width bounds; on top come the rows in earlier buckets of the same score and
-    the rows with a higher score.  The last step runs over one row per distinct score,
-    of which two decimals within 0..100 allow 10,001.
+    Scores may be any doubles.  Only score and id are sorted, in ranges (as many as the shuffle
+    has partitions, at most ``2**bits``); the ranks then meet the wide rows by the unique,
+    non-null ``row_id``.
     """
-    bucketed = scored.withColumn("__bucket", F.shiftright(F.col(row_id).cast("bigint"), bits))
-    counts = bucketed.groupBy(score, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(score).orderBy("__bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    buckets = counts.withColumn(
-        "__in_score", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    per_score = counts.groupBy(score).agg(F.sum("__n").alias("__n_score"))
-    higher = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    scores = per_score.select(
-        score, F.coalesce(F.sum("__n_score").over(higher), F.lit(0)).alias("__above"),
-        F.sum("__n_score").over(Window.partitionBy(F.lit(0))).alias("n_ranked"))
-    offsets = buckets.join(scores, score).select(
-        score, "__bucket", (F.col("__above") + F.col("__in_score")).alias("__offset"), "n_ranked")
-    numbered = bucketed.withColumn("__pos", F.row_number().over(
-        Window.partitionBy(score, "__bucket").orderBy(row_id)))
-    ranked = numbered.join(offsets, [score, "__bucket"]).withColumn(
-        "rank", F.col("__offset") + F.col("__pos")).drop("__bucket", "__pos", "__offset")
+    ranges = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered, n = selection.ranks(scored, score, row_id, ranges if bits is None else min(ranges, 1 << bits))
+    ranked = scored.join(numbered, row_id).withColumn("n_ranked", F.lit(n).cast("long"))
     columns = scored.columns + ["rank", "n_ranked"]
-    if prefix_explanation:
-        head = F.concat(F.lit("Rank: #"), F.col("rank").cast("string"), F.lit(" of "),
-                        F.col("n_ranked").cast("string"))
-        ranked = ranked.withColumn("explanation", F.concat(F.array(head), F.col("explanation")))
-    return ranked.select(*columns)
+    return (_rank_line(ranked) if prefix_explanation else ranked).select(*columns)
+
+
+def _rank_line(ranked: DataFrame) -> DataFrame:
+    head = F.concat(F.lit("Rank: #"), F.col("rank").cast("string"), F.lit(" of "), F.col("n_ranked").cast("string"))
+    return ranked.withColumn("explanation", F.concat(F.array(head), F.col("explanation")))
+
+
+def with_rank_line(scored: DataFrame, ranks: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``rank``, ``n_ranked`` and the rank as first explanation, from ranks found before."""
+    return _rank_line(scored.join(ranks.select(row_id, "rank", "n_ranked"), row_id))
 
 
 def top_k(scored: DataFrame, k: int = 5, score: str = "total_score") -> DataFrame:
