@@ -32,6 +32,13 @@ TOGETHER = 2000
 MEMO_PIECES, MEMO_CHARS = 100_000, 16_000_000
 SPACE = " \n\t\r\x0b\x0c"
 
+
+def _odd_space(text: str) -> bool:
+    if text.isascii():  # of the ASCII characters only these
+        return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    return ODD_SPACE.search(text) is not None
+
+
 class Ids:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -43,6 +50,8 @@ class Ids:
         self.tokenizer.encode_special_tokens = special_as_text
         names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(names) or r"(?!)", re.IGNORECASE)
+        shared = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        self.mark = re.match(r"\W*", shared)[0]  # no text without it has a special string
         self.between = np.frombuffer(self.whole([f"a {BETWEEN}"])[0], "<u4")[len(self.whole(["a"])[0]) // 4:]
         self.memo_pieces = memo_pieces
         self.memo: dict[str, bytes] = {}
@@ -87,8 +96,8 @@ class Ids:
         """Ids of each text; a null counts as empty."""
         if len(self.memo) > self.memo_pieces or self.chars > MEMO_CHARS:  # words still in use come back from the older half
             self.older, self.memo, self.chars = self.memo, {}, 0
-        odd, special = ODD_SPACE.search, self.special.search
-        cut = [None if t and (odd(t) or special(t)) else PIECE.findall(t or "") for t in texts]
+        mark, special = self.mark, self.special.search
+        cut = [None if t and (_odd_space(t) or (mark in t and special(t))) else PIECE.findall(t or "") for t in texts]
         missing = set().union(*[c for c in cut if c]).difference(self.memo)
         if missing:
             self.learn(missing)
