@@ -17,6 +17,10 @@ from sievework.session import stage
 #: ``HOT_KEYS`` keys are hot whatever the data.
 HOT_KEYS = 500
 
+#: Hot keys that a sketch returns at most, the items it keeps track of, and the rows of one key
+#: that stay together in a join.
+SKETCH_KEYS, SKETCH_ITEMS, PART_ROWS = 4_096, 65_536, 250_000
+
 #: Rows of one key that one task may pair with each other.
 BLOCK_ROWS = 4096
 
@@ -38,21 +42,43 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> DataF
     return counts.filter(F.col("__n") * F.lit(limit) >= rows).select(*keys)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def heavy_hitters(df: DataFrame, keys: Sequence[str], part_rows: int) -> DataFrame | None:
+    """Hash and number of parts (``__h``, ``__parts``) of the keys with more than ``part_rows``
+    rows, by a frequent-items sketch of bounded size in one pass; None if there are none.
+
+    At most ``SKETCH_KEYS`` keys are returned, the most frequent by the sketch, so a key that is
+    left whole holds no more than ``part_rows`` rows or about 1 in ``SKETCH_KEYS`` of all.
+    """
+    hashed = df.select(F.xxhash64(*keys).alias("__h"))
+    items = hashed.agg(F.expr(f"approx_top_k(__h, {SKETCH_KEYS}, {SKETCH_ITEMS})")).first()[0]
+    hot = [(i["item"], -(-i["count"] // part_rows)) for i in items or [] if i["count"] > part_rows]
+    return df.sparkSession.createDataFrame(hot, "__h long, __parts int") if hot else None
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+           part_rows: int = PART_ROWS) -> DataFrame:
     """Join ``left`` to ``right``, which has one row per key, safely for hot keys.
 
-    Rows of the few hot keys (at most ``HOT_KEYS``) are answered from a broadcast of
-    those keys' rows; all others take an ordinary shuffle join.  ``left`` is read
-    three times, so stage it first when it is expensive.  Keys must not be null.
+    A sketch of the keys of ``left`` finds the hot ones.  Their rows are cut by a hash of the
+    whole row into parts of about ``part_rows``, and their rows of ``right`` are repeated for
+    every part, so no task gets a whole hot key.  ``left`` is read twice, the first time for
+    its keys alone, so stage it first when those are expensive.  Keys must not be null and
+    columns of ``left`` must be hashable (no maps); rows that repeat whole share a part.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     keys = list(keys)
-    hot = hot_keys(left, keys)
-    hot_right = hot.join(right.join(F.broadcast(hot), keys, "left_semi"), keys, how)
-    fast = left.join(F.broadcast(hot_right), keys)
-    slow = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
-    return fast.unionByName(slow)
+    hot = heavy_hitters(left, keys, part_rows)
+    if hot is None:
+        return left.join(right, keys, how)
+
+    def with_parts(df: DataFrame, salt: Callable[[Column], Column]) -> DataFrame:
+        met = df.withColumn("__h", F.xxhash64(*keys)).join(F.broadcast(hot), "__h", "left")  # at most SKETCH_KEYS rows
+        return met.withColumn("__salt", salt(F.coalesce("__parts", F.lit(1)))).drop("__h", "__parts")
+
+    cut = with_parts(left, lambda parts: F.pmod(F.xxhash64(F.lit(17), *left.columns), parts).cast("int"))
+    spread = with_parts(right, lambda parts: F.explode(F.sequence(F.lit(0), parts - 1)))
+    return cut.join(spread, [*keys, "__salt"], how).drop("__salt")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str = "row_id") -> DataFrame:

@@ -3,17 +3,19 @@
 TF-IDF pairs follow Bayardo, Ma and Srikant, "Scaling Up All Pairs Similarity Search"
 (WWW 2007): equal answers are collapsed first, terms are ordered from rare to common,
 and only the leading part of a vector whose remainder is still long enough to reach
-the threshold is joined.  Long posting lists are cut into blocks, each pair is bounded
-inside the join, and survivors get an exact dot product.
+the threshold is joined.  Posting lists are cut into blocks ordered by the norm behind the
+term, with greatest values that rule out whole pairs of blocks; each pair is bounded inside
+the join, and survivors get an exact dot product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,14 @@ from sievework.functions.rules import strikes_for
 from sievework.functions.text import let
 from sievework.operators import pivots
 from sievework.operators.keyed import BLOCK_ROWS, lookup, pair_blocks
-from sievework.session import stage
+from sievework.session import ship_package, stage
 
 #: ``lx.TOKEN_PATTERN`` without its boundaries, which a greedy run has anyway.
 TOKEN_SCAN = lx.TOKEN_PATTERN.removeprefix(r"\b").removesuffix(r"\b")
 #: Slack for the floating-point bounds of the filters; the last test has none.
 SLACK = 1e-9
+#: Postings of a block at most.
+POSTING_BLOCK = 512
 #: Hash buckets of the first step of the most-frequent-terms cut.
 VOCAB_BUCKETS = 64
 
@@ -101,6 +105,29 @@ def _vocabulary(reps: DataFrame, max_features: int | None) -> DataFrame:
         F.monotonically_increasing_id().alias("term_id"))
 
 
+def _normed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of (df, term_id, w) with ``w`` divided by their norm and the norm ``after`` each."""
+    for part in parts:
+        lists = part.column(3)
+        ends = np.asarray(lists.offsets)
+        df, term, w = (np.asarray(c)[ends[0]:ends[-1]] for c in lists.values.flatten())
+        ends = ends - ends[0]
+        owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        # Squares behind each element: added up from the back of its own list.
+        behind = np.zeros(len(w))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            behind[a:b] = np.cumsum((w[a:b] * w[a:b])[::-1])[::-1]
+        norm = np.sqrt(behind[ends[:-1]])[owner] if len(w) else w
+        after = np.sqrt(np.maximum(0.0, behind - w * w)) / norm
+        last = ends[1:][np.diff(ends) > 0] - 1
+        after[last] = 0.0
+        entries = pa.StructArray.from_arrays([pa.array(df), pa.array(term), pa.array(w / norm), pa.array(after)],
+                                             names=["df", "term_id", "w", "after"])
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)],
+            names=["gid", "question_id", "n", "terms"])
+
+
 def tfidf_model(answers: DataFrame, stop_words: Sequence[str] = (),
                 max_features: int | None = lx.MAX_FEATURES) -> Vectors:
     """Unit TF-IDF vectors per question from (question_id, row_id, candidate_id, answer_text).
@@ -108,6 +135,7 @@ def tfidf_model(answers: DataFrame, stop_words: Sequence[str] = (),
     ``row_id`` is unique within a question.  Ids are numbered in tables that are written
     once, so they stay what they are.
     """
+    ship_package(answers.sparkSession)
     bags = stage(
         answers.filter(tx.strip("answer_text") != "").select(
             "question_id", "row_id", "candidate_id",
@@ -127,21 +155,12 @@ def tfidf_model(answers: DataFrame, stop_words: Sequence[str] = (),
 
     flat = reps.select("question_id", "gid", "n", F.explode("terms").alias("t")).select(
         "question_id", "gid", "n", "t.term", "t.tf")
-    weighed = flat.join(vocabulary, ["question_id", "term"]).withColumn(
-        "w", F.col("tf") * F.col("idf"))
-    whole = Window.partitionBy("gid")
-    rest = whole.orderBy(F.desc("df"), F.desc("term_id")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    square = F.col("w") * F.col("w")
-    norm = F.sqrt(F.sum(square).over(whole))
-    after = F.sqrt(F.coalesce(F.sum(square).over(rest), F.lit(0.0)))
-    unit = weighed.withColumns({"__norm": norm, "__after": after}).select(
-        "question_id", "gid", "n", F.struct(
-            "df", "term_id", (F.col("w") / F.col("__norm")).alias("w"),
-            (F.col("__after") / F.col("__norm")).alias("after")).alias("e"))
-    vectors = stage(unit.groupBy("gid").agg(
+    weighed = lookup(flat, vocabulary, ["question_id", "term"]).groupBy("gid").agg(
         F.first("question_id").alias("question_id"), F.first("n").alias("n"),
-        F.sort_array(F.collect_list("e")).alias("terms")), "vectors")
+        F.sort_array(F.collect_list(F.struct("df", "term_id", (F.col("tf") * F.col("idf")).alias("w")))).alias("e"))
+    terms = "array<struct<df: bigint, term_id: bigint, w: double, after: double>>"
+    kind = answers.schema["question_id"].dataType.simpleString()
+    vectors = stage(weighed.mapInArrow(_normed, f"gid bigint, question_id {kind}, n bigint, terms {terms}"), "vectors")
     return Vectors(members, vectors, vocabulary, groups.filter("worded").select("question_id", "gid", "n"))
 
 
@@ -167,15 +186,52 @@ def dot(a: Column, b: Column) -> Column:
     return let(F.sort_array(F.concat(a, b)), merged)
 
 
+def posting_blocks(heads: DataFrame, block_rows: int) -> DataFrame:
+    """Postings (gid, term_id, w, after) of terms with two or more, with their ``block``.
+
+    A list of more than ``block_rows`` is ordered by the norm behind the term, in steps of
+    1/32, and a step that is still too long is cut by a hash.
+    """
+    lengths = stage(heads.groupBy("term_id").agg(F.count(F.lit(1)).alias("n_heads")).filter("n_heads > 1"), "posting-lengths")
+    listed = lookup(heads, lengths, ["term_id"]).withColumn("step", F.when(
+        F.col("n_heads") > block_rows, F.floor(F.col("after") * 32)).otherwise(F.lit(-1)).cast("int")).drop("n_heads")
+    steps = heads.sparkSession.createDataFrame([], "term_id long, step int, parts int")
+    long_lists = lengths.filter(F.col("n_heads") > block_rows)
+    if not long_lists.isEmpty():
+        listed = stage(listed, "postings")
+        steps = stage(listed.filter("step >= 0").groupBy("term_id", "step").agg(F.ceil(
+            F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("parts")).filter("parts > 1"), "long-steps")
+        # Steps that are cut are as many as the postings divided by the block rows at most.
+        listed = listed.join(steps, ["term_id", "step"], "left")
+    else:
+        listed = listed.withColumn("parts", F.lit(None).cast("int"))
+    part = F.pmod(F.xxhash64("gid"), F.coalesce("parts", F.lit(1))).cast("int")
+    return listed.select("gid", "term_id", "w", "after", F.concat_ws("-", "step", part).alias("block"))
+
+
+def posting_block_pairs(postings: DataFrame, floor: float) -> DataFrame:
+    """Pairs of blocks of one term (lo <= hi) whose greatest values can reach ``floor``."""
+    zones = stage(postings.groupBy("term_id", "block").agg(
+        F.max("w").alias("w"), F.max("after").alias("after")), "posting-zones")
+    l, r = (zones.select("term_id", F.col("block").alias(s), F.col("w").alias(f"w_{s}"), F.col("after").alias(f"after_{s}"))
+            for s in ("lo", "hi"))
+    bound = F.col("w_lo") * F.col("w_hi") + F.col("after_lo") * F.col("after_hi")
+    return l.join(r, "term_id").filter((F.col("lo") <= F.col("hi")) & (bound >= floor)).select("term_id", "lo", "hi")
+
+
 def _similar_groups(vectors: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """Pairs of distinct vectors with cosine >= threshold: question_id, gid_a, gid_b, cosine.
 
-    Let the head of a vector end where the norm of what follows drops below the
-    threshold.  Two vectors that reach the threshold share a term of both heads, since
-    otherwise all they share lies in one tail.  For the pairs met this way, the shared
-    head terms are added up exactly; everything else they share lies behind the earlier
-    of the two head ends, so one of them contributes no more than its tail and the
-    other no more than what follows their last shared head term.
+    All that two vectors share lies at or behind their first shared term in the order from rare
+    to common, so their cosine is at most the product of its weights and that of the norms
+    behind it.  Hence a pair that reaches the threshold reaches it with this bound at a term
+    that both have in their heads, where a head ends once term and rest together stay below the
+    threshold.  Posting lists are cut into blocks ordered by the norm behind the term; the
+    greatest weight and norm of two blocks bound all their pairs, so whole pairs of blocks are
+    skipped.  For the pairs met, the shared terms of both heads are added up; everything else
+    they share lies behind the earlier of the two head ends, so one of them contributes no more
+    than its tail and the other no more than what follows their last shared head term.  What
+    then can still reach the threshold gets an exact dot product.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above 0: pairs that share no term never meet")
@@ -185,31 +241,35 @@ def _similar_groups(vectors: DataFrame, threshold: float, block_rows: int) -> Da
         return e["w"] * e["w"] + e["after"] * e["after"] >= floor * floor
 
     headed = vectors.select("gid", F.filter("terms", in_head).alias("head"))
-    heads = headed.select(
-        "gid", F.element_at("head", -1)["after"].alias("tail"), F.explode("head").alias("e")
-    ).select("gid", "tail", "e.term_id", "e.w", "e.after")
-    lengths = stage(heads.groupBy("term_id").agg(
-        F.count(F.lit(1)).alias("n_heads")).filter(F.col("n_heads") > 1), "posting-lengths")
-    squares = F.col("w") * F.col("w") + F.col("after") * F.col("after")
-    postings = heads.join(lengths, "term_id").withColumn(
-        "before", F.sqrt(F.greatest(F.lit(0.0), 1.0 - squares)))
-
-    def reachable(a: str, b: str) -> Column:
-        # Around any shared term the parts before and after add at most the products
-        # of their norms.
-        parts = [F.col(c + a) * F.col(c + b) for c in ("before", "w", "after")]
-        return parts[0] + parts[1] + parts[2] >= floor
-
-    matches = pair_blocks(postings, ["term_id"], "gid", F.col("n_heads"), on=reachable,
-                          block_rows=block_rows)
-    # Both products shrink along the shared terms, so their minimum is that of the last.
-    behind = F.greatest(F.col("tail_a") * F.col("after_b"), F.col("after_a") * F.col("tail_b"))
-    met = matches.select(
-        F.least("gid_a", "gid_b").alias("gid_a"), F.greatest("gid_a", "gid_b").alias("gid_b"),
-        (F.col("w_a") * F.col("w_b")).alias("product"), behind.alias("behind"),
-    ).groupBy("gid_a", "gid_b").agg(F.sum("product").alias("shared"), F.min("behind").alias("rest"))
-    candidates = met.filter(F.col("shared") + F.col("rest") >= floor).select("gid_a", "gid_b")
-
+    heads = headed.select("gid", F.explode("head").alias("e")).select("gid", "e.term_id", "e.w", "e.after")
+    postings = stage(posting_blocks(heads, min(block_rows, POSTING_BLOCK)), "posting-blocks")
+    meetings = stage(posting_block_pairs(postings, floor), "posting-pairs")
+
+    def side(block: str, s: str) -> DataFrame:
+        return postings.select("term_id", F.col("block").alias(block), *[F.col(c).alias(c + s) for c in ("gid", "w", "after")])
+
+    bound = F.col("w_a") * F.col("w_b") + F.col("after_a") * F.col("after_b")
+    left = meetings.join(side("lo", "_a"), ["term_id", "lo"])
+    met = left.join(side("hi", "_b"), ["term_id", "hi"]).filter(
+        (bound >= floor) & ((F.col("lo") != F.col("hi")) | (F.col("gid_a") < F.col("gid_b"))))
+    candidates = met.select(F.least("gid_a", "gid_b").alias("gid_a"), F.greatest("gid_a", "gid_b").alias("gid_b")).distinct()
+    lists = headed.select("gid", "head.term_id", "head.w", "head.after")
+    both = candidates.join(lists.withColumnsRenamed({c: c + "_a" for c in lists.columns}), "gid_a").join(
+        lists.withColumnsRenamed({c: c + "_b" for c in lists.columns}), "gid_b").select(
+        "gid_a", "gid_b", *[c + s for s in ("_a", "_b") for c in ("term_id", "w", "after")])
+
+    def bounded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            columns = [[x.values.to_numpy() for x in part.column(k)] for k in range(2, 8)]
+            keep = np.zeros(part.num_rows, bool)
+            for row, (ta, wa, ra, tb, wb, rb) in enumerate(zip(*columns)):
+                _, ia, ib = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
+                # Both products shrink along the shared terms, so those at the last one count.
+                rest = max(ra[-1] * rb[ib.max()], ra[ia.max()] * rb[-1])
+                keep[row] = wa[ia] @ wb[ib] + rest >= floor
+            yield part.select([0, 1]).filter(pa.array(keep))
+
+    candidates = both.mapInArrow(bounded, "gid_a bigint, gid_b bigint")
     slim = vectors.select("gid", "question_id", F.transform("terms", lambda e: F.struct(
         e["term_id"].alias("term_id"), e["w"].alias("w"))).alias("v"))
     left = slim.withColumnsRenamed({"gid": "gid_a", "v": "va"})

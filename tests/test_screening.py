@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework import lexicons as lx
 from sievework.functions import rules
-from sievework.operators import forensics, similarity
+from sievework.operators import forensics, keyed, similarity
 from sievework.plans.pipeline import full_pipeline, screen
 from sievework.sources.applicants import flatten_answers
 from sievework.sources.tables import weight_rows
@@ -222,3 +222,34 @@ def test_a_repeated_id_keeps_its_rows_apart(spark, people):
     assert len(again) == 3 and [r.flags for r in again if r.row_id == 1] == [r.flags for r in scored.collect() if r.row_id == 1]
     flags = timing.filter(F.col("flag").isNotNull())
     assert forensics.with_names(flags, c).count() == flags.count()
+
+
+def test_posting_blocks_are_skipped_by_their_greatest_values(spark):
+    """A term in every vector: blocks ordered by the norm behind it rule most of their pairs out."""
+    rng = np.random.default_rng(6)
+    after = rng.uniform(0.0, 0.99, 4000)
+    rows = [(k, 1, 0.1, float(x)) for k, x in enumerate(after)] + [(k, 2 + k // 2, 0.5, 0.8) for k in range(100)]
+    heads = spark.createDataFrame(rows, "gid long, term_id long, w double, after double")
+    postings = similarity.posting_blocks(heads, 100).cache()
+    assert postings.count() == len(rows)
+    assert max(r["count"] for r in postings.groupBy("term_id", "block").count().collect()) < 250
+    pairs = similarity.posting_block_pairs(postings, 0.7).collect()
+    n = postings.filter("term_id = 1").select("block").distinct().count()
+    kept = {(r.lo, r.hi) for r in pairs if r.term_id == 1}
+    assert n >= 32 and 0 < len(kept) < 0.3 * n * (n + 1) / 2
+    blocks = {r.gid: r.block for r in postings.filter("term_id = 1").collect()}
+    for _ in range(3000):  # no pair that reaches the floor lies in a pair of blocks left out
+        i, j = (int(x) for x in rng.integers(0, 4000, 2))
+        if 0.01 + after[i] * after[j] >= 0.7:
+            assert tuple(sorted((blocks[i], blocks[j]))) in kept
+
+
+def test_a_term_in_every_answer_is_cut_into_parts(spark):
+    left = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("k"), F.col("id") % 700)).alias("key"))
+    right = left.select("key").distinct().withColumn("value", F.upper("key"))
+    hot = keyed.heavy_hitters(left, ["key"], 50).collect()
+    assert [r["__parts"] for r in hot] == [20]
+    joined = keyed.lookup(left, right, ["key"], part_rows=50)
+    assert joined.count() == 3000 and joined.filter("value <> upper(key)").isEmpty()
+    assert keyed.heavy_hitters(left.limit(0), ["key"], 50) is None
