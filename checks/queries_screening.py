@@ -11,7 +11,7 @@ from sievework import fixtures as fx
 from sievework import lexicons as lx
 from sievework.functions import rules
 from sievework.functions import text as tx
-from sievework.operators import forensics, similarity
+from sievework.operators import forensics, keyed, similarity
 from sievework.plans.pipeline import full_pipeline as run_pipeline
 from sievework.session import stage
 from sievework.sources import applicants as ap
@@ -34,20 +34,23 @@ SIDES = """sd AS (SELECT row_a AS row_id, candidate_a AS candidate_id, candidate
 DOCS = "doc AS (SELECT 'c' || doc_id AS candidate_id, doc_id, text FROM documents)"
 
 
-@query("uniformity", f"SELECT doc_id, {S.uniformity('text')} AS uniformity FROM documents")
+@query("uniformity", f"SELECT doc_id, {S.uniformity('text')} AS uniformity, {S.uniformity_detail('text')} AS detail FROM documents")
 def uniformity(spark, d):
-    return fx.texts(spark, d, "documents").select("doc_id", rules.uniformity("text").alias("uniformity"))
+    judged = keyed.computed_once(fx.texts(spark, d, "documents").select("doc_id", "text"), {"s": rules.uniformity_signal("text")})
+    return judged.select("doc_id", F.col("s.score").alias("uniformity"), "s.detail")
 
 
-@query("vocab_signals", f"SELECT doc_id, round_even({S.vocab('text')}, 4) AS vocab FROM documents")
+@query("vocab_signals", f"SELECT doc_id, round_even({S.vocab('text')}, 4) AS vocab, {S.vocab_detail('text')} AS detail FROM documents")
 def vocab_signals(spark, d):
-    return fx.texts(spark, d, "documents").select("doc_id", tx.round_half_even(
-        rules.vocab_signals("text", fx.TRANSITIONS, fx.FORMAL), 4).alias("vocab"))
+    judged = keyed.computed_once(fx.texts(spark, d, "documents").select("doc_id", "text"), {
+        "s": rules.vocab_signal("text", fx.TRANSITIONS, fx.FORMAL)})
+    return judged.select("doc_id", tx.round_half_even("s.score", 4).alias("vocab"), "s.detail")
 
 
-@query("ai_verdict", S.with_(S.BASE + [S.signals("c", "raw_text")], "SELECT candidate_id, ai_probability, verdict FROM g"))
+@query("ai_verdict", S.with_(S.BASE + [S.signals("c", "raw_text")], f"""SELECT candidate_id, ai_probability, verdict,
+  {S.uniformity_detail('raw_text')} AS uniformity_detail, {S.vocab_detail('raw_text')} AS vocab_detail FROM g"""))
 def ai_verdict(spark, d):
-    return signals(spark, d).select("candidate_id", "ai_probability", "verdict")
+    return signals(spark, d).select("candidate_id", "ai_probability", "verdict", "uniformity_detail", "vocab_detail")
 
 
 TIMING_TEXT = f"""CASE flag_kind WHEN 'paste' THEN 'Response in ' || {S.number_text('seconds')} || 's — likely copy-paste'

@@ -220,6 +220,27 @@ def vocab(x: str) -> str:
     return f"(CASE WHEN {n} < 20 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, {' + '.join(parts)}) END)"
 
 
+def uniformity_detail(x: str) -> str:
+    n = sentence_lengths(x)
+    cv = f"list_aggregate({n}, 'stddev_pop') / list_avg({n})"
+    grades = " ".join(f"WHEN {cv} < {'1e300' if limit > 1 else limit} THEN {q(before)} || format('{{:.2f}}', {cv}) || {q(after)}"
+                      for limit, _, before, after in lx.UNIFORMITY_GRADES)
+    return (f"CASE WHEN {wc(x)} < 20 THEN {q(lx.SHORT_FOR_UNIFORMITY)} WHEN len({n}) < 3 THEN {q(lx.FEW_SENTENCES)} {grades} END")
+
+
+def vocab_detail(x: str) -> str:
+    t, n = f"lower({x})", wc(x)
+    formal = total([f"CAST({any_(t, p)} AS INTEGER)" for p in fx.FORMAL])
+    parts = [f"CASE WHEN {n} > 50 AND {hits(t, CONTRACTIONS)} / greatest({n}, 1) < 0.01 THEN 'no contractions' END"]
+    parts += [f"CASE WHEN contains({t}, {q(p)}) THEN {q(f"AI-typical phrase: '{p}'")} END" for p in fx.TRANSITIONS]
+    parts.append(f"CASE WHEN {n} > 80 AND {hapax(x)} BETWEEN 0.40 AND 0.55 THEN 'hapax ratio in AI-typical range (' "
+                 f"|| format('{{:.2f}}', {hapax(x)}) || ')' END")
+    parts.append(f"CASE WHEN {formal} >= 2 THEN {formal} || ' overly formal patterns' END")
+    fired = f"list_filter([{', '.join(parts)}], lambda s: s IS NOT NULL)"
+    return (f"CASE WHEN {n} < 20 THEN {q(lx.SHORT_FOR_VOCABULARY)} WHEN len({fired}) = 0 THEN {q(lx.NO_VOCABULARY_SIGNALS)} "
+            f"ELSE 'Vocabulary analysis: ' || array_to_string({fired}, ', ') END")
+
+
 def signals(source: str, text: str, name: str = "g") -> str:
     return f"""{name} AS (SELECT *, {rnd('composite', 3)} AS ai_probability,
   CASE WHEN composite > 0.65 THEN 'likely_ai' WHEN composite > 0.4 THEN 'suspicious' ELSE 'likely_human' END AS verdict

@@ -310,37 +310,61 @@ def explain_penalties(flags: Column | str) -> Column:
 # --------------------------------------------------------------- forensics
 
 
-def uniformity(text: Column | str) -> Column:
-    """How even the sentence lengths are: 0.85, 0.5 or 0.1, and 0 for short texts."""
+def uniformity_signal(text: Column | str) -> Column:
+    """``STRUCT<score, detail>``: how even the sentence lengths are (0.85, 0.5 or 0.1, and 0 for
+    short texts), and the grade in words with their variation."""
+    def verdict(score: float, *detail: Column) -> Column:
+        return F.struct(_double(score).alias("score"), F.concat(*detail).alias("detail"))
+
     def graded(lengths: Column) -> Column:
-        return F.when(F.size(lengths) < 3, _double(0)).otherwise(let(
-            tx.coef_variation(lengths),
-            lambda cv: F.when(cv < 0.2, 0.85).when(cv < 0.35, 0.5).otherwise(0.1)))
+        return F.when(F.size(lengths) < 3, verdict(0, F.lit(lx.FEW_SENTENCES))).otherwise(let(
+            tx.coef_variation(lengths), lambda cv: let(tx.fixed(cv, 2), lambda shown: F.coalesce(*[
+                F.when(cv < limit, verdict(score, F.lit(before), shown, F.lit(after)))
+                for limit, score, before, after in lx.UNIFORMITY_GRADES]))))
 
     column = F.col(text) if isinstance(text, str) else text
-    return F.when(tx.word_count(column) < 20, _double(0)).otherwise(
-        let(tx.sentence_lengths(column), graded)
-    )
+    return F.when(tx.word_count(column) < 20, verdict(0, F.lit(lx.SHORT_FOR_UNIFORMITY))).otherwise(
+        let(tx.sentence_lengths(column), graded))
 
 
-def vocab_signals(text: Column | str, transitions=lx.AI_TRANSITIONS,
-                  formal=lx.FORMAL_PATTERNS) -> Column:
-    """Sum of vocabulary signals, at most 1, and 0 for short texts."""
+def uniformity(text: Column | str) -> Column:
+    """The score of ``uniformity_signal``."""
+    return uniformity_signal(text)["score"]
+
+
+def vocab_signal(text: Column | str, transitions=lx.AI_TRANSITIONS,
+                 formal=lx.FORMAL_PATTERNS) -> Column:
+    """``STRUCT<score, detail>``: the sum of the vocabulary signals that fired, at most 1, and 0
+    for short texts; the detail lists them in their order."""
     column = F.col(text) if isinstance(text, str) else text
 
+    def signal(fires: Column, weight: float, *name: Column) -> Column:
+        return F.when(fires, F.struct(_double(weight).alias("weight"), F.concat(*name).alias("name")))
+
     def graded(lowered: Column, n: Column) -> Column:
         contractions = tx.regex_hits(lowered, lx.CONTRACTION_PATTERN) / F.greatest(n, F.lit(1))
-        few_contractions = (n > 50) & (contractions < 0.01)
-        score = F.when(few_contractions, 0.2).otherwise(0.0)
-        for phrase in transitions:
-            score = score + F.when(F.contains(lowered, F.lit(phrase)), 0.15).otherwise(0.0)
-        middling = let(tx.hapax_ratio(lowered), lambda h: h.between(0.40, 0.55))
-        score = score + F.when((n > 80) & middling, 0.15).otherwise(0.0)
-        score = score + F.when(tx.patterns_present(lowered, formal) >= 2, 0.2).otherwise(0.0)
-        return F.when(n < 20, _double(0)).otherwise(F.least(F.lit(1.0), score))
-
+        middling = let(F.when(n > 80, tx.hapax_ratio(lowered)), lambda h: signal(
+            h.between(0.40, 0.55), 0.15, F.lit("hapax ratio in AI-typical range ("), tx.fixed(h, 2), F.lit(")")))
+        stiff = let(tx.patterns_present(lowered, formal), lambda k: signal(
+            k >= 2, 0.2, k.cast("string"), F.lit(" overly formal patterns")))
+        listed = F.array(
+            signal((n > 50) & (contractions < 0.01), 0.2, F.lit("no contractions")),
+            *[signal(F.contains(lowered, F.lit(p)), 0.15, F.lit(f"AI-typical phrase: '{p}'")) for p in transitions],
+            middling, stiff)
+        return let(F.filter(listed, lambda s: s.isNotNull()), lambda fired: F.struct(
+            F.least(F.lit(1.0), F.aggregate(fired, _double(0), lambda acc, s: acc + s["weight"])).alias("score"),
+            F.when(F.size(fired) > 0, F.concat(F.lit("Vocabulary analysis: "), F.array_join(F.transform(
+                fired, lambda s: s["name"]), ", "))).otherwise(F.lit(lx.NO_VOCABULARY_SIGNALS)).alias("detail")))
+
+    short = F.struct(_double(0).alias("score"), F.lit(lx.SHORT_FOR_VOCABULARY).alias("detail"))
     return let(F.lower(F.coalesce(column, F.lit(""))),
-               lambda t: let(tx.word_count(t), lambda n: graded(t, n)))
+               lambda t: let(tx.word_count(t), lambda n: F.when(n < 20, short).otherwise(graded(t, n))))
+
+
+def vocab_signals(text: Column | str, transitions=lx.AI_TRANSITIONS,
+                  formal=lx.FORMAL_PATTERNS) -> Column:
+    """The score of ``vocab_signal``."""
+    return vocab_signal(text, transitions, formal)["score"]
 
 
 def ai_composite(uniform: Column | str, vocab: Column | str) -> Column:

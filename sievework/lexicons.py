@@ -279,3 +279,15 @@ TECH_TERM_PATTERN = (
 )
 MAX_DELTA = 0.05
 WEIGHT_BOUNDS = (0.05, 0.50)
+
+# Grades of sentence variation (below, score, words before and after it), and
+# the sentences of machine-text signals.
+UNIFORMITY_GRADES = [
+    (0.2, 0.85, "Very uniform sentence lengths (CV=", ") — strong AI signal"),
+    (0.35, 0.5, "Somewhat uniform sentences (CV=", ") — mild AI signal"),
+    (float("inf"), 0.1, "Natural sentence variation (CV=", ") — likely human"),
+]
+SHORT_FOR_UNIFORMITY = "Text too short for uniformity analysis"
+FEW_SENTENCES = "Too few sentences for analysis"
+SHORT_FOR_VOCABULARY = "Text too short for vocabulary analysis"
+NO_VOCABULARY_SIGNALS = "No AI vocabulary signals"

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from sievework import lexicons as lx
 from sievework.functions import rules
 from sievework.functions import text as tx
+from sievework.operators.keyed import computed_once
 
 
 def detect_ai(df: DataFrame, text: str, transitions=lx.AI_TRANSITIONS,
               formal=lx.FORMAL_PATTERNS) -> DataFrame:
-    """Adds ``uniformity``, ``vocab``, ``ai_probability`` and ``verdict`` for a text column."""
-    signals = df.withColumns({
-        "uniformity": rules.uniformity(text),
-        "vocab": rules.vocab_signals(text, transitions, formal),
-    })
+    """Adds ``uniformity``, ``vocab``, their details, ``ai_probability`` and ``verdict`` for a text column."""
+    signals = computed_once(df, {
+        "__u": rules.uniformity_signal(text), "__v": rules.vocab_signal(text, transitions, formal)}).withColumns({
+            "uniformity": F.col("__u.score"), "uniformity_detail": F.col("__u.detail"),
+            "vocab": F.col("__v.score"), "vocab_detail": F.col("__v.detail")}).drop("__u", "__v")
     composite = rules.ai_composite("uniformity", "vocab")
     return signals.withColumns({
         "ai_probability": tx.round_half_even(composite, 3),
@@ -29,7 +30,7 @@ def ai_signals(candidates: DataFrame, **lexicons) -> DataFrame:
     texts = candidates.withColumn(
         "__text", rules.joined_answers("answers", lower=False, keep_empty=False))
     return detect_ai(texts, "__text", **lexicons).select(
-        "candidate_id", "row_id", "name", "uniformity", "vocab", "ai_probability", "verdict")
+        "candidate_id", "row_id", "name", "uniformity", "uniformity_detail", "vocab", "vocab_detail", "ai_probability", "verdict")
 
 
 def timing_flags(candidates: DataFrame) -> DataFrame:
