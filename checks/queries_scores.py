@@ -233,13 +233,14 @@ def apply_weights(spark, d):
   UNION ALL SELECT 'mean', 'all', round_even(avg(total_score), 2) FROM s
   UNION ALL SELECT 'median', 'all', quantile_disc(total_score, 0.5 ORDER BY total_score DESC) FROM s
   UNION ALL SELECT 'words', tier, round_even(avg_words, 4) FROM pr
-  UNION ALL SELECT 'weight', dimension, weight FROM ap"""))
+  UNION ALL SELECT 'weight', dimension, weight FROM ap
+  UNION ALL SELECT 'snapshot 2 batch_analysis_auto_adjustment', dimension, weight FROM ap WHERE (SELECT count(*) FROM adj) > 0"""))
 def learning_report(spark, d):
     rows = stage(scored(spark, d), "scores")
     report = learning.learning_report(rows, default_weights(spark), fx.TECH_TERM_PATTERN)
 
     def part(df, section, key, value):
-        return df.select(F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value"))
+        return df.select((section if not isinstance(section, str) else F.lit(section)).alias("section"), key.alias("key"), value.cast("double").alias("value"))
 
     everyone = F.lit("all")
     return (
@@ -247,7 +248,9 @@ def learning_report(spark, d):
         .unionByName(part(report["stats"], "mean", everyone, F.col("mean")))
         .unionByName(part(report["stats"], "median", everyone, F.col("median")))
         .unionByName(part(report["profile"], "words", F.col("tier"), tx.round_half_even("avg_words", 4)))
-        .unionByName(part(report["new_weights"], "weight", F.col("dimension"), F.col("weight"))))
+        .unionByName(part(report["new_weights"], "weight", F.col("dimension"), F.col("weight")))
+        .unionByName(part(report["snapshot"].withColumn("section", F.concat_ws(
+            " ", F.lit("snapshot"), "version", "reason")), F.col("section"), F.col("dimension"), F.col("weight"))))
 
 
 @query("retier", S.with_(S.SCORES + [S.signals("c", "raw_text"), S.FLAGGED, """x AS (

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.registry import query
+from checks.queries_threads import PROCESSED
+from checks.registry import ORACLES, query
 from sievework import fixtures as fx
 from sievework import lexicons as lx
 from sievework.functions import text as tx
@@ -155,6 +156,38 @@ def ingest_counts(spark, d):
     return ap.ingest_counts(fx.applicants(spark, d))
 
 
+_SECOND = """second AS (SELECT row_id FROM c WHERE coalesce(nullif(email, ''), name) <> ''
+  QUALIFY row_number() OVER (PARTITION BY lower(coalesce(nullif(email, ''), name)) ORDER BY row_id) = 1)"""
+
+
+def _numbered_scan(spark, d):
+    """The mixed files, numbered by the row each line was made from; broken lines by none."""
+    return ap.scan_csv(spark, _mixed_files(spark, d), with_row_id=False).withColumn("row_id", F.col("row_no").cast("bigint"))
+
+
+@query("reject_table", S.with_(S.KEPT + [_SECOND], """SELECT j.row_id, j.reject_reason,
+  CASE WHEN j.reject_reason = 'duplicate' THEN coalesce(f.cid, 'auto_' || f.row_id) END AS duplicate_of, CAST(NULL AS VARCHAR) AS line
+  FROM j LEFT JOIN j f ON f.row_id = j.first_row WHERE j.reject_reason IS NOT NULL
+  UNION ALL SELECT row_id, 'same_identity', NULL, NULL FROM c WHERE row_id NOT IN (SELECT row_id FROM second)
+  UNION ALL SELECT NULL, 'parse_error', NULL, 'b' || doc_id || ',x,too,many' FROM documents"""))
+def reject_table(spark, d):
+    return ap.reject_table(stage(_numbered_scan(spark, d), "scan"))
+
+
+@query("ingest_run", S.with_(S.KEPT + [_SECOND], """SELECT 'documents' AS source, 'partial' AS status,
+  (SELECT 2 * count(*) FROM documents) AS rows_read, (SELECT count(*) FROM second) AS kept,
+  (SELECT count(*) FROM documents) AS parse_errors, count(*) FILTER (WHERE reject_reason = 'no_identity') AS no_identity,
+  count(*) FILTER (WHERE reject_reason = 'duplicate') AS duplicates,
+  (SELECT count(*) FROM c) - (SELECT count(*) FROM second) AS same_identity,
+  (SELECT count(*) FROM second) AS stored, (SELECT count(*) FROM second) AS logged FROM j"""))
+def ingest_run(spark, d):
+    folder, at = new_path(spark, "ingested"), F.lit("2024-01-01").cast("timestamp")
+    run = ap.run_ingestion(_numbered_scan(spark, d), folder, "documents", at)
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return run.withColumns({"stored": count(tb.read_upserted(spark, f"{folder}/candidates")),
+                            "logged": count(tb.read_table(spark, f"{folder}/interactions"))})
+
+
 @query("norm_email", S.with_(S.BASE, "SELECT row_id, email FROM c"))
 def norm_email(spark, d):
     return fx.applicants(spark, d).select("row_id", ap.norm_email("email").alias("email"))
@@ -232,6 +265,15 @@ def upsert_candidates(spark, d):
     return tb.upsert_candidates(old, o.filter("late").drop("late"))
 
 
+@query("upsert_into", ORACLES["upsert_candidates"])
+def upsert_into(spark, d):
+    # The same in a stored table: the first orders are written, the late ones merged in place.
+    path, o = new_path(spark, "upserted"), _orders_as_candidates(spark, d)
+    tb.upsert_into(keyed.first_per_key(o.filter(~F.col("late")).drop("late"), ["email", "role"]), path)
+    tb.upsert_into(o.filter("late").drop("late"), path)
+    return tb.read_upserted(spark, path)
+
+
 @query("append_answers", S.with_(S.BASE, " UNION ALL ".join(
     f"SELECT candidate_id, 'q{i}' AS question_id, 1 AS run, md5(a{i}) AS answer FROM c" for i in (1, 2, 3))))
 def append_answers(spark, d):
@@ -290,23 +332,32 @@ def append_log(spark, d):
     return tb.read_table(spark, path).select("candidate_id", "event_type", "event_data")
 
 
-@query("typed_events", S.with_(S.SCORES + [S.REPLIES, S.classified("rep"), S.FLAGGED],
-  """SELECT 'score_assigned' AS event_type, tier AS detail, count(*) AS n FROM s GROUP BY ALL
-  UNION ALL SELECT 'reply_received', response_type, count(*) FROM cl GROUP BY ALL
-  UNION ALL SELECT 'cheat_flagged', 'timing', count(*) FROM f WHERE severity > 0.5 GROUP BY ALL"""))
+@query("typed_events", S.with_(S.SCORES + PROCESSED + [S.FLAGGED],
+  """SELECT candidate_id, 'score_assigned' AS event_type, tier AS detail, CAST(NULL AS INTEGER) AS round, count(*) AS n FROM s GROUP BY ALL
+  UNION ALL SELECT candidate_id, 'email_sent', template, next_round, count(*) FROM pp WHERE advance_round GROUP BY ALL
+  UNION ALL SELECT candidate_id, 'reply_received', response_type, round, count(*) FROM cl GROUP BY ALL
+  UNION ALL SELECT candidate_id, 'cheat_flagged', 'timing', NULL, count(*) FROM f WHERE severity > 0.5 GROUP BY ALL
+  UNION ALL SELECT 'c' || doc_id, 'outcome', CASE quality WHEN 1 THEN 'hired' ELSE 'rejected' END || CASE toxic WHEN 1 THEN ' toxic' ELSE ' ' END,
+  NULL, count(*) FROM labels GROUP BY ALL"""))
 def typed_events(spark, d):
+    from checks.queries_threads import processed
     from sievework.operators import engagement, forensics, scoring
 
     scores = scoring.score_candidates(fx.candidates(spark, d), explain=False, **fx.SCORE_RULES)
-    replies = engagement.classify_replies(
-        fx.replies(spark, d).withColumnRenamed("thread_id", "candidate_id"), **fx.REPLY_RULES)
+    replies = stage(processed(spark, d), "processed")
     strikes = forensics.timing_strikes(forensics.timing_flags(fx.candidates(spark, d)))
-    log = tb.typed_events(F.lit("2024-01-01").cast("timestamp"), scores=scores, replies=replies,
-                          strikes=strikes)
-    detail = F.coalesce(*[F.get_json_object("event_data", f"$.{k}") for k in
-                          ("tier", "response_type", "flag_type")])
-    return log.select("event_type", detail.alias("detail")).groupBy("event_type", "detail").agg(
-        F.count(F.lit(1)).alias("n"))
+    # Labels as outcomes: good documents are hired, and toxic ones say so in the notes.
+    outcomes = fx.table(spark, d, "labels").select(
+        F.concat(F.lit("c"), "doc_id").alias("candidate_id"),
+        F.when(F.col("quality") == 1, F.lit("hired")).otherwise(F.lit("rejected")).alias("outcome"),
+        F.when(F.col("toxic") == 1, F.lit("toxic")).alias("notes"))
+    log = tb.typed_events(F.lit("2024-01-01").cast("timestamp"), scores=scores, outbox=engagement.follow_ups(replies),
+                          replies=replies, strikes=strikes, outcomes=outcomes)
+    field = lambda name: F.get_json_object("event_data", f"$.{name}")
+    detail = F.coalesce(*map(field, ("tier", "response_type", "flag_type", "template")),
+                        F.concat_ws(" ", field("outcome"), field("notes")))
+    return log.select("candidate_id", "event_type", detail.alias("detail"), field("round").cast("int").alias("round")).groupBy(
+        "candidate_id", "event_type", "detail", "round").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("json_sink", S.with_(S.BASE, "SELECT candidate_id, email, md5(a3) AS answer FROM c"))

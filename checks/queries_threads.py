@@ -79,12 +79,19 @@ def processed(spark, d):
     return en.process_replies(fx.replies(spark, d).drop("round"), fx.reply_threads(spark, d), **fx.REPLY_RULES)
 
 
-@query("render_messages", S.with_(PROCESSED, f"""SELECT thread_id, seq, CASE template WHEN 'technical_followup' THEN {_FOLLOW['technical_followup']}
-  ELSE {_FOLLOW['code_feedback']} END AS body FROM pp WHERE advance_round"""))
+_ANY = " ".join(f"WHEN {S.q(name)} THEN {_filled(name, {'name': f"coalesce({S.words('name')}[1], 'there')", 'role': 'role', 'question': "coalesce(q_text, '{question}')", 'previous_topic': 'response_type'})}"
+                for name in lx.TEMPLATES)
+
+
+@query("render_messages", S.with_(PROCESSED + ["tp AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(n)})" for n in lx.TEMPLATES) + ") AS x(kind))"],
+  f"""SELECT thread_id, seq, kind, CASE kind {_ANY} END AS body FROM (
+  SELECT * REPLACE (CASE WHEN advance_round THEN coalesce(q_text, 'Tell me more.') END AS q_text) FROM pp) CROSS JOIN tp"""))
 def render_messages(spark, d):
-    p = processed(spark, d).filter("advance_round")
-    context = {"name": tx.first_name("name"), "role": F.col("role"), "question": F.col("question")}
-    return p.select("thread_id", "seq", en.render("template", context).alias("body"))
+    # Every reply with every template; what the context lacks stays a placeholder.
+    p = processed(spark, d).withColumn("kind", F.explode(F.array(*map(F.lit, lx.TEMPLATES))))
+    context = {"name": tx.first_name("name"), "role": F.col("role"), "question": F.col("question"),
+               "previous_topic": F.col("response_type")}
+    return p.select("thread_id", "seq", "kind", en.render("kind", context).alias("body"))
 
 
 @query("follow_ups", S.with_(PROCESSED, """SELECT thread_id, email AS "to", 'Re: Your application for ' || role AS subject, template,
@@ -143,18 +150,28 @@ def process_replies(spark, d):
                                       "advance_round", "next_round", "question")
 
 
-@query("reply_events", S.with_(PROCESSED, """SELECT thread_id, received_us, seq * 2 AS seq, 'replied' AS to_state FROM pp
-  UNION ALL SELECT thread_id, received_us, seq * 2 + 1, 'follow_up_sent' FROM pp WHERE advance_round"""))
+_REPLY_EVENTS = """re AS (SELECT thread_id, received_us, seq * 2 AS seq, 'replied' AS to_state,
+  '{"response_type":"' || response_type || '","confidence":' || confidence || '}' AS context FROM pp
+  UNION ALL SELECT thread_id, received_us, seq * 2 + 1, 'follow_up_sent',
+  '{"template":"' || template || '","round":' || next_round || '}' FROM pp WHERE advance_round)"""
+
+
+@query("reply_events", S.with_(PROCESSED + [_REPLY_EVENTS], "SELECT thread_id, received_us, seq, to_state, context FROM re"))
 def reply_events(spark, d):
     return en.reply_events(processed(spark, d)).select(
-        "thread_id", F.unix_micros("at").alias("received_us"), "seq", "to_state")
+        "thread_id", F.unix_micros("at").alias("received_us"), "seq", "to_state", "context")
+
+
+@query("thread_history", S.with_(PROCESSED + [_REPLY_EVENTS], """SELECT thread_id, received_us, seq, coalesce(lag(to_state) OVER (
+  PARTITION BY thread_id ORDER BY received_us, seq), 'initiated') AS from_state, to_state, context FROM re"""))
+def thread_history(spark, d):
+    history = en.thread_history(en.reply_events(processed(spark, d)))
+    return history.select("thread_id", F.unix_micros("at").alias("received_us"), "seq", "from_state", "to_state", "context")
 
 
 @query("classify_batch", S.with_(NEXT + [S.signals("nx", "body")], """SELECT thread_id, seq, response_type, confidence, action, ai_probability, verdict FROM g"""))
 def classify_batch(spark, d):
-    from sievework.operators.forensics import detect_ai
-
-    batch = detect_ai(en.next_action(fx.replies(spark, d), **fx.REPLY_RULES), "body", **fx.AI_RULES)
+    batch = en.classify_batch(fx.replies(spark, d), "body", "round", fx.AI_RULES, **fx.REPLY_RULES)
     return batch.select("thread_id", "seq", "response_type", "confidence", "action", "ai_probability", "verdict")
 
 

@@ -291,3 +291,6 @@ SHORT_FOR_UNIFORMITY = "Text too short for uniformity analysis"
 FEW_SENTENCES = "Too few sentences for analysis"
 SHORT_FOR_VOCABULARY = "Text too short for vocabulary analysis"
 NO_VOCABULARY_SIGNALS = "No AI vocabulary signals"
+
+# Fixed value: why a batch wrote a new version of the weights.
+SNAPSHOT_REASON = "batch_analysis_auto_adjustment"

@@ -152,15 +152,20 @@ def process_replies(replies: DataFrame, threads: DataFrame, max_rounds: int = lx
 
 
 def reply_events(processed: DataFrame) -> DataFrame:
-    """Thread events of processed replies: ``replied``, then ``follow_up_sent`` if advanced."""
+    """Thread events of processed replies: ``replied``, then ``follow_up_sent`` if advanced.
+
+    ``context`` is JSON: class and confidence of the reply, or what the follow-up sends.
+    """
     received = processed.select(
         "thread_id", "candidate_id", F.col("received_at").alias("at"),
         (F.col("seq") * 2).cast("bigint").alias("seq"), F.lit("reply_received").alias("event"),
-        F.lit("replied").alias("to_state"), F.lit(False).alias("advance_round"))
+        F.lit("replied").alias("to_state"), F.lit(False).alias("advance_round"),
+        F.to_json(F.struct("response_type", "confidence")).alias("context"))
     followed = processed.filter("advance_round").select(
         "thread_id", "candidate_id", F.col("received_at").alias("at"),
         (F.col("seq") * 2 + 1).cast("bigint").alias("seq"), F.lit("follow_up").alias("event"),
-        F.lit("follow_up_sent").alias("to_state"), F.lit(True).alias("advance_round"))
+        F.lit("follow_up_sent").alias("to_state"), F.lit(True).alias("advance_round"),
+        F.to_json(F.struct("template", F.col("next_round").alias("round"))).alias("context"))
     return received.unionByName(followed)
 
 
@@ -174,18 +179,23 @@ def follow_ups(processed: DataFrame, context: Mapping[str, Column] | None = None
     return _outbox(moving, subject, render("template", filled, templates))
 
 
-def classify_batch(texts: DataFrame, text: str, round_col: str, **lexicons) -> DataFrame:
-    """Reply class, next action and machine-text verdict of a text column together."""
+def classify_batch(texts: DataFrame, text: str, round_col: str,
+                   ai_rules: Mapping[str, Sequence[str]] | None = None, **lexicons) -> DataFrame:
+    """Reply class, next action and machine-text verdict of a text column together.
+
+    ``ai_rules`` are the phrase and pattern lists of ``detect_ai``, ``lexicons`` those of replies.
+    """
     from sievework.operators.forensics import detect_ai
 
-    return detect_ai(next_action(texts, text, round_col, **lexicons), text)
+    return detect_ai(next_action(texts, text, round_col, **lexicons), text, **dict(ai_rules or {}))
 
 
 # ------------------------------------------------------------ thread state
 
 
 def thread_history(events: DataFrame) -> DataFrame:
-    """Each transition with the state it came from; long threads are split by hour."""
+    """Each transition with the state it came from and its ``context``, if the events have one;
+    long threads are split by hour."""
     lagged = previous_value(events, "thread_id", ["at", "seq"], "to_state", "from_state",
                             F.date_trunc("hour", "at"))
     return lagged.withColumn("from_state", F.coalesce("from_state", F.lit("initiated")))

@@ -96,10 +96,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str = "row_id") ->
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep each key's row with the largest ``order``; ties fall to the largest row."""
+    """Keep each key's row with the largest ``order``; ties fall to the largest hash of the other
+    columns, of which maps may be some but do not count."""
     rest = [c for c in df.columns if c not in keys]
-    ranked = F.struct(*order, *[c for c in rest if c not in order])
-    newest = df.groupBy(*keys).agg(F.max(ranked).alias("__row"))
+    plain = [f.name for f in df.schema if f.name in rest and "map<" not in f.dataType.simpleString()]
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(F.lit(0), *plain))).alias("__row"))
     return newest.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 
 

@@ -10,6 +10,7 @@ from sievework.functions import rules
 from sievework.functions import text as tx
 from sievework.operators import selection
 from sievework.session import stage
+from sievework.sources.tables import current_weights
 
 
 def tier_distribution(scored: DataFrame) -> DataFrame:
@@ -118,11 +119,18 @@ def snapshot_weights(new: DataFrame, stored: DataFrame, reason: str, at: Column)
                       F.lit(reason).alias("reason"), at.alias("created_at"))
 
 
-def learning_report(scored: DataFrame, weights: DataFrame,
-                    regex: str = lx.TECH_TERM_PATTERN) -> dict[str, DataFrame]:
-    """All feedback tables of one batch; ``new_weights`` equal the old without adjustments."""
+def learning_report(scored: DataFrame, weights: DataFrame, regex: str = lx.TECH_TERM_PATTERN,
+                    reason: str = lx.SNAPSHOT_REASON, at: Column | None = None) -> dict[str, DataFrame]:
+    """All feedback tables of one batch; ``new_weights`` equal the old without adjustments.
+
+    ``snapshot`` has the rows to append to the ``weights`` table: the new weights under the
+    next version, or none without adjustments.
+    """
     adjustments = recommend_weights(scored)
     profile = tier_text_profile(scored, regex)
+    current = current_weights(weights)
+    moved = apply_weights(current, adjustments)
+    some = adjustments.agg((F.count(F.lit(1)) > 0).alias("some")).scalar()
     return {
         "distribution": tier_distribution(scored),
         "stats": score_stats(scored),
@@ -130,7 +138,8 @@ def learning_report(scored: DataFrame, weights: DataFrame,
         "profile": profile,
         "insights": tier_insights(profile),
         "adjustments": adjustments,
-        "new_weights": apply_weights(weights, adjustments),
+        "new_weights": moved,
+        "snapshot": snapshot_weights(moved, weights, reason, at if at is not None else F.current_timestamp()).filter(some),
     }
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from sievework import lexicons as lx
 from sievework.functions import text as tx
 from sievework.operators.keyed import computed_once, first_per_key, lookup
+from sievework.session import stage
 from sievework.sources.csv_records import read_records
 
 FIELDS = list(lx.COLUMN_ALIASES)
@@ -292,6 +293,56 @@ def ingest(spark: SparkSession, path: str, **options) -> DataFrame:
     return dedup_identity(read_applicants(spark, path, **options))
 
 
+def reject_table(raw: DataFrame, missing_email_matches: bool = True) -> DataFrame:
+    """Every row of a scan that ingestion leaves out, with its reason: ``row_id``,
+    ``reject_reason``, ``duplicate_of``, ``line``.
+
+    ``parse_error`` lines keep their text; ``no_identity`` and ``duplicate`` are those of the
+    first pass, ``same_identity`` the rows that repeat a person in the second.
+    """
+    broken, resolved = raw.limit(0), raw
+    if CORRUPT in raw.columns:
+        broken, resolved = raw.filter(F.col(CORRUPT).isNotNull()), raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    resolved = resolve_columns(resolved)
+    nothing = F.lit(None).cast("string")
+    lines = broken.select(F.col("row_id"), F.lit("parse_error").alias("reject_reason"), nothing.alias("duplicate_of"),
+                          (F.col(CORRUPT) if CORRUPT in raw.columns else nothing).alias("line"))
+    first = rejected_rows(resolved, missing_email_matches).select(
+        "row_id", "reject_reason", "duplicate_of", nothing.alias("line"))
+    kept = normalise(dedup_first(valid_rows(resolved), missing_email_matches))
+    second = kept.join(dedup_identity(kept).select("row_id"), "row_id", "left_anti").select(
+        "row_id", F.lit("same_identity").alias("reject_reason"), nothing.alias("duplicate_of"), nothing.alias("line"))
+    return lines.unionByName(first).unionByName(second)
+
+
+def run_ingestion(raw: DataFrame, folder: str, source: str, at: Column, buckets: int = 64,
+                  missing_email_matches: bool = True) -> DataFrame:
+    """Ingest a scan into the tables under ``folder`` and return the run in one row.
+
+    Candidates of both passes are upserted into ``candidates`` by email and role, each is
+    logged in ``interactions``, what was left out is appended to ``rejects``.  ``status`` is
+    ``error`` without a candidate, ``partial`` if lines could not be parsed, else ``success``;
+    the counts are rows read, kept, and left out by reason.
+    """
+    from sievework.sources import tables
+
+    raw = stage(raw, "scan")
+    rejects = stage(reject_table(raw, missing_email_matches), "rejects")
+    people = stage(dedup_identity(clean_applicants(raw, missing_email_matches=missing_email_matches)), "people")
+    tables.upsert_into(people, f"{folder}/candidates", buckets=buckets)
+    tables.append(tables.ingested_log(people, source, at), f"{folder}/interactions")
+    tables.append(rejects.withColumns({"source": F.lit(source), "rejected_at": at}), f"{folder}/rejects")
+    reasons = {"parse_errors": "parse_error", "no_identity": "no_identity", "duplicates": "duplicate",
+               "same_identity": "same_identity"}
+    counts = rejects.agg(*[F.count_if(F.col("reject_reason") == r).alias(n) for n, r in reasons.items()])
+    kept = people.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counts.select(
+        F.lit(source).alias("source"), kept.alias("kept"), *reasons).select(
+        "source", F.when(F.col("kept") == 0, F.lit("error")).when(F.col("parse_errors") > 0, F.lit("partial"))
+        .otherwise(F.lit("success")).alias("status"),
+        (F.col("kept") + sum((F.col(n) for n in reasons), F.lit(0))).alias("rows_read"), "kept", *reasons)
+
+
 # ----------------------------------------------------------------- reshaping
 
 

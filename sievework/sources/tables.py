@@ -1,20 +1,25 @@
 """Stored tables: appends, upserts, last-write-wins reads and JSON output.
 
-Plain Parquet has no in-place merge, so an upsert returns the merged table for the
-caller to write to a new location; logs are only ever appended to.
+Plain Parquet has no in-place merge: ``upsert_candidates`` returns the merged table, and
+``upsert_into`` keeps a stored table in buckets of its key and rewrites only the buckets that
+new rows fall into.  Logs are only ever appended to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework import lexicons as lx
 from sievework.operators.keyed import latest_per_key
+from sievework.session import stage
 
 UPSERT_KEY = ("email", "role")
+#: The partition column of a table that is upserted in place.
+BUCKET = "upsert_bucket"
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -53,6 +58,34 @@ def upsert_candidates(old: DataFrame, new: DataFrame, key: Sequence[str] = UPSER
     ).select(*old.columns)
 
 
+def upsert_into(new: DataFrame, path: str, key: Sequence[str] = UPSERT_KEY, keep: Sequence[str] = ("candidate_id",),
+                order: str = "row_id", buckets: int = 64) -> None:
+    """``upsert_candidates`` into the table at ``path``, which is made if it is not there.
+
+    Rows lie in folders by a hash of the key (``upsert_bucket``).  The buckets of the new rows,
+    at most ``buckets`` numbers, prune the read of the old table; only these are merged,
+    written aside and then put in place by a dynamic partition overwrite, so a small update
+    neither reads nor rewrites the rest.  One writer at a time; ``buckets`` is that of the
+    first write.
+    """
+    spark = new.sparkSession
+    bucketed = new.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:
+        old = bucketed.limit(0)
+    touched = [r[0] for r in bucketed.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    merged = upsert_candidates(old.filter(F.col(BUCKET).isin(touched)).select(*new.columns), new, key, keep, order)
+    fresh = stage(merged.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), "upserted")
+    fresh.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        BUCKET).parquet(path)
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that ``upsert_into`` keeps."""
+    return spark.read.parquet(path).drop(BUCKET)
+
+
 def latest_answers(answers: DataFrame, order: Sequence[str]) -> DataFrame:
     """Answers are only appended; reruns are resolved here, last write first."""
     return latest_per_key(answers, ["candidate_id", "question_id"], order)
