@@ -1,9 +1,9 @@
 """Exact duplicates by progressive refinement: length, prefix hash, full digest.
 
-The first pass reads each text's length and a short prefix.  Keys that several rows share
-survive; a bitmap of bounded size holds them, so the second pass decides from a broadcast
-which rows to digest whole, and no text is exchanged.  A false hit of the bitmap costs one
-digest; the groups themselves are made on length and full digest.
+The first pass reads lengths alone.  The second hashes a short prefix of the texts whose length
+several rows share, the third digests the texts whose length and prefix hash several rows
+share.  Bitmaps of bounded size carry what is shared from pass to pass, so no text is exchanged;
+a false hit costs one hash, and the groups themselves are made on length and full digest.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from sievework.llm.bitmap import Bitmap, bitmap_of
 from sievework.llm.common import ascii_lower, free_name
+from sievework.operators.keyed import SKETCH_KEYS, lookup
 from sievework.session import stage
 
 #: Characters of the prefix that the second refinement hashes.
 PREFIX = 64
-#: Distinct lengths up to which the table of shared lengths is broadcast (8 bytes a row).
-LENGTHS = 200_000
+#: Rows of one group of copies that stay together in a join: less where they carry their texts.
+PART_ROWS, PART_TEXTS = 250_000, 2_000
 
 
 def _key(text: Column) -> tuple[Column, Column]:
@@ -26,15 +27,15 @@ def _key(text: Column) -> tuple[Column, Column]:
 
 
 def survivors(docs: DataFrame, text: Column) -> Bitmap:
-    """The (length, prefix hash) keys that several rows share."""
-    length, prefix = _key(text)
-    keys = stage(docs.select(length.alias("length"), prefix.alias("prefix"))
-                 .groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")), "prefix-keys")
-    lengths = stage(keys.groupBy("length").agg(F.sum("n").alias("rows")).filter("rows > 1")
-                    .select("length"), "shared-lengths")
-    shared = keys.filter("n > 1")
-    if lengths.count() <= LENGTHS:  # beyond that the second refinement alone gives the same keys
-        shared = shared.join(F.broadcast(lengths), "length", "left_semi")
+    """The (length, prefix hash) keys that several rows share, of lengths that several share."""
+    length, _ = _key(text)
+    lengths = stage(docs.select(length.alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+                    .filter("n > 1").select("length"), "shared-lengths")
+    known = bitmap_of(lengths, F.xxhash64("length"), lengths.count())
+    met = known.marked(docs.select(text.alias("text"), length.alias("length")), F.xxhash64("length"), "hit").filter("hit")
+    _, prefix = _key(F.col("text"))
+    shared = stage(met.select("length", prefix.alias("prefix")).groupBy("length", "prefix").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1").select("length", "prefix"), "shared-prefixes")
     return bitmap_of(shared, F.xxhash64("length", "prefix"), shared.count())
 
 
@@ -64,6 +65,13 @@ def groups(hashed: DataFrame) -> DataFrame:
         .filter("group_size > 1").drop("length"), "copy-groups")
 
 
+def hot_groups(found: DataFrame, part_rows: int) -> DataFrame:
+    """The largest groups of more than ``part_rows`` rows and their parts, for ``lookup``."""
+    large = found.filter(F.col("group_size") > part_rows).orderBy(F.desc("group_size")).limit(SKETCH_KEYS)
+    return stage(large.select(F.xxhash64("digest").alias("__h"), F.ceil(
+        F.col("group_size") / F.lit(float(part_rows))).cast("int").alias("__parts")), "hot-groups")
+
+
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                  all_digests: bool = False) -> DataFrame:
     """Per row: the id, ``keep_id``, ``group_size``, ``kept`` and ``digest``.
@@ -74,7 +82,10 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     no rows.
     """
     hashed = digests(docs, id_column, text_column, all_digests)
-    met = hashed.join(groups(hashed), "digest", "left")
+    found = groups(hashed)
+    # Rows that share nothing have no group, and without all digests no key either.
+    met = lookup(hashed.filter("shared"), found, ["digest"], "left", hot=hot_groups(found, PART_ROWS)).select(
+        *hashed.columns, "keep", "group_size").unionByName(hashed.filter("not shared"), allowMissingColumns=True)
     alone = F.col("group_size").isNull()
     return met.select(
         F.col("id").alias(id_column),
@@ -91,14 +102,14 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     hashed = digests(docs, id_column, text_column)
     found = groups(hashed)
-    lost = stage(hashed.filter("shared").join(found, "digest").filter("keep.row <> row")
-                 .select(F.xxhash64("id").alias("hash")), "lost-ids")
+    lost = stage(lookup(hashed.filter("shared"), found, ["digest"], hot=hot_groups(found, PART_ROWS))
+                 .filter("keep.row <> row").select(F.xxhash64("id").alias("hash")), "lost-ids")
     hit, digest, kept, known = (free_name(docs, n) for n in ("id_hit", "text_digest", "kept_id", "kept_digest"))
     marked = bitmap_of(lost, F.col("hash"), lost.count()).marked(docs, F.xxhash64(id_column), hit)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     again = marked.filter(hit).withColumn(digest, F.sha2(ascii_lower(text), 256))
-    keep = found.select(F.col("digest").alias(known), F.col("keep.id").alias(kept))
-    again = again.join(keep, F.col(digest) == F.col(known), "left").filter(
+    keep = found.select(F.col("digest").alias(digest), F.col("digest").alias(known), F.col("keep.id").alias(kept))
+    again = lookup(again, keep, [digest], "left", hot=hot_groups(found, PART_TEXTS)).filter(
         F.col(known).isNull() | F.col(id_column).eqNullSafe(F.col(kept)))
     return marked.filter(~F.col(hit)).select(*docs.columns).unionByName(
         again.dropDuplicates([id_column, digest]).select(*docs.columns))

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import exact_dedup
 from sievework.llm.common import LOWER, UPPER
@@ -45,9 +46,11 @@ def test_same_prefix_and_length_are_told_apart(documents):
     check(rows, exact_dedup.exact_groups(documents(*rows), all_digests=True).collect())
 
 
-@pytest.mark.parametrize("lengths", [exact_dedup.LENGTHS, 0])
-def test_drop_copies(documents, monkeypatch, lengths):
-    monkeypatch.setattr(exact_dedup, "LENGTHS", lengths)
+@pytest.mark.parametrize("together", [exact_dedup.PART_TEXTS, 1])
+def test_drop_copies(documents, monkeypatch, together):
+    """Groups of copies whole, and cut into parts of single rows."""
+    monkeypatch.setattr(exact_dedup, "PART_TEXTS", together)
+    monkeypatch.setattr(exact_dedup, "PART_ROWS", together)
     docs = documents(*ROWS)
     got = exact_dedup.drop_copies(docs)
     assert got.columns == docs.columns
@@ -62,6 +65,14 @@ def test_one_group_holds_most_rows(documents):
     assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == list(range(2999, 3100))
 
 
+def test_prefixes_are_hashed_only_where_the_length_is_shared(spark, documents):
+    """Every length occurs once, so the second refinement has nothing left to hash."""
+    docs = documents(*[(k, "x" * k) for k in range(200)])
+    assert exact_dedup.survivors(docs, F.coalesce("text", F.lit(""))).table.count() == 0
+    twice = documents(*[(k, "x" * (k // 2)) for k in range(200)])
+    assert exact_dedup.survivors(twice, F.coalesce("text", F.lit(""))).table.count() > 0
+
+
 def test_empty_table(documents):
     docs = documents((1, "a")).limit(0)
     assert exact_dedup.exact_groups(docs).collect() == [] and exact_dedup.drop_copies(docs).collect() == []
