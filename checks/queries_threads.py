@@ -11,6 +11,7 @@ from sievework import fixtures as fx
 from sievework import lexicons as lx
 from sievework.functions import text as tx
 from sievework.operators import engagement as en
+from sievework.session import new_path
 from sievework.streaming import jobs
 
 NOW = "2024-02-15 00:00:00"
@@ -242,6 +243,29 @@ def stream_threads(spark, d):
     return stalls.select("thread_id", F.unix_micros("last_activity").alias("last_us"), "state")
 
 
+_PARTS, _LATENESS = 6, 2000
+
+
+@query("stream_fates", f"""WITH o AS (SELECT o_orderkey, 'u' || o_custkey AS email, o_orderpriority AS role, o_orderdate AS moment,
+  o_orderkey % {_PARTS} AS part FROM orders),
+  tops AS (SELECT part, max(moment) AS top FROM o GROUP BY part),
+  marks AS (SELECT part, max(top) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {_LATENESS} DAY AS mark FROM tops),
+  judged AS (SELECT o.*, coalesce(moment < mark, false) AS late FROM o JOIN marks USING (part))
+  SELECT o_orderkey, email, role, CASE WHEN late THEN 'late' WHEN row_number() OVER (
+    PARTITION BY email, role, late ORDER BY part, moment, o_orderkey) = 1 THEN 'kept' ELSE 'duplicate' END AS fate FROM judged""")
+def stream_fates(spark, d):
+    # Orders in several files, one after the other: each is a batch that moves the watermark.
+    folder = new_path(spark, "order-files")
+    orders = fx.table(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("u"), "o_custkey").alias("email"), F.col("o_orderpriority").alias("role"),
+        F.col("o_orderdate").cast("timestamp").alias("at"))
+    for part in range(_PARTS):
+        orders.filter(F.col("o_orderkey") % _PARTS == part).coalesce(1).write.mode("append").parquet(folder)
+    source = jobs.stream_parquet(spark, folder, "*.parquet")
+    fates = jobs.stream_fates(source, order=("o_orderkey",), horizon="4000 days", lateness=f"{_LATENESS} days")
+    return jobs.run_available(fates, "fates", "fate").select("o_orderkey", "email", "role", "fate")
+
+
 @query("stream_dedup", "SELECT DISTINCT 'u' || o_custkey AS email, o_orderpriority AS role FROM orders")
 def stream_dedup(spark, d):
     source = jobs.stream_parquet(spark, d, "orders.parquet").select(

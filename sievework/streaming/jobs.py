@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,15 +26,14 @@ def stream_parquet(spark: SparkSession, folder: str, glob: str, files_per_batch:
     )
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
+def run_available(stream: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Append what is available to a new Parquet table and return that table."""
     spark = stream.sparkSession
     path, state = new_path(spark, label), new_path(spark, label + "-state")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", state).trigger(availableNow=True).start(path)
-    )
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -79,6 +79,59 @@ def stream_dedup(applications: DataFrame, at: str = "at", keys: tuple[str, ...]
     return applications.withWatermark(at, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
+#: What becomes of a row of ``stream_fates``, and its number in the state function.
+FATES = ("kept", "duplicate", "late")
+KEPT, DUPLICATE, LATE = range(3)
+
+
+def stream_fates(applications: DataFrame, at: str = "at", keys: tuple[str, ...] = ("email", "role"),
+                 order: tuple[str, ...] = (), horizon: str = "1 hour", lateness: str = "1 hour",
+                 buckets: int | None = None) -> DataFrame:
+    """Every row of the stream with its ``fate``: ``kept``, ``duplicate`` or ``late``.
+
+    A row is late if it lies before the watermark (``lateness`` behind the latest time of
+    earlier batches) as its batch starts.  Of the others, the first of a key is kept, in order
+    of arrival and within a batch of time and the ``order`` columns; rows of the key up to
+    ``horizon`` behind the kept one are duplicates, the next one beyond is kept again.  Rows
+    with a null time are late.  No row is lost: written partitioned by fate, late rows are a
+    table of their own, and the three tables add up to what was read.
+
+    Keys are dealt to ``buckets`` by a hash (by default four times the shuffle partitions; a
+    stream that is restarted needs the number it began with); a bucket's state has the time of each key kept, and
+    forgets those that the watermark has passed by ``horizon`` whenever it gets rows.
+    """
+    ship_package(applications.sparkSession)
+    span_us = int(pd.Timedelta(horizon).total_seconds() * 1e6)
+    columns = applications.columns
+    moment, bucket = "__us", "__bucket"
+    buckets = buckets or 4 * int(applications.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = applications.select("*", F.lit(0).alias("fate")).schema
+    sort = [moment, *order]
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now_us = state.getCurrentWatermarkMs() * 1000
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(sort, kind="stable")
+        known = json.loads(state.get[0]) if state.exists else {}
+        kept = {k: us for k, us in known.items() if us + span_us >= now_us}
+        fates = []
+        for us, *names in zip(rows[moment], *(rows[k] for k in keys)):
+            name = json.dumps(names, default=str)
+            if pd.isna(us) or us < now_us:
+                fates.append(LATE)
+            elif name not in kept or us > kept[name] + span_us:
+                kept[name] = int(us)
+                fates.append(KEPT)
+            else:
+                fates.append(DUPLICATE)
+        state.update((json.dumps(kept),))
+        yield rows[columns].assign(fate=fates)
+
+    timed = applications.withWatermark(at, lateness).withColumn(moment, F.unix_micros(F.col(at).cast("timestamp")))
+    told = timed.withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy(bucket).applyInPandasWithState(
+        follow, schema, "kept STRING", "append", GroupStateTimeout.NoTimeout)
+    return told.withColumn("fate", F.get(F.array(*map(F.lit, FATES)), F.col("fate")))
+
+
 STALL_SCHEMA = "thread_id STRING, last_activity TIMESTAMP, state STRING"
 _STATE_SCHEMA = "last_us BIGINT, last_seq BIGINT, last_state STRING"
 _SPAN_SCHEMA = ("thread_id STRING, at TIMESTAMP, first_us BIGINT, last_us BIGINT, "

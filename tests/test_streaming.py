@@ -97,3 +97,29 @@ def test_stalls_below_one_hour(spark, tmp_path, timeout, parts):
     got = jobs.run_available(jobs.stream_threads(stream, timeout_hours=timeout), "stalls")
     found = sorted((r.last_activity - START).total_seconds() / 60 for r in got.collect())
     assert found == [a for a, b in zip(minutes, minutes[1:]) if b - a > 60 * timeout] + [minutes[-1]]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_every_row_has_a_fate(spark, tmp_path, parts):
+    """On time, late and duplicate rows add up, and the surviving rows are the right ones."""
+    import random
+    rng = random.Random(parts)
+    schema = "email STRING, role STRING, at TIMESTAMP, mark INT"
+    rows = [("hot" if k % 3 == 0 else f"u{rng.randrange(12)}", "dev", START + timedelta(minutes=10 * k - rng.choice([0, 0, 30, 400])), k)
+            for k in range(200)]
+    stream = files(spark, tmp_path / "in", rows, schema, parts)
+    got = jobs.run_available(jobs.stream_fates(stream, order=("mark",), horizon="3 hours", lateness="2 hours"), "fates", "fate")
+    want, kept, top, size = {}, {}, None, -(-len(rows) // parts)
+    for a in range(0, len(rows), size):
+        batch = rows[a:a + size]
+        mark = top - timedelta(hours=2) if top else None
+        for email, _, at, k in sorted(batch, key=lambda r: (r[2], r[3])):
+            if mark and at < mark:
+                want[k] = "late"
+            elif email not in kept or at > kept[email] + timedelta(hours=3):
+                kept[email], want[k] = at, "kept"
+            else:
+                want[k] = "duplicate"
+        top = max([*([top] if top else []), *(r[2] for r in batch)])
+    assert {r.mark: r.fate for r in got.collect()} == want and got.count() == len(rows)
+    assert (parts == 1) == ("late" not in want.values())
