@@ -52,6 +52,11 @@ def kept(operator: str) -> dict:
     return KEPT.setdefault(operator, {})
 
 
+def drop(operator: str) -> None:
+    """Give up this worker's store for one operator."""
+    KEPT.pop(operator, None)
+
+
 def give_back() -> None:
     """Give freed memory back to the machine, not only to this process."""
     gc.collect()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import batches, crc32, give_back, rows_of
+from sievework.llm.common import batches, crc32, drop, give_back, rows_of
 from sievework.llm.tokens import MEMO_PIECES, ids_of
 
 #: Tokens of rests that a task holds before it packs them (8 MB of ids), and pieces of one
@@ -76,7 +76,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[tuple[int
 
 def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text",
          window: int = 1024, end_id: int = 0, held_tokens: int = HELD_TOKENS,
-         memo_pieces: int = MEMO_PIECES, special_as_text: bool = False) -> DataFrame:
+         memo_pieces: int = MEMO_PIECES, special_as_text: bool = False, keep_memo: bool = True) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most ``window`` tokens.
 
     Returns the id column, ``start`` and ``length`` in the document, ``ids`` (little-endian
@@ -84,7 +84,8 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     ``offset``.  A null or empty text is one piece, the end id.  Repeated rows are packed
     once each, rows with equal ids keep them, other columns are ignored, and an empty table
     gives no rows.  ``sequences`` puts the pieces together.  ``memo_pieces`` bounds the memory
-    a worker spends on words it has encoded; it does not change the result.  The string of
+    a worker spends on words it has encoded; with ``keep_memo=False`` it is given up at the end
+    of a task, for plans whose other stages need it.  Neither changes the result.  The string of
     a special token in a text is that token's id unless ``special_as_text`` is set.
     """
     id_type = docs.schema[id_column].dataType
@@ -119,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
         held = 0
         for part in parts:
             types[:] = [part.schema.field(0).type]
-            for batch in batches(rows_of(part, 0, 1), 1):
+            for batch in batches(rows_of(part, 0, 1), 1, 400_000):
                 out = []
                 for (key, _), data in zip(batch, encoder.encode([t for _, t in batch])):
                     data += end
@@ -142,6 +143,9 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
         if rests:
             yield from placed(rests)
         rests.clear()
+        if not keep_memo:
+            del encoder
+            drop("tokens")
         give_back()
 
     return rows.mapInArrow(task, schema)
