@@ -44,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, with their ids, in sequences of at most 1024 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0, memo_pieces=40_000, keep_memo=False)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("simhash_near_dedup", simhash_near_dedup),
