@@ -33,8 +33,9 @@ from sievework.session import new_path
 MAGIC = b"TOKMIX1\n"
 #: Tokens of a block; tokens after which the model's frequencies and weights are renewed.
 BLOCK, EPOCH = 4096, 512
-#: The id line has 2**LINE places for order 0; shares of the mixture are in 1/SHARES.
-LINE, SHARES = 16, 32
+#: The id line of a file has 2**LINE places for order 0, or more for more ids, up to MOST_IDS;
+#: shares of the mixture are in 1/SHARES.
+LINE, SHARES, MOST_IDS = 16, 32, 1 << 22
 #: Tokens of a file; a task that has more starts another.
 FILE_TOKENS = 8_000_000
 #: Bytes of the models that are coded side by side.
@@ -49,8 +50,13 @@ _U = np.uint64
 
 #: Next confidence (1 to 3) by 2 * confidence + hit: it rises while a prediction holds.
 _NEXT = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int32)
-#: Stride of lanes in the sorted order-0 starts that the decoder searches.
-_STRIDE = (1 << LINE) + 1
+
+
+def line_of(ids: int) -> int:
+    """Bits of the id line for so many distinct ids: every id needs a place of its own."""
+    if ids > MOST_IDS:
+        raise ValueError(f"{ids} distinct ids in one file, more than {MOST_IDS}")
+    return LINE if ids <= 1 << LINE else (ids - 1).bit_length() + 1
 
 
 class Mixer:
@@ -58,11 +64,11 @@ class Mixer:
     its own stretch of them."""
 
     def __init__(self, lanes: int, prior: np.ndarray):
-        self.lanes, self.size = lanes, len(prior)
+        self.lanes, self.size, self.line = lanes, len(prior), line_of(len(prior))
         self.prior = prior.astype(np.int64)
         lane = np.arange(lanes)
         self.base, self.base_cum, self.base2, self.base16 = (lane * n for n in (self.size, self.size + 1, SLOTS, 16))
-        self.row_start = lane * _STRIDE
+        self.row_start = lane * ((1 << self.line) + 1)  # lanes apart in the starts that the decoder searches
         self.seen = np.zeros(lanes * self.size, np.int32)
         self.starts = np.zeros(lanes * (self.size + 1), np.int64)  # order-0 starts, one stride per lane apart
         # Contexts hold 4 * (id + 1) + confidence; 0 means not seen yet.
@@ -78,7 +84,7 @@ class Mixer:
     def renew(self) -> None:
         """Order-0 intervals from the counts so far, and the shares of orders 2 and 1."""
         seen, starts = self.seen.reshape(self.lanes, -1), self.starts.reshape(self.lanes, -1)
-        free = (1 << LINE) - self.size
+        free = (1 << self.line) - self.size
         cut = max(1, (4 << 20) // max(1, self.size))
         for at in range(0, self.lanes, cut):
             weight = np.cumsum(self.prior[None, :] + COUNT * seen[at:at + cut], axis=1)
@@ -105,11 +111,11 @@ class Mixer:
         self.k0 = SHARES - self.k2 - self.k1
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of ids on a line of SHARES << LINE places."""
+        """Start and width of ids on a line of SHARES << line places."""
         at, y = self.base_cum + x, x + 1
         low = self.starts[at]
-        width = self.k0 * (self.starts[at + 1] - low) + (self.k2 * (self.id2 == y) + self.k1 * (self.id1 == y) << LINE)
-        start = self.k0 * (low - self.row_start) + (self.k2 * (self.id2 < y) + self.k1 * (self.id1 < y) << LINE)
+        width = self.k0 * (self.starts[at + 1] - low) + (self.k2 * (self.id2 == y) + self.k1 * (self.id1 == y) << self.line)
+        start = self.k0 * (low - self.row_start) + (self.k2 * (self.id2 < y) + self.k1 * (self.id1 < y) << self.line)
         return start, width
 
     def find(self, place: np.ndarray) -> np.ndarray:
@@ -119,8 +125,8 @@ class Mixer:
         start2, width2 = self.interval(guess2)
         start1, width1 = self.interval(guess1)
         past2, past1 = place >= start2 + width2, place >= start1 + width1
-        plain = (place - (self.k2 * past2 + self.k1 * past1 << LINE)) // self.k0
-        x = np.searchsorted(self.starts, self.row_start + np.clip(plain, 0, (1 << LINE) - 1), "right") - 1 - self.base_cum
+        plain = (place - (self.k2 * past2 + self.k1 * past1 << self.line)) // self.k0
+        x = np.searchsorted(self.starts, self.row_start + np.clip(plain, 0, (1 << self.line) - 1), "right") - 1 - self.base_cum
         x = np.where((place >= start1) & ~past1, guess1, x)
         return np.where((place >= start2) & ~past2, guess2, x)
 
@@ -138,15 +144,18 @@ class Mixer:
 
 #: The coder's range stays above 2**28; 32-bit words leave it from bit 28 upward.
 _TOP, _WORD = 28, 32
-_BITS = LINE + SHARES.bit_length() - 1
+_SHARE_BITS = SHARES.bit_length() - 1
+#: Bits of the whole line where LINE is enough.
+_BITS = LINE + _SHARE_BITS
 
 
 def encode_blocks(ids: np.ndarray, prior: np.ndarray) -> list[bytes]:
     """Code the rows of ``ids`` (blocks side by side, of equal length)."""
     lanes, length = ids.shape
     mixer = Mixer(lanes, prior)
+    bits = mixer.line + _SHARE_BITS
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 60, _U)
-    words = np.zeros((lanes, length * (_BITS + 4) // _WORD + 4), _U)
+    words = np.zeros((lanes, length * (bits + 4) // _WORD + 4), _U)
     count = np.zeros(lanes, np.int64)
 
     def emit(which: np.ndarray) -> None:
@@ -157,7 +166,7 @@ def encode_blocks(ids: np.ndarray, prior: np.ndarray) -> list[bytes]:
     for x in np.ascontiguousarray(ids.T).astype(np.int64):
         mixer.predict()
         start, width = mixer.interval(x)
-        step = span >> _U(_BITS)
+        step = span >> _U(bits)
         low += step * start.astype(_U)
         span = step * width.astype(_U)
         small = np.flatnonzero(span < (1 << _TOP))
@@ -177,6 +186,7 @@ def decode_blocks(data: list[bytes], length: int, prior: np.ndarray) -> np.ndarr
     """The inverse of ``encode_blocks``."""
     lanes = len(data)
     mixer = Mixer(lanes, prior)
+    bits = mixer.line + _SHARE_BITS
     words = np.zeros((lanes, max(map(len, data)) // 4 + 2), _U)
     for k, d in enumerate(data):
         words[k, :len(d) // 4] = np.frombuffer(d, "<u4")
@@ -188,8 +198,8 @@ def decode_blocks(data: list[bytes], length: int, prior: np.ndarray) -> np.ndarr
     out = np.zeros((length, lanes), np.int64)
     for step_at in range(length):
         mixer.predict()
-        step = span >> _U(_BITS)
-        place = np.minimum(value // step, _U((1 << _BITS) - 1)).astype(np.int64)
+        step = span >> _U(bits)
+        place = np.minimum(value // step, _U((1 << bits) - 1)).astype(np.int64)
         x = mixer.find(place)
         start, width = mixer.interval(x)
         value -= step * start.astype(_U)
@@ -239,7 +249,7 @@ def pack_file(keys: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     model = zlib.compress(np.diff(used, prepend=0).astype("<u4").tobytes() + prior.astype("<u4").tobytes())
     index = b"".join(struct.pack("<III", len(c), zlib.crc32(c), zlib.crc32(ids[k * BLOCK:(k + 1) * BLOCK].astype("<u4").tobytes()))
                      for k, c in enumerate(coded))
-    head = json.dumps({"docs": len(lengths), "tokens": len(ids), "block": BLOCK, "table": len(table), "model": len(model),
+    head = json.dumps({"docs": len(lengths), "tokens": len(ids), "block": BLOCK, "line": line_of(len(used)), "table": len(table), "model": len(model),
                        "crc": zlib.crc32(table + model + index)}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, table, model, index, *coded])
 

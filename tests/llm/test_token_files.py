@@ -106,3 +106,15 @@ def test_files_of_lost_attempts_are_not_read(spark, documents):
 
 def test_empty_table(spark, documents):
     assert token_files.read_tokens(spark, token_files.write_tokens(documents((1, "a")).limit(0), PATH)).collect() == []
+
+
+def test_more_ids_than_the_line_has_places():
+    """70,000 distinct ids: the line of the file is widened, up to a stated bound."""
+    rng = np.random.default_rng(8)
+    ids = np.concatenate([rng.permutation(70_000), rng.integers(0, 70_000, 1500)]).astype("<u4")
+    lengths = np.array([40_000, 31_500])
+    keys, counts, back = token_files.unpack_file(token_files.pack_file(pa.array([1, 2]), lengths, ids))
+    assert (back == ids).all() and counts.tolist() == lengths.tolist()
+    assert token_files.line_of(1 << 16) == 16 and token_files.line_of((1 << 16) + 1) == 18
+    with pytest.raises(ValueError):
+        token_files.line_of((1 << 22) + 1)
