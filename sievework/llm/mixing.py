@@ -146,6 +146,12 @@ def mix(docs: DataFrame, sources: Column, size: Column, quotas_of: Callable[[dic
     decides who is taken first, so that reruns agree.  Documents without words or sources
     are not taken.  Rows stay where they are, but for those of the few buckets of the seeded
     order in which a quota ends.
+
+    A null size counts as 0.  Rows with equal ``order`` are taken by size, then by their string
+    and number columns; rows that repeat whole are rows each, of which a quota that ends among
+    them takes some.  Texts of any length are whole; a row larger than what is left of a quota
+    is passed over.  Columns with the names of the results keep them, and the results get
+    underscores in front.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     copies, routed, pattern, words, key, bucket = (free_name(docs, n) for n in (
@@ -246,7 +252,11 @@ def weighted_quotas(weights: Sequence[float] = WEIGHTS, most: int = len(COPY_COS
 
 def mix_by_weight(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                   source_column: str = "source", seed: int = 42) -> DataFrame:
-    """``docs`` with each row as often as the mix of its source takes it, up to three times."""
+    """``docs`` with each row as often as the mix of its source takes it, up to three times.
+
+    A null text has no words and is not taken; a null source is a source of its own.  Ties,
+    repeated rows, very long texts, clashing names and empty tables as in ``mix``.
+    """
     mixed = mix(docs, F.array(F.col(source_column).cast("string")), words_in(F.col(text_column)), weighted_quotas(),
                 F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)))
     copies = mixed.columns[-1]

@@ -304,6 +304,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | N
     Returns the folder, with a list of the files in order.  A task names its files after its
     range; an attempt writes to names of its own, and only the files that a task reports are
     listed, so lost or repeated attempts do no harm.
+
+    A null or empty text is its end id alone; null ids come first.  Rows with equal ids follow
+    each other by text, repeated rows are written each, texts of any length are whole, other
+    columns are ignored whatever their names, and an empty table gives a list of no files.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")

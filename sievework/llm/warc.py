@@ -368,7 +368,8 @@ def records(pages: DataFrame, min_bytes: int = 0, id_column: str = "page_id", ur
     with the largest id is a response and the others revisit it; other pages are responses.
 
     A null page is empty.  Null ids rank lowest.  Rows that share the largest id of their
-    payload are all responses.  Other columns are ignored.
+    payload are all responses.  Other columns are ignored, whatever their names, payloads may
+    have any length, and an empty table gives no rows.
     """
     payload = F.encode(F.coalesce(F.col(html_column).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("target_uri"),
