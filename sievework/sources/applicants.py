@@ -48,8 +48,9 @@ def scan_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True
     error, or an empty frame if ``missing_ok``.
 
     Files are split wherever they are long, also those with line breaks inside quotes
-    (``csv_records``).  They are scanned once now, for states and row numbers, and once when
-    the rows are used; nothing is written.  Without such line breaks ``multi_line=False``
+    (``csv_records``).  They are scanned once now, for states and row numbers, and when the rows
+    are used once for the records within a split and, with ``multi_line``, once for those that
+    splits cut; nothing is written.  Without such line breaks ``multi_line=False``
     saves looking at the quotes.
     """
     try:
