@@ -253,3 +253,27 @@ def test_a_term_in_every_answer_is_cut_into_parts(spark):
     joined = keyed.lookup(left, right, ["key"], part_rows=50)
     assert joined.count() == 3000 and joined.filter("value <> upper(key)").isEmpty()
     assert keyed.heavy_hitters(left.limit(0), ["key"], 50) is None
+
+
+def test_pairs_that_share_one_rare_term_are_not_written(spark):
+    """180 long answers share two rare terms in pairs but little else: none becomes a candidate."""
+    rng = random.Random(3)
+    rows = [("q", i, f"c{i}", " ".join([f"rare{i % 18}", f"rare{18 + i % 30}"] + rng.sample([f"w{k}" for k in range(4000)], 40)))
+            for i in range(180)]
+    rows += [("q", 180 + i, f"c{180 + i}", rows[i][3] + f" extra{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "question_id STRING, row_id BIGINT, candidate_id STRING, answer_text STRING")
+    written = {}
+    kept_stage = similarity.stage
+
+    def counted(frame, label, *rest):
+        written[label] = kept_stage(frame, label, *rest)
+        return written[label]
+
+    similarity.stage = counted
+    try:
+        links = similarity.similar_groups(df, 0.8, block_rows=16).links.collect()
+    finally:
+        similarity.stage = kept_stage
+    assert len(links) == 5
+    wide = [label for label, frame in written.items() if "gid_a" in frame.columns and frame.count() > 20]
+    assert not wide and "candidates" in written and "posting-blocks" not in written
