@@ -18,12 +18,11 @@ from sievework.session import new_path, ship_package
 
 
 def stream_parquet(spark: SparkSession, folder: str, glob: str, files_per_batch: int = 1) -> DataFrame:
-    """A file stream over the Parquet files of ``folder`` that match ``glob``."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+    """A file stream over what matches ``glob`` in ``folder``: Parquet files, or tables of several files."""
+    # A file stream takes a single file only by a pattern; braces match just the name in them.
+    path = f"{folder}/{glob}" if set(glob) & set("*?[{") else f"{folder}/{{{glob}}}"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def run_available(stream: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:

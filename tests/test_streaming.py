@@ -123,3 +123,15 @@ def test_every_row_has_a_fate(spark, tmp_path, parts):
         top = max([*([top] if top else []), *(r[2] for r in batch)])
     assert {r.mark: r.fate for r in got.collect()} == want and got.count() == len(rows)
     assert (parts == 1) == ("late" not in want.values())
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_streams_read_tables_of_one_file_or_several(spark, tmp_path, parts):
+    rows = spark.range(20).withColumn("body", F.concat(F.lit("text "), "id"))
+    if parts:
+        rows.repartition(parts).write.parquet(str(tmp_path / "replies.parquet"))
+    else:
+        rows.toPandas().to_parquet(tmp_path / "replies.parquet")
+    rows.limit(1).write.parquet(str(tmp_path / "others.parquet"))
+    stream = jobs.stream_parquet(spark, str(tmp_path), "replies.parquet")
+    assert sorted(r.id for r in jobs.run_available(stream, "read").collect()) == list(range(20))
