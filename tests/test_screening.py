@@ -123,6 +123,24 @@ def test_pair_totals_equal_expanded_pairs(answers):
         assert counted == want
 
 
+def test_tfidf_terms_are_exchanged_by_group_only(spark, monkeypatch):
+    # Many postings of few terms: with the common terms broadcast, only rare ones travel by term.
+    monkeypatch.setattr(similarity, "COMMON_TERMS", 8)
+    rows = [("q", i, f"c{i}", "n", f"alpha beta gamma rare{i}") for i in range(40)] + [("q", 40, "c40", "n", "alpha beta gamma rare0")]
+    df = spark.createDataFrame(rows, "question_id string, row_id long, candidate_id string, name string, answer_text string")
+    _, _, reps, vocabulary = similarity._tfidf_parts(df, (), None)
+    lists = similarity._with_terms(reps, vocabulary, F.struct("term", "tf"))
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert sorted(len(r["e"]) for r in lists.collect()) == [4] * 40
+    weights = {(r["row_id"], r["term"]): r["weight"] for r in similarity.tfidf_vectors(df).collect()}
+    assert len(weights) == 41 * 4
+    assert weights[0, "rare0"] == weights[40, "rare0"]
+    common, rare = 1.0 + math.log(42 / 42), 1.0 + math.log(42 / 2)
+    assert weights[1, "rare1"] == pytest.approx(rare / math.sqrt(3 * common ** 2 + rare ** 2))
+    assert weights[1, "alpha"] == pytest.approx(common / math.sqrt(3 * common ** 2 + rare ** 2))
+
+
 def test_tfidf_vectors_are_unit(answers):
     _, df = answers
     norms = similarity.tfidf_vectors(df, ["the", "of"]).groupBy("question_id", "row_id").agg(
