@@ -143,3 +143,16 @@ def test_retier_keeps_total(people, spark):
     assert (got["p0"].tier, got["p0"].flags, got["p0"].cheat_probability) == ("Reject", ["CHEAT_DETECTED"], 0.7)
     assert (got["p1"].tier, got["p1"].flags, got["p1"].cheat_probability) == (was["p1"].tier, ["STRIKES_2"], 0.2)
     assert got["p2"] == was["p2"] and got["p3"] == was["p3"] and got["p0"].total_score == was["p0"].total_score
+
+
+def test_explained_scores_scan_each_text_once(people, monkeypatch):
+    rows = people({"answers": ["we built v2 api, python 3.11 and 40% more", "", "short"]}, {"answers": [None]}, {"answers": []})
+    scans, regex_hits = [], rules.tx.regex_hits
+    monkeypatch.setattr(rules.tx, "regex_hits", lambda *a, **k: scans.append(a) or regex_hits(*a, **k))
+    explained = scoring.score_candidates(rows)
+    assert len(scans) == 1 + len(lx.CONCRETE_PATTERNS)
+    assert not set(scoring.MEASURES) & set(explained.columns)
+    # The same reasons as from the texts themselves.
+    apart = scoring.with_explanations(scoring.total_and_tier(scoring.score_dimensions(rows)))
+    assert {r["candidate_id"]: r["explanation"] for r in explained.collect()} == {
+        r["candidate_id"]: r["explanation"] for r in apart.collect()}

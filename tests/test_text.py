@@ -95,3 +95,10 @@ def test_rounding_of_large_numbers(spark):
 def test_number_text_has_no_exponent(spark):
     df = spark.createDataFrame([(v,) for v in (12345678.5, 0.0005, 123456789012.25, -98765432.125)], "x double")
     assert [r[0] for r in df.select(tx.number_text(F.col("x"))).collect()] == ["12345678.5", "0.0005", "123456789012.25", "-98765432.125"]
+
+
+def test_regex_hits_skip_texts_without_a_mark_they_need(spark):
+    assert [tx.needed_mark(r) for r in (r"[a-z]+@[a-z]+", r"\d+%", r"a@+", r"ing[,.]", r"a%?b", r"x{1,2}y", r"a%{0,2}", r"a@|b", r"[]@]b", r"a\@b")] == [
+        "@", "%", "@", None, None, None, None, None, None, None]
+    rows = spark.createDataFrame([("a@b c@d",), ("a b",), ("",), (None,)], "t STRING").select(tx.regex_hits("t", r"[a-z]+@[a-z]+").alias("n"))
+    assert [r["n"] for r in rows.collect()] == [2, 0, 0, None]
