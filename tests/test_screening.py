@@ -295,3 +295,31 @@ def test_pairs_that_share_one_rare_term_are_not_written(spark):
     assert len(links) == 5
     wide = [label for label, frame in written.items() if "gid_a" in frame.columns and frame.count() > 20]
     assert not wide and "candidates" in written and "posting-blocks" not in written
+
+
+def test_vectors_are_written_once_however_many_blocks_meet(spark, monkeypatch):
+    """Blocks meet where they are written: neither heads nor vectors are exchanged for it."""
+    rows = [(f"q{i % 3 if i < 60 else 0}", i, f"c{i}", f"c{i}", f"w{i % 37} w{i % 11} w{i % 5} word common t{i}") for i in range(240)]
+    df = spark.createDataFrame(rows, "question_id STRING, row_id BIGINT, candidate_id STRING, name STRING, answer_text STRING")
+    tables = {}
+    kept_stage = similarity.stage
+    monkeypatch.setattr(similarity, "stage", lambda frame, label, *rest: tables.setdefault(label, kept_stage(frame, label, *rest)))
+    monkeypatch.setattr(similarity, "POSTING_BLOCK", 4)
+    model = similarity.tfidf_model(df, (), None, 32)
+    assert model.blocks.large and model.blocks.bins < model.blocks.slots and model.blocks.meetings() > 20
+    assert sum(model.blocks.read(k, ["gid"]).num_rows for k in range(model.blocks.slots)) == model.vectors.count() == 240
+    met = [model.blocks.meeting(k) for k in range(model.blocks.meetings())]
+    assert len(set(met)) == len(met) and all(lo <= hi < model.blocks.slots for lo, hi in met)
+    links = similarity.similar_groups(df, 0.3, max_features=None, block_rows=32)
+    pairs = similarity.expand_pairs(links, df).collect()
+    assert {(r.question_id, r.candidate_a, r.candidate_b, r.similarity) for r in pairs} == brute_pairs([(q, i, c, x) for q, i, c, _, x in rows], 0.3)
+    assert "heads" not in tables and not any("ids" in t.columns or "lo" in t.columns and "w" in t.columns for t in tables.values())
+
+
+def test_terms_and_counts_survive_their_string(spark):
+    texts = ["beta alpha beta", "", "the", "Ünïcode x1 x1 x1 _a", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = similarity.term_counts("text", ["the"])
+    both = df.select(counts.alias("a"), similarity._uncounted(F.array_join(F.transform(
+        counts, lambda t: F.concat_ws(" ", t["term"], t["tf"])), " ")).alias("b"))
+    assert all(r.a == r.b for r in both.collect())
