@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,3 +324,49 @@ def test_terms_and_counts_survive_their_string(spark):
     both = df.select(counts.alias("a"), similarity._uncounted(F.array_join(F.transform(
         counts, lambda t: F.concat_ws(" ", t["term"], t["tf"])), " ")).alias("b"))
     assert all(r.a == r.b for r in both.collect())
+
+
+def test_only_bags_and_slots_hold_terms_and_postings(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [("q%d" % (i % 2), i, f"c{i}", "n", " ".join(rng.choices([f"w{k}" for k in range(300)], k=20))) for i in range(400)]
+    rows += [("q0", 400 + i, f"d{i}", "n", rows[0][4]) for i in range(5)]
+    df = spark.createDataFrame(rows, "question_id string, row_id long, candidate_id string, name string, answer_text string")
+    tables = {}
+    kept = similarity.stage
+
+    def seen(table, label, *more):
+        tables[label] = kept(table, label, *more)
+        return tables[label]
+
+    monkeypatch.setattr(similarity, "stage", seen)
+    _, _, reps, _ = similarity._tfidf_parts(df, (), None)
+    assert set(tables["representatives"].columns) == {"question_id", "file", "at", "n", "gid"}
+    assert [label for label, t in tables.items() if "terms" in t.columns] == ["bags"]
+    texts = {tuple(sorted(Counter(r[4].split()).items())) for r in rows}
+    found = reps.collect()
+    assert len(found) == 400 and {tuple((t.term, t.tf) for t in r.terms) for r in found} == texts
+    assert sorted(r.n for r in found) == [1] * 399 + [6]
+
+
+def test_packed_postings_are_small_and_come_back():
+    rng = np.random.default_rng(5)
+    gid = np.repeat(rng.choice(1 << 40, 400, False), 250)
+    postings = pa.table({
+        "slot": pa.array(gid % 7, pa.int32()), "gid": gid, "question_id": [None if g % 7 else "q" for g in gid.tolist()], "n_answers": np.full(len(gid), 400),
+        "df": np.zeros(len(gid), np.int64), "term_id": (rng.choice(20_000, len(gid)) | 3 << 33).astype(np.int64), "tf": rng.integers(1, 4, len(gid)).astype(np.int32)})
+    df = 1 + postings.column("term_id").to_numpy() % 9
+    postings = postings.set_column(4, "df", pa.array(df))
+    packed = [b for b in similarity.pack_postings(iter(postings.to_batches(10_000)))]
+    assert sum(b.num_rows for b in packed) == 7 and sum(b.column(1).nbytes for b in packed) < 6 * len(gid)
+    back = {}
+    for b in packed:
+        for slot in range(b.num_rows):
+            part = pa.Table.from_batches([b.slice(slot, 1)])
+            for r in similarity.list_postings([part.column("slot")[0]], part).to_pylist():
+                assert r["slot"] == r["gid"] % 7 and r["question_id"] == (None if r["slot"] else "q") and r["n_answers"] == 400
+                assert r["single"] == r["df"].count(1)
+                back[r["gid"]] = list(zip(r["df"], r["ids"], r["tf"]))
+    want = {}
+    for g, d, t, n in zip(gid.tolist(), df.tolist(), postings.column("term_id").to_pylist(), postings.column("tf").to_pylist()):
+        want.setdefault(g, []).append((d, t, n))
+    assert back == {g: sorted(x) for g, x in want.items()}
