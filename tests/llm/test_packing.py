@@ -27,6 +27,19 @@ def test_memo_gives_the_library_ids(name):
     assert [len(x) for x in encoder.encode(texts[:50])] == [4 * len(w) for w in want[:50]]
 
 
+@pytest.mark.parametrize("name", PATHS)
+def test_words_of_letters_go_to_the_model(name, monkeypatch):
+    plain, encoder, rng = Tokenizer.from_file(PATHS[name]), tokens.Ids(PATHS[name]), random.Random(8)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xc0, 0x100)]]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 15))) for _ in range(3000)]
+    texts = [" ".join(words[k:k + 30]) for k in range(0, 3000, 30)] + ["\u00d7 \u00f7a \u0130b \u01c5 \u03a3\u03c2 a\u0301"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.form is not None
+    calls = []
+    monkeypatch.setattr(encoder, "whole", lambda texts: calls.extend(texts) or [])  # no other call of the library is needed for them
+    assert len(encoder.encode([" ".join(w + w for w in words if w.isalpha())])) == 1 and not calls
+
+
 @pytest.mark.parametrize("name", PATHS)
 def test_special_strings(name):
     plain = Tokenizer.from_file(PATHS[name])
