@@ -370,3 +370,14 @@ def test_packed_postings_are_small_and_come_back():
     for g, d, t, n in zip(gid.tolist(), df.tolist(), postings.column("term_id").to_pylist(), postings.column("tf").to_pylist()):
         want.setdefault(g, []).append((d, t, n))
     assert back == {g: sorted(x) for g, x in want.items()}
+
+
+def test_postings_and_members_are_not_broadcast(spark):
+    """Small files unpack to large tables: only what the operator asks for goes through the driver."""
+    rows = [("q" if i % 3 else "r", i, f"c{i}", " ".join(f"w{k}" for k in range(i % 7, 40 + i % 11))) for i in range(60)]
+    df = spark.createDataFrame(rows, "question_id STRING, row_id BIGINT, candidate_id STRING, answer_text STRING")
+    vectors = similarity.tfidf_vectors(df)
+    plan = vectors._jdf.queryExecution().sparkPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[gid", plan) and plan.count("SortMergeJoin") >= 2
+    norms = vectors.groupBy("row_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
+    assert len(norms) == 60 and all(abs(r.s - 1) < 1e-9 for r in norms)
