@@ -69,3 +69,23 @@ def test_walk_finds_the_best_of_a_connected_graph():
     near = [[1], [0, 2], [1, 3], [2, 4], [3, 5], None]
     got = neighbours.walk(np.ones(2), [0], set(), vec, near, 6)
     assert set(got) == set(range(6)) and not got[5][1] and all(got[k][1] for k in range(5))
+
+
+def test_a_walk_looks_at_many_nodes_at_a_time():
+    """Scores are worked out for the neighbours of several nodes together, and the result is that of a walk by single nodes."""
+    rng = np.random.default_rng(4)
+    vec, asked = rng.normal(size=(300, 8)), []
+
+    class Counted:
+        def __len__(self):
+            return len(vec)
+
+        def __getitem__(self, at):
+            asked.append(len(at))
+            return vec[at]
+
+    near = [sorted({int(k) for k in rng.integers(0, 300, 20)} | {(p + 1) % 300}) for p in range(300)]
+    got = neighbours.walk(vec[5], [5], set(), Counted(), near, 200)
+    assert len(asked) < 40 and sum(asked) <= 300
+    best = np.argsort(-(vec * vec[5]).sum(1))[:200]
+    assert len(got) == 200 and len(set(got) & set(best.tolist())) >= 195 and all(looked for _, looked in got.values())
