@@ -381,3 +381,48 @@ def test_postings_and_members_are_not_broadcast(spark):
     assert not re.search(r"BroadcastHashJoin \[gid", plan) and plan.count("SortMergeJoin") >= 2
     norms = vectors.groupBy("row_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
     assert len(norms) == 60 and all(abs(r.s - 1) < 1e-9 for r in norms)
+
+
+def test_few_shared_terms_are_added_up(monkeypatch):
+    """Terms that cannot be the first a pair shares, and do not tell much more, are not multiplied; no pair is lost."""
+    rng = np.random.default_rng(5)
+    df = np.sort(rng.zipf(1.3, 3000) % 400 + 2)  # term ids from rare to common
+    lists = [np.sort(rng.choice(3000, rng.integers(5, 300), replace=False, p=df / df.sum())) for _ in range(250)]
+    lists += [np.sort(np.r_[x[:-1], rng.integers(0, 3000)]) for x in lists[:60]]
+    lists = [np.unique(x) for x in lists]
+    tf = [rng.integers(1, 4, len(x)) for x in lists[:250]]
+    tf += [np.resize(tf[k], len(lists[250 + k])) for k in range(60)]
+    vectors = pa.table({"gid": np.arange(310), "single": np.zeros(310, np.int32), "ids": [x.tolist() for x in lists], "tf": [x.tolist() for x in tf],
+                        "idf": [(np.log(400 / df[x]) + 1).tolist() for x in lists]})
+    dense = np.zeros((310, 3000))
+    for k, x in enumerate(lists):
+        dense[k, x] = tf[k] * (np.log(400 / df[x]) + 1)
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    floor = 0.8 - 1e-9
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(dense @ dense.T >= floor)) if i < j}
+    heads = similarity.heads_of(vectors, floor)
+    shared = np.unique(np.concatenate(heads.column("ids").to_numpy()), return_counts=True)[1]
+    added, plain = [], np.bincount
+
+    def counted(x, weights=None, minlength=0):
+        added.append(len(x) if weights is not None and weights.dtype == np.float64 else 0)
+        return plain(x, weights, minlength)
+
+    monkeypatch.setattr(np, "bincount", counted)
+    found = similarity.head_meetings(heads, heads, floor - 1e-6, True)
+    got = set(zip(found.column("gid_a").to_pylist(), found.column("gid_b").to_pylist()))
+    assert len(want) >= 20 and want <= got and len(got) < 0.03 * 310 * 309 / 2
+    assert sum(added) < 0.6 * (shared * shared).sum()
+
+
+def test_heads_are_written_once_for_all_meetings(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("q", i, f"c{i}", " ".join(rng.choices([f"w{k}" for k in range(200)], k=30))) for i in range(120)]
+    rows += [("q", 120 + i, f"d{i}", rows[i][3] + " more") for i in range(9)]
+    df = spark.createDataFrame(rows, "question_id STRING, row_id BIGINT, candidate_id STRING, answer_text STRING")
+    paths, kept_path = [], similarity.new_path
+    monkeypatch.setattr(similarity, "new_path", lambda s, label: paths.append((label, kept_path(s, label))) or paths[-1][1])
+    links = similarity.similar_groups(df, 0.8, block_rows=16).links.collect()
+    assert [label for label, _ in paths] == ["vectors", "heads"] and len(links) >= 9
+    heads = spark.read.parquet(paths[1][1])
+    assert heads.count() == heads.select("gid").distinct().count() > 0 and heads.select("slot").distinct().count() > 1
