@@ -426,3 +426,13 @@ def test_heads_are_written_once_for_all_meetings(spark, monkeypatch):
     assert [label for label, _ in paths] == ["vectors", "heads"] and len(links) >= 9
     heads = spark.read.parquet(paths[1][1])
     assert heads.count() == heads.select("gid").distinct().count() > 0 and heads.select("slot").distinct().count() > 1
+
+
+def test_rows_that_have_a_term_twice_count_all_shared_terms():
+    """Answers that share a ``row_id`` give such rows; the shorter count holds for distinct terms only."""
+    once = pa.table({"gid": [0, 1], "tail": [0.7, 0.7], "ids": [[1, 2], [1, 3]], "w": [[0.5, 0.5], [0.5, 0.5]]})
+    twice = pa.table({"gid": [2], "tail": [0.7], "ids": [[1, 1, 2]], "w": [[0.4, 0.4, 0.4]]})
+    index = similarity.HeadIndex.of(twice)
+    assert similarity.HeadIndex.of(once).plain and not index.plain
+    found = similarity.head_meetings(once, index, 0.8, False)
+    assert found.column("gid_a").to_pylist() == [0, 1] and found.column("gid_b").to_pylist() == [2, 2]
